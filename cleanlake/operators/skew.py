@@ -1,0 +1,87 @@
+"""Joins on keys of which one may hold a large share of all rows.
+
+Adaptive execution splits a skewed partition only when both sides of the join come
+straight from a shuffle. Here one side often is an aggregate or an earlier join, already
+partitioned by the key, and then no split takes place. For those joins the hot keys are
+found beforehand and their rows spread over ``salts`` sub-keys; the other side, which has one row per key,
+is repeated for the hot keys only. Every row is still joined: a key wrongly taken as hot
+or missed changes the layout, never the result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_SALT = "_salt"
+
+
+@dataclass(frozen=True)
+class SkewGuard:
+    """When a key counts as hot: at least ``min_share`` of the rows and ``min_rows`` rows."""
+
+    min_rows: int = 1_000_000
+    min_share: float = 0.005
+    salts: int = 128
+
+    def hot(self, rows: DataFrame, on: Sequence[str]) -> HotKeys:
+        """Hot keys of ``rows``, by one pass over the key columns and no shuffle of rows.
+
+        A mergeable heavy-hitter sketch is built per partition, so only sketches travel.
+        At most ``1 / min_share`` key hashes come back to the driver.
+        """
+        most = int(1 / self.min_share)
+        top = rows.select(F.xxhash64(*on).alias("code")).agg(
+            F.expr(f"approx_top_k(code, {most}, {50 * most})").alias("top"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        row = top.first()
+        floor = max(self.min_rows, self.min_share * row["n"])
+        codes = [t["item"] for t in row["top"] or [] if t["count"] >= floor]
+        types = tuple(rows.select(*on).schema[c].dataType.simpleString() for c in on)
+        return HotKeys(tuple(codes), types, self.salts)
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    codes: tuple[int, ...] = ()
+    types: tuple[str, ...] = ()
+    salts: int = 1
+
+    def match(self, on: Sequence[str]) -> Column:
+        code = F.xxhash64(*[F.col(c).cast(t) for c, t in zip(on, self.types)])
+        return code.isin(*self.codes)
+
+
+NO_HOT_KEYS = HotKeys()
+
+
+def spread_join(
+    rows: DataFrame,
+    keyed: DataFrame,
+    on: Sequence[str],
+    how: str,
+    hot: HotKeys | None = None,
+    row_id: Sequence[str] = ("id",),
+) -> DataFrame:
+    """Join ``rows`` to ``keyed``, which has at most one row per key.
+
+    ``hot`` are the hot keys of ``rows``; by default they are looked for here, which runs a small job.
+    ``row_id`` names columns that tell rows of one key apart. The salt is a hash of them, not a
+    random number, so a task that is run again sends its rows to the same place.
+    """
+    on = list(on)
+    if hot is None:
+        hot = SkewGuard().hot(rows, on)
+    if not hot.codes:
+        return rows.join(keyed, on, how)
+    spread = F.pmod(F.xxhash64(*row_id), F.lit(hot.salts)).cast("int")
+    left = rows.withColumn(_SALT, F.when(hot.match(on), spread).otherwise(F.lit(0)))
+    copies = F.when(hot.match(on), F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    right = keyed.withColumn(_SALT, F.explode(copies))
+    return left.join(right, [*on, _SALT], how).drop(_SALT)
