@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY
 
 AS_OF = 1735689600  # 2025-01-01
@@ -21,21 +22,32 @@ DELETE_TASK = "course_delete_modules"
 
 
 class Views:
-    """Lazily built views over one folder of sample tables."""
+    """Views over one folder of sample tables, each built once.
+
+    File records and the storage listing hash whole texts, so they are written once per
+    query and read back: what follows reads narrow columns, however often it needs them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
+        self._staging = Staging(spark)
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        try:
-            return _VIEWS[name](self.raw)
-        except KeyError:
-            raise AttributeError(name) from None
+        if name not in _VIEWS:
+            raise AttributeError(name)
+        view = _VIEWS[name](self.raw)
+        if name in _HASHED:
+            view = self._staging.keep(view, name)
+        self.__dict__[name] = view
+        return view
 
 
 def _epoch(col: str):
@@ -295,6 +307,8 @@ _VIEWS = {
     "registry": _registry,
 }
 
+_HASHED = ("files", "disk", "registry")
+
 _LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 

@@ -53,7 +53,7 @@ def contains_pattern(text: str) -> str:
 
     A backslash before an ordinary character stands for that character.
     """
-    return "%" + re.sub(r"\\([^%_\\])", r"\1", text) + "%"
+    return "%" + re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], text) + "%"
 
 
 def _like(col: Column, text: str, case_sensitive: bool) -> Column:

@@ -53,13 +53,21 @@ class ModulesStep:
                 "task_adhoc",
                 [("resolved_task", done.select(F.col("task_id").alias("id")))],
             )
-        run.doom(self.name, "course_modules", rules, stage=True)
-
-        gone = cm.join(run.doomed["course_modules"].select("id"), "id", "left_semi")
+        zero = F.lit(0).cast("bigint")
+        found = orphans.first_rule([(n, r.select("id", zero.alias("bytes"))) for n, r in rules])
         doomed = run.staging.keep(
-            modules.doomed_modules(gone, types, run.tables.get("context"), run.policy),
+            modules.doomed_modules(
+                cm.join(found, "id"), types, run.tables.get("context"), run.policy
+            ),
             "doomed_modules",
         )
+        run.add(
+            self.name,
+            "course_modules",
+            [name for name, _ in rules],
+            doomed.select("id", "rule", "bytes").distinct(),
+        )
+
         cascades = run.cascade_rules
         if cascades is None:
             cascades = modules.module_cascade(run.policy)
@@ -214,7 +222,6 @@ class CheckoutStep:
             self.name,
             "files",
             [(a, found.where(F.col("action") == a)) for a in self.actions],
-            stage=True,
             size="bytes",
         )
         if run.safe_shared_content:

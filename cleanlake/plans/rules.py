@@ -67,14 +67,22 @@ class Run:
         """
         sized = F.lit(0).cast("bigint") if size is None else F.col(size).cast("bigint")
         named = [(name, rows.select("id", sized.alias("bytes"))) for name, rows in rules]
-        found = first_rule(named).select("id", F.lit(step).alias("step"), "rule", "bytes")
+        found = first_rule(named)
+        self.add(step, table, [name for name, _ in rules], found, stage)
+
+    def add(
+        self, step: str, table: str, rules: Sequence[str], found: DataFrame, stage: bool = False
+    ) -> None:
+        """Add rows ``(id, rule, bytes)`` of ``table`` that no earlier step has doomed."""
+        columns = ("id", "step", "rule", "bytes")
+        found = found.select("id", F.lit(step).alias("step"), "rule", "bytes")
         earlier = self.doomed.get(table)
         if earlier is not None:
-            found = survivors(found, earlier).select("id", "step", "rule", "bytes")
+            found = survivors(found, earlier).select(*columns)
         if stage:
             found = self.staging.keep(found, f"{step}-{table}")
         self.doomed[table] = found if earlier is None else earlier.unionByName(found)
-        self.catalog += [(step, table, name, "ok") for name, _ in rules]
+        self.catalog += [(step, table, name, "ok") for name in rules]
 
     def skip(self, step: str, table: str, rule: str) -> None:
         self.catalog.append((step, table, rule, "skipped"))
