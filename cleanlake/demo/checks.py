@@ -330,10 +330,10 @@ _DOOMED = (
     ("course_modules", "course_modules", ("deleted_course", "stalled_task"), "select id, rule, 0 as bytes from gone_cm"),
     ("course_modules", "context", ("module_context",), "select id, 'module_context' as rule, 0 as bytes from gone_context"),
     ("course_modules", "files", ("module_files",), "select id, 'module_files' as rule, filesize as bytes from gone_files1"),
-    ("course_modules", "event", ("module_event",), "select distinct id, 'module_event' as rule, 0 as bytes from gone_events"),
+    ("course_modules", "event", ("module_event",), "select id, 'module_event' as rule, 0 as bytes from gone_events"),
     ("course_modules", "grade_items", ("module_grade_items",), "select id, 'module_grade_items' as rule, 0 as bytes from gone_gi1"),
-    ("course_modules", "course_modules_completion", ("module_course_modules_completion",), "select distinct id, 'module_course_modules_completion' as rule, 0 as bytes from gone_completion"),
-    ("course_modules", "course_modules_viewed", ("module_course_modules_viewed",), "select distinct id, 'module_course_modules_viewed' as rule, 0 as bytes from gone_viewed"),
+    ("course_modules", "course_modules_completion", ("module_course_modules_completion",), "select id, 'module_course_modules_completion' as rule, 0 as bytes from gone_completion"),
+    ("course_modules", "course_modules_viewed", ("module_course_modules_viewed",), "select id, 'module_course_modules_viewed' as rule, 0 as bytes from gone_viewed"),
     ("course_modules", "course_completion_criteria", ("module_course_completion_criteria",), "select id, 'module_course_completion_criteria' as rule, 0 as bytes from gone_criteria"),
     ("grades", "grade_items", ("deleted_course", "deleted_module"), "select id, rule, 0 as bytes from gone_gi2"),
     ("grades", "grade_grades", ("deleted_item", "deleted_user"), "select id, rule, 0 as bytes from gone_gg"),

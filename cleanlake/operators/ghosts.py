@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import gib, mib
 from cleanlake.functions.mime import BINARY, HEAD_BYTES, sniff_head
-from cleanlake.sources.inventory import open_root, with_content_key
+from cleanlake.sources.inventory import file_tasks, open_root, with_content_key
 
 PAGE_SIZE = 250
 _ID_BUCKET_DIGITS = 3
@@ -35,10 +35,11 @@ def ghost_bytes(ghosts: DataFrame) -> DataFrame:
     )
 
 
-def sniff_stored(ghosts: DataFrame, root: str) -> DataFrame:
+def sniff_stored(ghosts: DataFrame, root: str, parallelism: int | None = None) -> DataFrame:
     """Adds ``mime`` from the first bytes of each stored file, read where the task runs.
 
-    Meant for ghosts only, after the anti join. Unreadable files count as plain bytes.
+    Meant for ghosts only, after the anti join. Unreadable files count as plain bytes. Rows
+    are few bytes but one file access each, so their spread is set by number, not by size.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ghosts.schema)
 
@@ -55,7 +56,8 @@ def sniff_stored(ghosts: DataFrame, root: str) -> DataFrame:
         for frame in frames:
             yield frame.assign(mime=[head_type(p) for p in frame["path"]])
 
-    return ghosts.mapInPandas(read_heads, f"{schema}, mime string")
+    tasks = parallelism or file_tasks(ghosts.sparkSession)
+    return ghosts.repartition(tasks, "path").mapInPandas(read_heads, f"{schema}, mime string")
 
 
 def registry_rows(ghosts: DataFrame) -> DataFrame:
@@ -77,8 +79,7 @@ def upsert_registry(registry: DataFrame, scan: DataFrame) -> DataFrame:
         F.col("mime").alias("old_mime"),
         F.col("size").alias("old_size"),
     )
-    both = old.join(scan.select("path", "mime", "size"), "path", "full_outer")
-    known = both.where(F.col("old_id").isNotNull()).select(
+    known = old.join(scan.select("path", "mime", "size"), "path", "left").select(
         F.col("old_id").alias("id"),
         "path",
         F.coalesce("mime", "old_mime").alias("mime"),
@@ -151,10 +152,13 @@ def ghost_totals(registry: DataFrame) -> DataFrame:
 
 
 def still_unlinked(registry: DataFrame, files: DataFrame) -> DataFrame:
-    """Registry rows whose content is still without a record."""
-    known = files.select("contenthash").distinct()
-    return (
-        with_content_key(registry)
-        .join(known, "contenthash", "left_anti")
-        .select(*registry.columns)
+    """Registry rows whose content is still without a record.
+
+    Ghosts are few next to records, so the records are cut down to those of ghost contents
+    first; as a rule that is a broadcast, and the records are not shuffled.
+    """
+    keyed = with_content_key(registry)
+    linked = files.select("contenthash").join(
+        keyed.select("contenthash"), "contenthash", "left_semi"
     )
+    return keyed.join(linked.distinct(), "contenthash", "left_anti").select(*registry.columns)

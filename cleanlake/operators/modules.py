@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cleanlake.functions.payload import module_ids, module_payload
 from cleanlake.functions.predicates import older_than
 from cleanlake.operators.orphans import orphans
-from cleanlake.operators.skew import HotKeys, spread_join
+from cleanlake.operators.skew import NO_HOT_KEYS, HotKeys, spread_join
 from cleanlake.policy import RetentionPolicy
 
 ABSENT, DELETED, FAILED = "absent", "deleted", "failed"
@@ -188,12 +188,18 @@ def doomed_modules(
     return named.join(contexts, "id", "left")
 
 
-def cascade_rows(doomed: DataFrame, table: DataFrame, rule: CascadeRule) -> DataFrame:
-    """Rows of ``table`` the rule dooms. Keys of the modules are reduced to distinct ones first."""
+def cascade_rows(
+    doomed: DataFrame, table: DataFrame, rule: CascadeRule, hot: HotKeys = NO_HOT_KEYS
+) -> DataFrame:
+    """Rows of ``table`` the rule dooms.
+
+    Keys of the modules are reduced to distinct ones first, which mostly leaves few enough to
+    broadcast. When they are many, give the ``hot`` keys of the table.
+    """
     for column, value in rule.where.items():
         table = table.where(F.col(column) == F.lit(value))
     keys = doomed.select(*[F.col(m).alias(c) for c, m in rule.keys.items()]).dropna()
-    joined = table.join(keys.distinct(), list(rule.keys), "left_semi")
+    joined = spread_join(table, keys.distinct(), list(rule.keys), "left_semi", hot)
     return joined.select(*table.columns)
 
 

@@ -136,8 +136,12 @@ def first_rule(rules: Sequence[tuple[str, DataFrame]], key: str = "id") -> DataF
     """One row per doomed key with the first of the ordered rules that dooms it.
 
     Each frame has ``key`` and ``bytes``. Only doomed keys are shuffled, not the table, and
-    ranks are numbers, so the aggregate stays a hash aggregate with a map-side part.
+    ranks are numbers, so the aggregate stays a hash aggregate with a map-side part. The rows
+    of a single rule are rows of the table, distinct already, and are not shuffled at all.
     """
+    if len(rules) == 1:
+        name, frame = rules[0]
+        return frame.select(key, F.lit(name).alias("rule"), "bytes")
     ranked = [
         frame.select(key, "bytes", F.lit(rank).alias("rank"))
         for rank, (_, frame) in enumerate(rules, start=1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import mib
 from cleanlake.operators.skew import HotKeys, spread_join
-from cleanlake.sources.inventory import open_root
+from cleanlake.sources.inventory import file_tasks, open_root
 
 REMOVED, ABSENT, ERROR, PLANNED = "removed", "absent", "error", "planned"
 
@@ -38,13 +38,12 @@ def removal_summary(files: DataFrame, inventory: DataFrame, chosen: DataFrame) -
     wanted = files.join(picked, "id", "left_semi").select(
         "id", "contenthash", "filename", "filesize"
     )
-    contents = wanted.select("contenthash").distinct()
-    # Counting by content comes after dropping other contents; both reduce before the shuffle.
+    # The chosen contents are few as a rule: a broadcast leaves only their records to count.
     shared = (
         files.select("contenthash")
+        .join(wanted.select("contenthash"), "contenthash", "left_semi")
         .groupBy("contenthash")
         .agg(F.count(F.lit(1)).alias("n_records"))
-        .join(contents, "contenthash", "left_semi")
     )
     stored = inventory.select("contenthash").distinct().withColumn("present", F.lit(True))
     state = shared.join(stored, "contenthash", "left")
@@ -73,7 +72,9 @@ def removable_records(doomed: DataFrame, unlinked: DataFrame) -> DataFrame:
     return doomed.join(failed, "contenthash", "left_anti").select(*doomed.columns)
 
 
-def unlink_files(paths: DataFrame, root: str, dry_run: bool = True) -> DataFrame:
+def unlink_files(
+    paths: DataFrame, root: str, dry_run: bool = True, parallelism: int | None = None
+) -> DataFrame:
     """``(path, status)`` per distinct path, deleting the files unless ``dry_run``.
 
     Deleting is done where the task runs. A task that is run again finds the files gone
@@ -99,4 +100,5 @@ def unlink_files(paths: DataFrame, root: str, dry_run: bool = True) -> DataFrame
         for frame in frames:
             yield frame.assign(status=[remove(p) for p in frame["path"]])
 
-    return distinct.mapInPandas(unlink, "path string, status string")
+    tasks = parallelism or file_tasks(paths.sparkSession)
+    return distinct.repartition(tasks, "path").mapInPandas(unlink, "path string, status string")

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.operators import checkout, ghosts, modules, orphans, removal
+from cleanlake.operators.skew import NO_HOT_KEYS
 from cleanlake.plans.rules import CleanupStep, Run
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import RetentionPolicy
 from cleanlake.sources.inventory import with_content_key
 
+# Up to this many keys a set of doomed modules is sure to be broadcast.
+MANY_KEYS = 100_000
 UNLINK_SCHEMA = "path string, reason string, bytes bigint"
 
 
@@ -68,6 +71,7 @@ class ModulesStep:
             doomed.select("id", "rule", "bytes").distinct(),
         )
 
+        many = doomed.count() > MANY_KEYS
         cascades = run.cascade_rules
         if cascades is None:
             cascades = modules.module_cascade(run.policy)
@@ -75,7 +79,12 @@ class ModulesStep:
             if not run.has(rule.table):
                 run.skip(self.name, rule.table, rule.label)
                 continue
-            rows = modules.cascade_rows(doomed, run.tables[rule.table], rule)
+            rows = modules.cascade_rows(
+                doomed,
+                run.tables[rule.table],
+                rule,
+                run.guard.hot(run.tables[rule.table], list(rule.keys)) if many else NO_HOT_KEYS,
+            )
             run.doom(
                 self.name,
                 rule.table,
@@ -166,12 +175,12 @@ class ComponentFilesStep:
     def plan(self, run: Run) -> None:
         files = run.tables["files"]
         cutoff = run.policy.cutoff(run.as_of, run.policy.component_file_days)
-        rules = [
-            (component, orphans.component_retention(files, [component], cutoff))
-            for component in run.policy.components
-        ]
-        if rules:
-            run.doom(self.name, "files", rules, stage=True, size="filesize")
+        components = run.policy.components
+        found = orphans.component_retention(files, components, cutoff).select(
+            "id", F.col("component").alias("rule"), F.col("filesize").alias("bytes")
+        )
+        if components:
+            run.add(self.name, "files", components, found, stage=True)
 
 
 class GhostsStep:
@@ -218,11 +227,8 @@ class CheckoutStep:
         hot = run.guard.hot(run.tables["files"], ("contenthash",))
         found = run.staging.keep(checkout.checkout_doomed(*args, hot=hot), "checkout")
         run.checked_out = found
-        run.doom(
-            self.name,
-            "files",
-            [(a, found.where(F.col("action") == a)) for a in self.actions],
-            size="bytes",
+        run.add(
+            self.name, "files", self.actions, found.withColumnRenamed("action", "rule")
         )
         if run.safe_shared_content:
             hashes = checkout.unlink_hashes(*args)

@@ -29,6 +29,11 @@ def open_root(root: str):
     return filesystem, base.rstrip("/")
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Number of tasks for work that waits on storage rather than on data."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def _children(filesystem, base: str, path: str):
     """Entries of one directory, names with a leading dot left out."""
     from pyarrow import fs
@@ -72,7 +77,7 @@ def file_inventory(
 
     Hidden names are skipped, and a hidden directory with all below it.
     """
-    tasks = parallelism or 4 * spark.sparkContext.defaultParallelism
+    tasks = parallelism or file_tasks(spark)
     entries = spark.createDataFrame([(area, True, 0)], _ENTRY)
     for _ in range(fanout_levels):
         entries = entries.mapInPandas(_lister(root, deep=False), _ENTRY).repartition(
