@@ -507,6 +507,24 @@ def oracle_sql() -> dict[str, str]:
                    path, 'application/octet-stream' as mime, length as size, 'inserted' as change
             from ghosts g where not exists (select 1 from registry r where r.path = g.path)""",
         ),
+        "registry_presence": with_views(
+            "registry",
+            "disk",
+            query="""select id, path, exists (
+            select 1 from disk d where d.path = r.path) as present from registry r""",
+        ),
+        "requeued_task_table": with_views(
+            "task",
+            "cm",
+            fresh=_requeue("0"),
+            query=f"""
+            select id, classname, faildelay, timestarted, customdata
+            from task where classname <> '{views.DELETE_TASK}'
+            union all
+            select (select max(id) from task)
+                   + row_number() over (order by substr(md5(customdata), 1, 3), customdata),
+                   classname, 0, null, customdata from fresh""",
+        ),
         "ghosts_still_unlinked": with_views(
             "files", "registry", query=_anti_hash("registry", "files")
         ),

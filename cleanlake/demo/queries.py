@@ -25,6 +25,7 @@ from cleanlake.operators import (
     statistics,
 )
 from cleanlake.plans import cleanup
+from cleanlake.plans.requeue import requeued_tasks
 from cleanlake.policy import DAY, FileFilter, RetentionPolicy
 
 A = views.AS_OF
@@ -275,6 +276,8 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "scan_ghosts": scan_ghosts,
     "ghost_scan_bytes": lambda v: ghosts.ghost_bytes(scan_ghosts(v)),
     "upsert_registry": upsert_registry,
+    "registry_presence": lambda v: ghosts.registry_presence(v.registry, v.disk),
+    "requeued_task_table": lambda v: requeued_tasks(v.task, v.course_modules, 2, POLICY),
     "ghosts_still_unlinked": lambda v: ghosts.still_unlinked(v.registry, v.files),
     "ghost_report_page0": lambda v: ghosts.ghost_report(ghosts.registry_rows(
         scan_ghosts(v).withColumn("mime", F.lit("text/plain"))

@@ -58,20 +58,59 @@ def content_state(
     """One row per content that has records.
 
     ``n`` records, ``n_backups`` outdated backups, ``first_backup`` the lowest id among them,
-    ``draft`` the id of an outdated draft, and ``present``. All by partial aggregates, so a content
-    with very many records costs one row per map task.
+    ``draft`` the id of an outdated draft, and ``present``. Records and listing go through one
+    aggregate rather than an aggregate each and a join. It has a map-side part, so a content with
+    very many records costs one row per map task.
     """
-    backup, draft = _outdated_backup(policy, as_of), _outdated_draft(policy, as_of)
-    per_content = files.groupBy("contenthash").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(backup, 1)).alias("n_backups"),
-        F.min(F.when(backup, F.col("id"))).alias("first_backup"),
-        F.max(F.when(draft, F.col("id"))).alias("draft"),
-        F.max(F.when(draft, F.col("filesize"))).alias("draft_bytes"),
+    records = files.select(
+        "contenthash",
+        "id",
+        _outdated_backup(policy, as_of).alias("backup"),
+        _outdated_draft(policy, as_of).alias("draft"),
+        F.lit(False).alias("stored"),
+    )
+    listed = inventory.select(
+        "contenthash",
+        F.lit(None).cast(files.schema["id"].dataType).alias("id"),
+        F.lit(False).alias("backup"),
+        F.lit(False).alias("draft"),
+        F.lit(True).alias("stored"),
+    )
+    return (
+        records.unionByName(listed)
+        .groupBy("contenthash")
+        .agg(
+            F.count("id").alias("n"),
+            F.count(F.when(F.col("backup"), 1)).alias("n_backups"),
+            F.min(F.when(F.col("backup"), F.col("id"))).alias("first_backup"),
+            F.max(F.when(F.col("draft"), F.col("id"))).alias("draft"),
+            F.max("stored").alias("present"),
+        )
+        .where(F.col("n") > 0)
+    )
+
+
+def _lone_draft():
+    return F.col("present") & F.col("first_backup").isNull() & (F.col("n") == 1)
+
+
+def _action(safe_shared_content: bool):
+    first = F.col("first_backup")
+    action = F.when(~F.col("present"), MISSING)
+    if safe_shared_content:
+        action = action.when(F.col("outdated"), BACKUP)
+    else:
+        action = action.when(F.col("id") > first, GONE).when(F.col("id") == first, BACKUP)
+    return action.when((F.col("id") == F.col("draft")) & _lone_draft(), DRAFT).otherwise(KEEP)
+
+
+def _records(files: DataFrame, policy: RetentionPolicy, as_of: int) -> DataFrame:
+    return files.select(
+        "id",
+        "contenthash",
+        F.col("filesize").alias("bytes"),
+        _outdated_backup(policy, as_of).alias("outdated"),
     )
-    stored = inventory.select("contenthash").distinct().withColumn("present", F.lit(True))
-    joined = per_content.join(stored, "contenthash", "left")
-    return joined.withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def files_checkout(
@@ -84,18 +123,9 @@ def files_checkout(
 ) -> DataFrame:
     """``(id, contenthash, action)`` for every record."""
     state = content_state(files, inventory, policy, as_of)
-    records = files.select("id", "contenthash", _outdated_backup(policy, as_of).alias("outdated"))
+    records = _records(files, policy, as_of)
     joined = spread_join(records, state, ["contenthash"], "left", hot)
-    missing = ~F.col("present")
-    draft = (F.col("id") == F.col("draft")) & (F.col("n") == 1)
-    action = F.when(missing, MISSING)
-    if safe_shared_content:
-        action = action.when(F.col("outdated"), BACKUP)
-    else:
-        first = F.col("first_backup")
-        action = action.when(F.col("id") > first, GONE).when(F.col("id") == first, BACKUP)
-    action = action.when(draft, DRAFT).otherwise(KEEP)
-    return joined.select("id", "contenthash", action.alias("action"))
+    return joined.select("id", "contenthash", _action(safe_shared_content).alias("action"))
 
 
 def checkout_doomed(
@@ -108,35 +138,20 @@ def checkout_doomed(
 ) -> DataFrame:
     """``(id, contenthash, action, bytes)`` for the records that go.
 
-    Only contents that lose records are joined back to the records. Drafts, being the only
-    record of their content, are known from the state alone.
+    Only contents that lose records are joined back to the records, as a rule a small part.
     """
-    state = content_state(files, inventory, policy, as_of)
-    affected = state.where(~F.col("present") | F.col("first_backup").isNotNull()).select(
-        "contenthash", "present", "first_backup"
-    )
-    lone_draft = (F.col("n") == 1) & F.col("draft").isNotNull()
-    drafts = state.where(F.col("present") & F.col("first_backup").isNull() & lone_draft)
-    records = files.select(
-        "id", "contenthash", "filesize", _outdated_backup(policy, as_of).alias("outdated")
+    loses = (
+        ~F.col("present")
+        | F.col("first_backup").isNotNull()
+        | (_lone_draft() & F.col("draft").isNotNull())
     )
-    joined = spread_join(records, affected, ["contenthash"], "inner", hot)
-    action = F.when(~F.col("present"), MISSING)
-    if safe_shared_content:
-        action = action.when(F.col("outdated"), BACKUP)
-    else:
-        first = F.col("first_backup")
-        action = action.when(F.col("id") > first, GONE).when(F.col("id") == first, BACKUP)
-    by_content = joined.select(
-        "id", "contenthash", action.alias("action"), F.col("filesize").alias("bytes")
-    ).where(F.col("action").isNotNull())
-    lone = drafts.select(
-        F.col("draft").alias("id"),
-        "contenthash",
-        F.lit(DRAFT).alias("action"),
-        F.col("draft_bytes").alias("bytes"),
+    state = content_state(files, inventory, policy, as_of).where(loses)
+    records = _records(files, policy, as_of)
+    joined = spread_join(records, state, ["contenthash"], "inner", hot)
+    action = _action(safe_shared_content)
+    return joined.select("id", "contenthash", action.alias("action"), "bytes").where(
+        F.col("action") != KEEP
     )
-    return by_content.unionByName(lone)
 
 
 def unlink_hashes(
@@ -150,10 +165,7 @@ def unlink_hashes(
     state = content_state(files, inventory, policy, as_of).where("present")
     gone = F.col("n_backups") == F.col("n") if safe_shared_content else F.lit(True)
     backup = F.col("first_backup").isNotNull() & gone
-    lone_draft = (
-        F.col("first_backup").isNull() & (F.col("n") == 1) & F.col("draft").isNotNull()
-    )
-    reason = F.when(backup, BACKUP).when(lone_draft, DRAFT)
+    reason = F.when(backup, BACKUP).when(_lone_draft() & F.col("draft").isNotNull(), DRAFT)
     return state.select("contenthash", reason.alias("reason")).where(
         F.col("reason").isNotNull()
     )

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import gib, mib
 from cleanlake.functions.mime import BINARY, HEAD_BYTES, sniff_head
+from cleanlake.operators.numbering import numbered
 from cleanlake.sources.inventory import file_tasks, open_root, with_content_key
 
 PAGE_SIZE = 250
-_ID_BUCKET_DIGITS = 3
 
 
 def scan_ghosts(inventory: DataFrame, files: DataFrame) -> DataFrame:
@@ -69,9 +69,8 @@ def upsert_registry(registry: DataFrame, scan: DataFrame) -> DataFrame:
     """Registry after a scan, with the ``change`` of each row.
 
     ``path`` is the key. Known paths keep their id and take the new type and size, new
-    ones get the next ids, and paths the scan did not meet stay as they are. New ids are
-    numbered per bucket of the path hash, and a bucket starts where the ones before it end, so no
-    single task orders all new rows. The numbering depends on the paths alone.
+    ones get the next ids, and paths the scan did not meet stay as they are. ``scan`` is read
+    more than once: give a written table, not the listing of a storage that changes.
     """
     old = registry.select(
         "path",
@@ -87,35 +86,8 @@ def upsert_registry(registry: DataFrame, scan: DataFrame) -> DataFrame:
         F.when(F.col("size").isNull(), "untouched").otherwise("updated").alias("change"),
     )
     new = scan.join(registry.select("path"), "path", "left_anti")
-    return known.unionByName(_numbered(new, registry))
-
-
-def _numbered(new: DataFrame, registry: DataFrame) -> DataFrame:
-    bucket = F.substring(F.md5("path"), 1, _ID_BUCKET_DIGITS)
-    new = new.select("path", "mime", "size", bucket.alias("bucket"))
-    # 16 ** _ID_BUCKET_DIGITS counts at most, whatever the number of rows. The highest id
-    # in use is counted as a bucket that comes before all others.
-    in_use = registry.select(
-        F.lit("").alias("bucket"), F.coalesce("id", F.lit(0)).cast("bigint").alias("id")
-    )
-    counts = (
-        in_use.groupBy("bucket")
-        .agg(F.max("id").alias("n"))
-        .unionByName(new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    )
-    within = Window.partitionBy("bucket").orderBy("path")
-    numbered = new.withColumn("place", F.row_number().over(within))
-    return numbered.join(F.broadcast(starts), "bucket").select(
-        (F.col("start") + F.col("place")).alias("id"),
-        "path",
-        "mime",
-        F.col("size"),
-        F.lit("inserted").alias("change"),
-    )
+    added = numbered(new.select("path", "mime", "size"), "path", registry)
+    return known.unionByName(added.withColumn("change", F.lit("inserted")))
 
 
 def ghost_report(
@@ -151,6 +123,14 @@ def ghost_totals(registry: DataFrame) -> DataFrame:
     )
 
 
+def registry_presence(registry: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``(id, path, present)``: whether the file of each registry row is still stored."""
+    stored = inventory.select("path", F.lit(True).alias("present"))
+    return registry.join(stored, "path", "left").select(
+        "id", "path", F.coalesce("present", F.lit(False)).alias("present")
+    )
+
+
 def still_unlinked(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Registry rows whose content is still without a record.
 

@@ -28,7 +28,9 @@ def remove_by_file(
     return spread_join(files, contents, ["contenthash"], "left_semi", hot).select(*files.columns)
 
 
-def removal_summary(files: DataFrame, inventory: DataFrame, chosen: DataFrame) -> DataFrame:
+def removal_summary(
+    files: DataFrame, inventory: DataFrame, chosen: DataFrame, hot: HotKeys | None = None
+) -> DataFrame:
     """One row per chosen id: what its removal means.
 
     ``status`` is ``not_found`` for an unknown id, ``record_only`` when the content is not
@@ -47,7 +49,7 @@ def removal_summary(files: DataFrame, inventory: DataFrame, chosen: DataFrame) -
     )
     stored = inventory.select("contenthash").distinct().withColumn("present", F.lit(True))
     state = shared.join(stored, "contenthash", "left")
-    found = wanted.join(state, "contenthash")
+    found = spread_join(wanted, state, ["contenthash"], "inner", hot)
     status = (
         F.when(F.col("n_records").isNull(), "not_found")
         .when(F.col("present"), "content")

@@ -71,6 +71,7 @@ class ModulesStep:
             doomed.select("id", "rule", "bytes").distinct(),
         )
 
+        run.tombstones = modules.module_tombstones(doomed, cm)
         many = doomed.count() > MANY_KEYS
         cascades = run.cascade_rules
         if cascades is None:
@@ -253,13 +254,14 @@ def default_steps(policy: RetentionPolicy) -> list[CleanupStep]:
 
 @dataclass(frozen=True)
 class CleanupPlan:
-    """Doomed rows per table ``(id, step, rule, bytes)`` and files to unlink."""
+    """Doomed rows per table ``(id, step, rule, bytes)``, files to unlink, module tombstones."""
 
     tables: Mapping[str, DataFrame]
     doomed: Mapping[str, DataFrame]
     unlinks: DataFrame
     catalog: Sequence[tuple[str, str, str, str]]
     checked_out: DataFrame | None = None
+    tombstones: DataFrame | None = None
 
     def write(self, location: str) -> CleanupPlan:
         """Write the plan as an audit and return it reading from there."""
@@ -270,6 +272,7 @@ class CleanupPlan:
             staging.keep(self.unlinks, "unlinks"),
             self.catalog,
             self.checked_out,
+            self.tombstones and staging.keep(self.tombstones, "tombstones"),
         )
 
 
@@ -290,7 +293,9 @@ def plan_cleanup(
     unlinks = run.unlinked_paths()
     if unlinks is None:
         unlinks = spark.createDataFrame([], UNLINK_SCHEMA)
-    return CleanupPlan(tables, run.doomed, unlinks, run.catalog, run.checked_out)
+    return CleanupPlan(
+        tables, run.doomed, unlinks, run.catalog, run.checked_out, run.tombstones
+    )
 
 
 def cleanup_report(spark: SparkSession, plan: CleanupPlan) -> DataFrame:
@@ -335,7 +340,8 @@ def apply_cleanup(
 
     Tables are written below ``target`` and never over the version being read, so a run that fails
     leaves the data as it was. File records stay when their content could not be unlinked.
-    Returns the new tables, with the fate of each file under ``unlinked``.
+    Returns the new tables, with the fate of each file under ``unlinked`` and records of the
+    deleted modules under ``tombstones``.
     """
     plan = plan.write(f"{target}/audit")
     staging = Staging(spark, target)
@@ -343,6 +349,8 @@ def apply_cleanup(
         removal.unlink_files(plan.unlinks, root or "", dry_run=dry_run or root is None), "unlinked"
     )
     done = {"unlinked": unlinked}
+    if plan.tombstones is not None:
+        done["tombstones"] = plan.tombstones
     for table, doomed in plan.doomed.items():
         if table == "files" and plan.checked_out is not None:
             doomed = _without_failed_unlinks(doomed, plan.checked_out, unlinked)
@@ -354,7 +362,7 @@ def _without_failed_unlinks(doomed, checked_out, unlinked) -> DataFrame:
     failed = with_content_key(unlinked.where(F.col("status") == removal.ERROR))
     stuck = (
         checked_out.where(F.col("action") != checkout.MISSING)
-        .join(failed.select("contenthash").distinct(), "contenthash", "left_semi")
+        .join(failed.select("contenthash"), "contenthash", "left_semi")
         .select("id")
     )
     return doomed.join(stuck, "id", "left_anti")

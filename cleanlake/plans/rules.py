@@ -39,6 +39,7 @@ class Run:
     unlinks: list[DataFrame] = field(default_factory=list)
     catalog: list[tuple[str, str, str, str]] = field(default_factory=list)
     checked_out: DataFrame | None = None
+    tombstones: DataFrame | None = None
 
     def has(self, table: str) -> bool:
         return table in self.tables

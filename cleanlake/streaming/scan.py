@@ -2,16 +2,15 @@
 
 Any streaming frame with ``path`` and ``length`` will do: notices from an object store, or a
 ``binaryFile`` stream. Each micro-batch is compared with the file records as they are then,
-and its ghosts are appended to a table by path; the registry is brought up to date from
-that table by ``upsert_registry``. A batch that is replayed writes the same partition again, so
-each notice counts once.
+and its ghosts are added to a table with one partition per batch; a batch that is replayed writes
+its partition again. ``found_ghosts`` reads that table for ``upsert_registry``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -32,3 +31,12 @@ def watch_storage(
         )
 
     return notices.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def found_ghosts(spark: SparkSession, target: str, files: DataFrame) -> DataFrame:
+    """Latest notice per path among the ghosts found, still without a record."""
+    notices = spark.read.parquet(target)
+    latest = notices.groupBy("path", "contenthash").agg(
+        F.max(F.struct("batch", "length")).alias("last")
+    )
+    return scan_ghosts(latest.select("path", "contenthash", "last.length"), files)

@@ -193,6 +193,7 @@ def test_survivors_complement_the_doomed_and_a_second_run_finds_nothing(
         before = {r[0] for r in data[name].select("id").collect()}
         assert kept | set(gone) == before and not kept & set(gone)
         assert done[name].columns == data[name].columns
+    assert sorted(r.objectid for r in done["tombstones"].collect()) == [2, 3]
     unlinked = plan.unlinks.select("path")
     again = plan_cleanup(
         spark,

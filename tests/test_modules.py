@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.operators import modules as m
 from cleanlake.operators.skew import SkewGuard
+from cleanlake.plans.requeue import run_requeue
 from cleanlake.policy import DAY, MODULE_DELETE_TASK, RetentionPolicy
 
 AS_OF = 1_000 * DAY
@@ -173,3 +174,13 @@ def test_large_course_gets_bounded_tasks_that_cover_it(spark):
 def test_old_tasks_are_dropped_when_queued_anew(table, ids):
     tasks = table("task_adhoc", [task(1), task(2, name="other"), task(3, name=None)])
     assert ids(m.without_requeued(tasks)) == [2, 3]
+
+
+def test_requeued_table_is_written_with_fresh_ids(spark, table, cm, tmp_path):
+    tasks = table("task_adhoc", [task(1), task(7, name="other")])
+    rows = run_requeue(spark, tasks, cm, 2, str(tmp_path)).collect()
+    assert sorted(r.id for r in rows) == [7, 8, 9]
+    fresh = [r for r in rows if r.id > 7]
+    assert {(r.classname, r.faildelay, r.timestarted) for r in fresh} == {(MODULE_DELETE_TASK, 0, None)}
+    listed = {i for r in fresh for i in json.loads(r.customdata)["cms"]}
+    assert listed == {"2", "3", "4"}

@@ -3,11 +3,12 @@ import os
 import pytest
 
 from cleanlake.operators import ghosts, removal
+from cleanlake.plans.remove import run_removal
 from cleanlake.plans.scan import run_scan
 from cleanlake.plans.staging import Staging
 from cleanlake.sources.inventory import file_inventory
 from cleanlake.sources.tables import read_tables, table_bytes
-from cleanlake.streaming.scan import watch_storage
+from cleanlake.streaming.scan import found_ghosts, watch_storage
 
 LINKED, UNLINKED = "aa11" * 10, "aa22" * 10
 
@@ -155,3 +156,43 @@ def test_stream_of_storage_notices(spark, files, tmp_path):
     assert run() == [("filedir/x/new", 4)]
     spark.createDataFrame([("filedir/y/more", 1)], schema).write.mode("append").parquet(source)
     assert run() == [("filedir/x/new", 4), ("filedir/y/more", 1)]
+
+
+def test_ghosts_of_a_stream_are_read_once_per_path(spark, files, tmp_path):
+    target = str(tmp_path / "found")
+    rows = [(0, "filedir/x", "x", 1), (1, "filedir/x", "x", 5), (1, f"filedir/{LINKED}", LINKED, 6)]
+    for batch, *row in rows:
+        frame = spark.createDataFrame([tuple(row)], "path string, contenthash string, length bigint")
+        frame.write.mode("append").parquet(f"{target}/batch={batch}")
+    found = found_ghosts(spark, target, files).collect()
+    assert [tuple(r) for r in found] == [("filedir/x", "x", 5)]
+
+
+def test_registry_presence(table):
+    registry = table("ghost_registry", [(1, "filedir/a", "m", 1), (2, "filedir/b", "m", 1)])
+    inventory = table("inventory", [("filedir/a", "a", 1)])
+    got = ghosts.registry_presence(registry, inventory).collect()
+    assert {(r.id, r.present) for r in got} == {(1, True), (2, False)}
+
+
+def test_removing_a_file(spark, root, table, tmp_path):
+    def file(i, content):
+        return (i, content, 1, "c", "a", 0, "/", f"n{i}", 2**20, 1, "x", 0, 0)
+
+    files = table("files", [file(1, UNLINKED), file(2, UNLINKED), file(3, LINKED), file(4, "lost"), file(5, "d")])
+    inventory = file_inventory(spark, root, parallelism=2)
+    chosen = spark.createDataFrame([(1,), (4,), (5,)], "id bigint")
+    # A directory in place of content 5 makes unlinking fail.
+    inventory = inventory.unionByName(table("inventory", [("filedir/a/b/c/d", "d", 1)]))
+    args = (spark, files, inventory, chosen)
+    planned = run_removal(*args, str(tmp_path / "dry"), root)
+    assert {r.status for r in planned["unlinked"].collect()} == {"planned"}
+    assert os.path.exists(f"{root}/filedir/aa/22/{UNLINKED}")
+    done = run_removal(*args, str(tmp_path / "real"), root, dry_run=False)
+    assert {r.path: r.status for r in done["unlinked"].collect()} == {
+        f"filedir/aa/22/{UNLINKED}": "removed",
+        "filedir/a/b/c/d": "error",
+    }
+    assert sorted(r.id for r in done["files"].collect()) == [3, 5]
+    summary = {r.id: (r.status, r.n_records, r.size_mib) for r in done["summary"].collect()}
+    assert summary == {1: ("content", 2, 1.0), 4: ("record_only", 1, 1.0), 5: ("content", 1, 1.0)}
