@@ -140,7 +140,8 @@ def scan_ghosts(v: Views) -> DataFrame:
 
 def upsert_registry(v: Views) -> DataFrame:
     found = scan_ghosts(v).withColumn("mime", F.lit("application/octet-stream"))
-    return ghosts.upsert_registry(v.registry, ghosts.registry_rows(found))
+    scan = v.keep(ghosts.registry_rows(found), "scan")
+    return ghosts.upsert_registry(v.registry, scan)
 
 
 def sniff_mime(v: Views) -> DataFrame:

@@ -40,12 +40,15 @@ class Views:
             self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._raw[name]
 
+    def keep(self, frame: DataFrame, label: str) -> DataFrame:
+        return self._staging.keep(frame, label)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _VIEWS:
             raise AttributeError(name)
         view = _VIEWS[name](self.raw)
         if name in _HASHED:
-            view = self._staging.keep(view, name)
+            view = self.keep(view, name)
         self.__dict__[name] = view
         return view
 

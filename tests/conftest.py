@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
@@ -28,7 +28,7 @@ def table(spark):
     from cleanlake.schemas import SCHEMAS
 
     def make(name, rows):
-        return spark.createDataFrame(rows, SCHEMAS[name])
+        return spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
 
     return make
 
