@@ -400,6 +400,9 @@ def _cleanup_unlinks() -> str:
 
 def oracle_sql() -> dict[str, str]:
     backup_all = "first_backup is not null"
+    found_by_size = f"select path, 'text/plain' as mime, length as size from ({GHOSTS})"
+    submissions = """select count(*) as n_files, cast(coalesce(sum(filesize), 0) as bigint) as n_bytes
+        from files where component = 'assignsubmission_file' and timecreated"""
     backup_safe = "(first_backup is not null and n_backups = n)"
     return {
         "cleanup_report": _cleanup_report(),
@@ -697,6 +700,36 @@ def oracle_sql() -> dict[str, str]:
             query=f"""select id, timecreated from files
             where filearea = 'draft' and timecreated <= {DRAFT_CUT}""",
         ),
+        "cleanup_report_checkout_only": _checkout(f"""
+            select cast(c.seq as bigint) as seq, 'files_checkout' as step, 'files' as "table", c.rule,
+                   count(a.id) as "rows", cast(coalesce(sum(f.filesize), 0) as bigint) as bytes,
+                   case when count(a.id) = 0 then 'none' else 'ok' end as status
+            from (values (1, 'missing'), (2, 'content_gone'), (3, 'backup'), (4, 'draft')) c(seq, rule)
+            left join ({ACTIONS}) a on a.action = c.rule left join files f on f.id = a.id
+            group by c.seq, c.rule"""),
+        "find_files_after_hash": with_views(
+            "files",
+            "usr",
+            query=_found(
+                f"f.filesize > {10 * MIB} and f.contenthash > '8'",
+                FILE_COLUMNS,
+                "order by contenthash limit 50",
+            ),
+        ),
+        "ghost_report_after": with_views(
+            "disk",
+            "files",
+            query=f"""select path, mime, size, round(size / {1024.0**2}, 1) as size_mib
+            from ({found_by_size}) where size < 1500 or (size = 1500 and path > 'filedir/8')
+            order by size desc, path limit 250""",
+        ),
+        "backups_past_lifetime": with_views(
+            "files",
+            query=f"""select id, filename, timecreated from files
+            where filename like '%.mbz' and timecreated <= {BACKUP_CUT}""",
+        ),
+        "component_stats_last_year": with_views("files", query=f"{submissions} > {Y1}"),
+        "component_stats_older": with_views("files", query=f"{submissions} < {Y1}"),
         "file_sizes": with_views(
             "files",
             query=f"""select id, {_shown("filesize")} as shown,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from cleanlake.demo.views import Views
 from cleanlake.functions.clock import years_before
 from cleanlake.functions.formats import format_bytes, gib, mib
 from cleanlake.functions.mime import sniff_text
-from cleanlake.functions.predicates import older_than
+from cleanlake.functions.predicates import is_backup_name, older_than
 from cleanlake.operators import (
     checkout,
     ghosts,
@@ -69,6 +70,12 @@ def cleanup_report(v: Views) -> DataFrame:
     return cleanup.cleanup_report(v.spark, _plan(v))
 
 
+def cleanup_report_checkout_only(v: Views) -> DataFrame:
+    policy = replace(POLICY, auto_remove=False)
+    plan = cleanup.plan_cleanup(v.spark, tables_of(v), v.disk, policy, A)
+    return cleanup.cleanup_report(v.spark, plan)
+
+
 def cleanup_doomed(v: Views) -> DataFrame:
     parts = [
         rows.select(
@@ -323,6 +330,24 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         & older_than("timecreated", POLICY.cutoff(A, POLICY.draft_days), inclusive=True)
     ).select("id", "timecreated"),
     "file_sizes": files_sizes,
+    "cleanup_report_checkout_only": cleanup_report_checkout_only,
+    "find_files_after_hash": lambda v: search.find_files(
+        v.files, v.user, FileFilter(min_mib=10), after_hash="8"
+    ),
+    "ghost_report_after": lambda v: ghosts.ghost_report(
+        ghosts.registry_rows(scan_ghosts(v).withColumn("mime", F.lit("text/plain"))),
+        after=(1500, "filedir/8"),
+    ),
+    "backups_past_lifetime": lambda v: v.files.where(
+        is_backup_name()
+        & older_than("timecreated", POLICY.cutoff(A, POLICY.backup_days), inclusive=True)
+    ).select("id", "filename", "timecreated"),
+    "component_stats_last_year": lambda v: statistics.component_stats(
+        v.files, "assignsubmission_file", until=years_before(A, 1), newer=True
+    ),
+    "component_stats_older": lambda v: statistics.component_stats(
+        v.files, "assignsubmission_file", until=years_before(A, 1)
+    ),
 }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,9 +263,13 @@ class CleanupPlan:
     catalog: Sequence[tuple[str, str, str, str]]
     checked_out: DataFrame | None = None
     tombstones: DataFrame | None = None
+    written: bool = False
 
     def write(self, location: str) -> CleanupPlan:
-        """Write the plan as an audit and return it reading from there."""
+        """Write the plan as an audit and return it reading from there.
+
+        Reports and removals then use exactly these rows, and nothing is computed twice.
+        """
         staging = Staging(self.unlinks.sparkSession, location)
         return CleanupPlan(
             self.tables,
@@ -272,7 +277,8 @@ class CleanupPlan:
             staging.keep(self.unlinks, "unlinks"),
             self.catalog,
             self.checked_out,
-            self.tombstones and staging.keep(self.tombstones, "tombstones"),
+            None if self.tombstones is None else staging.keep(self.tombstones, "tombstones"),
+            written=True,
         )
 
 
@@ -335,15 +341,18 @@ def apply_cleanup(
     target: str,
     root: str | None = None,
     dry_run: bool = True,
+    partition_by: Mapping[str, Sequence[str]] = MappingProxyType({}),
 ) -> dict[str, DataFrame]:
     """Carry the plan out: audit first, then files, then new versions of the tables.
 
     Tables are written below ``target`` and never over the version being read, so a run that fails
-    leaves the data as it was. File records stay when their content could not be unlinked.
+    leaves the data as it was. ``partition_by`` gives the partition columns of tables that have
+    some. File records stay when their content could not be unlinked.
     Returns the new tables, with the fate of each file under ``unlinked`` and records of the
     deleted modules under ``tombstones``.
     """
-    plan = plan.write(f"{target}/audit")
+    if not plan.written:
+        plan = plan.write(f"{target}/audit")
     staging = Staging(spark, target)
     unlinked = staging.keep(
         removal.unlink_files(plan.unlinks, root or "", dry_run=dry_run or root is None), "unlinked"
@@ -354,7 +363,8 @@ def apply_cleanup(
     for table, doomed in plan.doomed.items():
         if table == "files" and plan.checked_out is not None:
             doomed = _without_failed_unlinks(doomed, plan.checked_out, unlinked)
-        done[table] = staging.keep(orphans.survivors(plan.tables[table], doomed), f"table-{table}")
+        kept = orphans.survivors(plan.tables[table], doomed).select(*plan.tables[table].columns)
+        done[table] = staging.keep(kept, f"table-{table}", partition_by.get(table, ()))
     return done
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,9 @@ class Staging:
         base = folder or checkpoint_folder(spark)
         self.folder = f"{base.rstrip('/')}/cleanlake-{uuid.uuid4().hex}"
 
-    def keep(self, frame: DataFrame, label: str) -> DataFrame:
+    def keep(
+        self, frame: DataFrame, label: str, partition_by: Sequence[str] = ()
+    ) -> DataFrame:
         path = f"{self.folder}/{label}"
-        frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        frame.write.partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path).select(*frame.columns)

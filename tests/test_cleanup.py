@@ -185,8 +185,10 @@ def test_own_rules_and_chosen_steps(spark, data, inventory):
 def test_survivors_complement_the_doomed_and_a_second_run_finds_nothing(
     spark, data, inventory, tmp_path
 ):
-    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF)
-    done = apply_cleanup(spark, plan, str(tmp_path / "out"))
+    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF).write(str(tmp_path / "audit"))
+    done = apply_cleanup(
+        spark, plan, str(tmp_path / "out"), partition_by={"files": ["component"]}
+    )
     assert {r.status for r in done["unlinked"].collect()} == {"planned"}
     for name, gone in EXPECTED.items():
         kept = {r[0] for r in done[name].select("id").collect()}
