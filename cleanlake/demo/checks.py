@@ -185,6 +185,15 @@ def _found(where: str, columns: str, tail: str = "") -> str:
     where nth = 1 {tail}"""
 
 
+LISTING = f"""id, filename, component || ', ' || filearea as place,
+    round(filesize / {1024.0**2}, 1) as size_mib,
+    concat_ws(' ', firstname, lastname) as user_name,
+    coalesce(user_deleted, 0) = 1 as user_deleted,
+    strftime(to_timestamp(timecreated) at time zone 'UTC', '%Y-%m-%d %H:%M') as created,
+    component like 'mod\\_%' escape '\\'
+      or (component = 'backup' and filearea = 'course') as previewable"""
+
+
 def _count(where: str) -> str:
     return f"""
     select count(*) as n_records, count(distinct f.contenthash) as n_contents,
@@ -619,6 +628,11 @@ def oracle_sql() -> dict[str, str]:
                 f"f.filesize > {50 * MIB}", FILE_COLUMNS, "order by contenthash limit 20 offset 20"
             ),
         ),
+        "file_page_listing": with_views(
+            "files",
+            "usr",
+            query=_found(f"f.filesize > {50 * MIB}", LISTING, "order by contenthash limit 50"),
+        ),
         "find_files_user": with_views(
             "files",
             "usr",
@@ -632,13 +646,7 @@ def oracle_sql() -> dict[str, str]:
             "usr",
             query=_found(
                 "f.filesize > 0 and f.component = 'backup' and f.filename like '%_1%'",
-                f"""id, filename, component || ', ' || filearea as place,
-                round(filesize / {1024.0**2}, 1) as size_mib,
-                concat_ws(' ', firstname, lastname) as user_name,
-                coalesce(user_deleted, 0) = 1 as user_deleted,
-                strftime(to_timestamp(timecreated) at time zone 'UTC', '%Y-%m-%d %H:%M') as created,
-                component like 'mod\\_%' escape '\\'
-                  or (component = 'backup' and filearea = 'course') as previewable""",
+                LISTING,
             ),
         ),
         "count_files_50mb": with_views("files", "usr", query=_count(f"f.filesize > {50 * MIB}")),

@@ -313,6 +313,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         v.files, v.user, FileFilter(min_mib=50), limit=20, offset=20
     ),
     "find_files_user": find_files_user,
+    "file_page_listing": lambda v: search.file_page(v.files, v.user)[0],
     "find_files_listing": find_files_listing,
     "count_files_50mb": lambda v: search.count_files(v.files, v.user, FileFilter(min_mib=50)),
     "count_files_user": lambda v: search.count_files(

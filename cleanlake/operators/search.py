@@ -11,6 +11,8 @@ from cleanlake.policy import FileFilter
 
 PAGE_SIZE = 50
 SHOWN_PER_PAGE = 1000
+# What a page shows unless told otherwise.
+PAGE_FILTER = FileFilter(min_mib=50)
 # Pages up to this many rows are sent to all executors; larger ones are shuffled.
 _BROADCAST_ROWS = 10_000
 
@@ -92,6 +94,18 @@ def count_files(
     return totals.withColumn("shown_total", F.least("n_records", most))
 
 
+def file_page(
+    files: DataFrame,
+    users: DataFrame,
+    flt: FileFilter = PAGE_FILTER,
+    page: int = 0,
+    page_size: int = PAGE_SIZE,
+) -> tuple[DataFrame, DataFrame]:
+    """A numbered page of the file search as display rows, and its counts."""
+    found = find_files(files, users, flt, page_size, page * page_size)
+    return file_listing(found), count_files(files, users, flt, page)
+
+
 def file_listing(found: DataFrame) -> DataFrame:
     """Display columns of found files. A user that is unknown counts as not deleted."""
     place = F.concat(

@@ -2,10 +2,10 @@
 
 Adaptive execution splits a skewed partition only when both sides of the join come
 straight from a shuffle. Here one side often is an aggregate or an earlier join, already
-partitioned by the key, and then no split takes place. For those joins the hot keys are
-found beforehand and their rows spread over ``salts`` sub-keys; the other side, which has one row per key,
-is repeated for the hot keys only. Every row is still joined: a key wrongly taken as hot
-or missed changes the layout, never the result.
+partitioned by the key, and then no split takes place. For those joins the hot keys are found
+beforehand and their rows spread over ``salts`` sub-keys; the other side, which has one row
+per key, is repeated for the hot keys only. Every row is still joined: a key wrongly taken as
+hot or missed changes the layout, never the result.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def spread_join(
 ) -> DataFrame:
     """Join ``rows`` to ``keyed``, which has at most one row per key.
 
-    ``hot`` are the hot keys of ``rows``; by default they are looked for here, which runs a small job.
+    ``hot`` are the hot keys of ``rows``; by default they are looked for here, by a small job.
     ``row_id`` names columns that tell rows of one key apart. The salt is a hash of them, not a
     random number, so a task that is run again sends its rows to the same place.
     """

@@ -1,6 +1,7 @@
 """Declared schemas of the tables the library works on. Nothing is inferred.
 
-The strings are DDL, as ``DataFrameReader.schema`` takes it. Ids and byte sizes are bigint, times are epoch seconds, flags are int 0/1.
+The strings are DDL, as ``DataFrameReader.schema`` takes it. Ids and byte sizes are bigint, times
+are epoch seconds, flags are int 0/1.
 """
 
 from __future__ import annotations

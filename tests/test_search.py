@@ -110,3 +110,11 @@ def test_filters_reach_the_scan(spark, data, tmp_path):
     plan = count._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(filesize,5242880)" in plan and "EqualTo(component,back" in plan
     assert "filename" not in plan.split("ReadSchema")[1]
+
+
+def test_numbered_page(data):
+    rows, counts = search.file_page(*data, page=0, page_size=1)
+    assert [r.id for r in rows.collect()] == [4]
+    rows, _ = search.file_page(*data, page=1, page_size=1)
+    assert [r.id for r in rows.collect()] == [5]
+    assert counts.first().n_records == 3
