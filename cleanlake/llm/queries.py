@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanlake.llm import line_dedup, packing, quality, url_filter
+from cleanlake.llm import huffman, line_dedup, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_token_ids": huffman.op2_token_ids,
         "op3_quality": quality.op3_quality,
         "op7_packing": packing.op7_packing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
