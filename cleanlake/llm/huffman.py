@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import fresh_folder, slices, table, written
+from cleanlake.llm.shared import fresh_folder, per_worker, slices, table, written
 from cleanlake.llm.tokens import ChunkEncoder
 
 MAGIC = b"TIDH"
@@ -152,7 +152,8 @@ def _raw_blocks(path: str, keeps_space: bool, end_id: int, target: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        encoder = ChunkEncoder(path, "<u2", keeps_space)
+        args = (path, "<u2", keeps_space)
+        encoder = per_worker(args, lambda: ChunkEncoder(*args))
         keys: list[int | None] = []
         data: list[bytes] = []
         held = 0

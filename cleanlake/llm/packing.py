@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import slices, table, written
+from cleanlake.llm.shared import per_worker, slices, table, written
 from cleanlake.llm.tokens import ChunkEncoder
 
 #: Pieces that one task packs together; a group of this size wastes about one sequence.
@@ -143,7 +143,8 @@ def _pieces(path: str, keeps_space: bool, end_id: int, size: int):
     columns = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, "<u4", keeps_space)
+        args = (path, "<u4", keeps_space)
+        encoder = per_worker(args, lambda: ChunkEncoder(*args))
         for batch in batches:
             ids, codes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for i, j in slices(texts):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,3 +70,13 @@ def slices(texts: list, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
         size += n + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept for the next tasks of this Python worker until another key is
+    asked for. The code of a task is sent anew each time; this outlives it."""
+    kept = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker")).__dict__
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept["value"], kept["key"] = make(), key
+    return kept["value"]
