@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanlake.llm import huffman, language, line_dedup, packing, quality, url_filter
+from cleanlake.llm import huffman, language, line_dedup, packing, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_ids": huffman.op2_token_ids,
         "op3_quality": quality.op3_quality,
         "op5_language": language.op5_language,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
