@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanlake.llm import huffman, language, line_dedup, packing, quality, toxicity, url_filter
+from cleanlake.llm import decontamination, huffman, language, line_dedup, packing, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_token_ids": huffman.op2_token_ids,
         "op3_quality": quality.op3_quality,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_language": language.op5_language,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
