@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanlake.llm import decontamination, huffman, language, line_dedup, packing, quality, toxicity, url_filter
+from cleanlake.llm import (
+    decontamination,
+    huffman,
+    jaccard_join,
+    language,
+    line_dedup,
+    packing,
+    quality,
+    toxicity,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": language.op5_language,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
