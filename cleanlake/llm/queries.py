@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanlake.llm import (
+    chat,
     decontamination,
     huffman,
     jaccard_join,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": packing.op7_packing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
