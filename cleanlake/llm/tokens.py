@@ -40,10 +40,13 @@ class _Memo:
     def __init__(self, most: int):
         self.most, self.young, self.old = most // 2, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those that are not known. The others are in the young half afterwards."""
+    def make_room(self) -> None:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those that are not known. The others are in the young half afterwards."""
+        self.make_room()
         out, old, young = [], self.old, self.young
         for key in keys.difference(young):
             if key in old:
@@ -94,25 +97,41 @@ class ChunkEncoder:
             chunks.insert(0, first)
         return chunks
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that the pre-tokenizer leaves whole."""
+        memo = self._pieces
+        found = memo.young.get(piece)
+        if found is None:
+            found = memo.old.get(piece)
+            if found is None:
+                if piece.isascii() and piece.isalpha():
+                    shown = piece
+                else:
+                    shown = piece.encode().decode("latin-1").translate(self._letters)
+                stored = self._stored
+                found = b"".join([stored[t.id] for t in self._model.tokenize(shown)])
+            memo.young[piece] = found
+        return found
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         new = self._chunks.missing(chunks)
+        self._pieces.make_room()
         known = self._chunks.young
         if _OTHER.search("\n".join(new)):
             odd = [c for c in new if _OTHER.search(c)]
             new = [c for c in new if not _OTHER.search(c)]
             known.update(zip(odd, self._whole(odd)))
-        find = self._pattern.findall
-        split = list(map(find, new if self._keeps else [c.lower() for c in new]))
-        pieces: set[str] = set()
-        for parts in split:
-            pieces.update(parts)
-        letters, encode, stored = self._letters, self._model.tokenize, self._stored
-        missing, ids = self._pieces.missing(pieces), self._pieces.young
-        for piece in missing:
-            shown = piece.encode().decode("latin-1").translate(letters)
-            ids[piece] = b"".join([stored[t.id] for t in encode(shown)])
-        for chunk, parts in zip(new, split):
-            known[chunk] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        find, piece = self._pattern.findall, self._piece
+        shown = new if self._keeps else [c.lower() for c in new]
+        for chunk, text in zip(new, shown):
+            # Letters alone are one piece, and a mark behind them is another.
+            word = text[1:] if text[0] == " " else text
+            if word.isalpha():
+                known[chunk] = piece(text)
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                known[chunk] = piece(text[:-1]) + piece(text[-1])
+            else:
+                known[chunk] = b"".join([piece(p) for p in find(text)])
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
