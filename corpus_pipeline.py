@@ -1,8 +1,89 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Each stage calls one operator of ``cleanlake.llm``, works on all rows its predecessor kept, and is
+written as Parquet in the shared folder before the next one reads it. All but the last return the
+columns of documents; the last returns one row per piece of a sequence.
+
+Repeated rows of one id share a fate where a stage decides by id. Rows with a null id are kept by
+such stages as long as their own text passes; an empty table passes through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cleanlake.llm import decontamination, jaccard_join, language, line_dedup, packing
+from cleanlake.llm.shared import fresh_folder, table, written
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what is in one of the learned languages.
+
+    Rejected are texts that are null or without letters, in which no language can be told. Learned
+    from the labelled documents of two folds.
+    """
+    model = language.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = language.identify(docs, model)
+    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines found in at least ten documents, and documents of which no line is left."""
+    out = line_dedup.dedup_lines(docs, min_docs=10)
+    out = out.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.length("text").cast(kind))
+    return out.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id."""
+    groups = written(jaccard_join.similar_groups(docs.select("doc_id", "text")), "groups")
+    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # Only where an id is repeated are texts compared once more, so that one row of it stays.
+    again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item, whole or edited."""
+    found = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = written(found.select("doc_id").distinct(), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 1,024 tokens."""
+    return packing.pack(
+        docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
+STAGES = [
+    ("language", languages),
+    ("line_dedup", lines),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("packing", sequences),
+]
+
+#: Languages, groups and alignments are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = fresh_folder(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
