@@ -90,6 +90,24 @@ CASCADES = {
 DOOMED_VIEWS = ("cm", "course", "modules", "context")
 
 
+# Modules left when those of deleted courses are gone; types that are unknown stay.
+LEFT_CM = f"""
+    select c.* from cm c where not exists (
+      select 1 from ({ORPHAN_CM}) o join modules m on m.id = o.module where o.id = c.id)"""
+
+LISTED_TASK_MODULES = TASK_MODULES.replace("join cm c", "join cm1 c").replace(
+    "else 'deleted' end",
+    """when not exists (select 1 from sections s where s.id = c.section and list_contains(
+           string_split(s."sequence", ','), cast(c.id as varchar))) then 'unlisted'
+         else 'deleted' end""",
+)
+
+
+def _by_module(condition: str) -> str:
+    query = f"select t.* from tags t where exists (select 1 from doomed d where {condition})"
+    return with_views(*DOOMED_VIEWS, "tags", lost=ORPHAN_CM, doomed=DOOMED_CM, query=query)
+
+
 def _cascade_rows(table: str, select: str = "t.*") -> str:
     view, condition = CASCADES[table]
     return f"select {select} from {view} t where exists (select 1 from doomed d where {condition})"
@@ -107,9 +125,7 @@ def _requeue(block: str) -> str:
     select course, count(*) as n_modules, '{views.DELETE_TASK}' as classname,
            '{{"cms":{{' || string_agg('"' || id || '":{{"id":"' || id || '"}}', ',' order by id)
            || '}},"userid":"2","realuserid":"2"}}' as customdata
-    from (select course, id, {block} as block from (
-            select *, count(*) over (partition by course) as n from cm
-            where deletioninprogress = 1))
+    from (select course, id, {block} as block from cm where deletioninprogress = 1)
     group by course, block"""
 
 
@@ -266,7 +282,8 @@ def _cleanup_parts(recheck: bool = True) -> dict[str, str]:
     ghost = _anti_hash("registry", "files2") if recheck else "select * from registry"
     return {
         "stalled": STALLED,
-        "task_modules": TASK_MODULES,
+        "cm1": LEFT_CM,
+        "task_modules": TASK_MODULES.replace("join cm c", "join cm1 c"),
         "gone_tasks": f"select task_id as id, 'resolved_task' as rule from ({TASK_OUTCOMES}) where removed",
         "gone_cm": _first(
             (
@@ -299,12 +316,9 @@ def _cleanup_parts(recheck: bool = True) -> dict[str, str]:
             ("deleted_user", _missing("gg", "grader", "userid")),
         ),
         "gone_gc": _first(("deleted_course", _missing("gc", "course", "courseid"))),
-        "gone_ggh": _first(
-            (
-                "deleted_item_or_aged",
-                _orphan_or_aged("ggh", "gi2", "itemid", "timemodified", HC),
-            )
-        ),
+        "gone_ggh": "select id, 'deleted_item_or_aged' as rule from ("
+        + _orphan_or_aged("ggh", "gi2", "itemid", "timemodified", HC)
+        + ")",
         "context2": _anti("context", "gone_context"),
         "gone_log": _orphan_or_aged("log", "context2", "contextid", "timecreated", LC),
         "files1": _anti("files", "gone_files1"),
@@ -448,6 +462,9 @@ def oracle_sql() -> dict[str, str]:
             "gc", "course", query=_missing("gc", "course", "courseid")
         ),
         "grade_outcomes_deleted_courses": with_views(
+            "gc", "course", query=_missing("gc", "course", "courseid")
+        ),
+        "grade_outcomes_sparing_nulls": with_views(
             "gc", "course", query=_missing("gc", "course", "courseid", "t.courseid is not null")
         ),
         "grade_history_orphan_or_aged": with_views(
@@ -473,6 +490,36 @@ def oracle_sql() -> dict[str, str]:
         "stalled_task_resolution": with_views(
             "task", "cm", "modules", stalled=STALLED, task_modules=TASK_MODULES, query=TASK_OUTCOMES
         ),
+        "module_tags": _by_module(
+            "t.component = 'core' and t.itemtype = 'course_modules' and t.itemid = d.id"
+        ),
+        "module_content_tags": _by_module(
+            "t.component = 'mod_' || d.module_name and t.contextid = d.contextid"
+        ),
+        "module_rows_by_context": _by_module("t.contextid = d.contextid"),
+        "module_rows_by_module": _by_module("t.itemid = d.id"),
+        "stalled_tasks_with_sections": with_views(
+            "task", "cm", "course", "modules", "sections",
+            stalled=STALLED, cm1=LEFT_CM, task_modules=LISTED_TASK_MODULES,
+            query=TASK_OUTCOMES.replace("= 'failed'", "in ('failed', 'unlisted')"),
+        ),
+        "sections_after_cleanup": with_views(
+            "task", "cm", "course", "modules", "sections",
+            stalled=STALLED, cm1=LEFT_CM, task_modules=LISTED_TASK_MODULES,
+            gone=f"""
+                select c.id, c.section from cm c where c.id not in (select id from cm1)
+                union select c.id, c.section from cm c join task_modules t on t.module_id = c.id
+                where t.outcome in ('deleted', 'unlisted')""",
+            query="""
+            select s.id, coalesce(string_agg(p.x, ',' order by p.x_at) filter (g.id is null), '')
+                   as "sequence"
+            from sections s
+            left join (select id as sid, unnest(string_split("sequence", ',')) as x,
+                         generate_subscripts(string_split("sequence", ','), 1) as x_at
+                       from sections) p on p.sid = s.id
+            left join gone g on g.section = s.id and cast(g.id as varchar) = p.x
+            group by s.id""",
+        ),
         "module_cascade_context": _cascade("context"),
         "module_cascade_files": _cascade("files"),
         "module_cascade_events": _cascade("event", "t.id, t.inst as instance, t.modulename"),
@@ -491,7 +538,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "requeue_tasks": with_views("cm", query=_requeue("0")),
         "requeue_tasks_in_blocks": with_views(
-            "cm", query=_requeue("case when n > 3 then id // 3 else 0 end")
+            "cm", query=_requeue("cast(floor(id / 3.0) as bigint)")
         ),
         "tasks_after_requeue": with_views(
             "task", query=f"select id, classname from task where classname <> '{views.DELETE_TASK}'"
@@ -541,16 +588,14 @@ def oracle_sql() -> dict[str, str]:
             "files", "registry", query=_anti_hash("registry", "files")
         ),
         "ghost_report_page0": with_views(
-            "disk",
-            "files",
-            query=f"""select path, 'text/plain' as mime, length as size,
-            round(length / {1024.0**2}, 1) as size_mib from ({GHOSTS})
-            order by length desc, path limit 250""",
+            "registry",
+            query=f"""select path, mime, size, round(size / {1024.0**2}, 1) as size_mib
+            from registry order by size desc, path limit 250""",
         ),
         "ghost_totals": with_views(
-            "disk",
-            query=f"""select count(*) as n_files, cast(sum(length) as bigint) as n_bytes,
-            round(sum(length) / {1024.0**3}, 3) as n_gib from disk""",
+            "registry",
+            query=f"""select count(*) as n_files, cast(sum(size) as bigint) as n_bytes,
+            round(sum(size) / {1024.0**3}, 3) as n_gib from registry""",
         ),
         "ghost_downloads": with_views(
             "registry",
@@ -683,7 +728,11 @@ def oracle_sql() -> dict[str, str]:
             "analytics_log",
             "ggh",
             query=f"""
-            select *, {_shown("n_bytes")} as shown from (
+            select *, {_shown("n_bytes")} as shown,
+                   strftime(to_timestamp(case period when 'last_year' then {Y1} when 'year_before'
+                     then {Y2} end) at time zone 'UTC', '%Y-%m-%d') as since,
+                   strftime(to_timestamp(case when period = 'year_before' then {Y1} when period is not
+                     null then {A} end) at time zone 'UTC', '%Y-%m-%d') as until from (
               select 'files' as section, component as item, period, n_files as n,
                      cast(n_bytes as double) as n_bytes, 'ok' as status
               from ({_file_stats("component in ('assignsubmission_file', 'backup')")})

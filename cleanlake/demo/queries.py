@@ -136,6 +136,26 @@ def _cascade(table: str, view: str) -> Callable[[Views], DataFrame]:
     return query
 
 
+def _cascade_by(rule: modules.CascadeRule, view: str) -> Callable[[Views], DataFrame]:
+    return lambda v: modules.cascade_rows(_doomed_modules(v), getattr(v, view), rule)
+
+
+def stalled_tasks_with_sections(v: Views) -> DataFrame:
+    known = modules.with_module_names(v.course_modules, v.modules)
+    lost = modules.orphan_modules(known.where(F.col("module_name").isNotNull()), v.course)
+    left = orphans.survivors(v.course_modules, lost)
+    listed = modules.stalled_task_modules(_stalled(v), left, v.modules, (), v.sections)
+    return modules.task_outcomes(listed)
+
+
+def sections_after_cleanup(v: Views) -> DataFrame:
+    tables = tables_of(v) | {"course_sections": v.sections}
+    plan = cleanup.plan_cleanup(
+        v.spark, tables, v.disk, POLICY, A, [cleanup.ModulesStep()], cascade_rules=()
+    )
+    return modules.sections_without(v.sections, plan.gone_modules)
+
+
 def module_tombstones(v: Views) -> DataFrame:
     stones = modules.module_tombstones(_doomed_modules(v), v.course_modules)
     return stones.withColumn("snapshot", F.to_json("snapshot"))
@@ -147,8 +167,7 @@ def scan_ghosts(v: Views) -> DataFrame:
 
 def upsert_registry(v: Views) -> DataFrame:
     found = scan_ghosts(v).withColumn("mime", F.lit("application/octet-stream"))
-    scan = v.keep(ghosts.registry_rows(found), "scan")
-    return ghosts.upsert_registry(v.registry, scan)
+    return ghosts.upsert_registry(v.registry, ghosts.registry_rows(found))
 
 
 def sniff_mime(v: Views) -> DataFrame:
@@ -256,6 +275,9 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         v.grade_categories, v.course
     ),
     "grade_outcomes_deleted_courses": lambda v: orphans.rows_of_deleted_courses(
+        v.grade_categories, v.course
+    ),
+    "grade_outcomes_sparing_nulls": lambda v: orphans.rows_of_deleted_courses(
         v.grade_categories, v.course, null_fk="keep"
     ),
     "grade_history_orphan_or_aged": lambda v: orphans.grade_history_to_remove(
@@ -273,10 +295,16 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "module_cascade_completion": _cascade("course_modules_completion", "completion"),
     "module_cascade_viewed": _cascade("course_modules_viewed", "viewed"),
     "module_cascade_criteria": _cascade("course_completion_criteria", "criteria"),
+    "module_tags": _cascade_by(modules.tag_cascade()[1], "tags"),
+    "module_content_tags": _cascade_by(modules.tag_cascade()[0], "tags"),
+    "module_rows_by_context": _cascade_by(modules.by_module_context("tags"), "tags"),
+    "module_rows_by_module": _cascade_by(modules.by_module("tags", "itemid"), "tags"),
+    "stalled_tasks_with_sections": stalled_tasks_with_sections,
+    "sections_after_cleanup": sections_after_cleanup,
     "module_tombstones": module_tombstones,
     "requeue_tasks": lambda v: modules.requeue_tasks(v.course_modules, 2, POLICY),
     "requeue_tasks_in_blocks": lambda v: modules.requeue_tasks(
-        v.course_modules, 2, POLICY, max_modules=3
+        v.course_modules, 2, POLICY, block=3
     ),
     "tasks_after_requeue": lambda v: modules.without_requeued(v.task, POLICY).select(
         "id", "classname"
@@ -287,12 +315,8 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "registry_presence": lambda v: ghosts.registry_presence(v.registry, v.disk),
     "requeued_task_table": lambda v: requeued_tasks(v.task, v.course_modules, 2, POLICY),
     "ghosts_still_unlinked": lambda v: ghosts.still_unlinked(v.registry, v.files),
-    "ghost_report_page0": lambda v: ghosts.ghost_report(ghosts.registry_rows(
-        scan_ghosts(v).withColumn("mime", F.lit("text/plain"))
-    )),
-    "ghost_totals": lambda v: ghosts.ghost_totals(
-        v.disk.withColumn("size", F.col("length"))
-    ),
+    "ghost_report_page0": lambda v: ghosts.ghost_report(v.registry),
+    "ghost_totals": lambda v: ghosts.ghost_totals(v.registry),
     "ghost_downloads": lambda v: links.stored_download(v.registry, "/data"),
     "sniff_mime": sniff_mime,
     "content_presence": lambda v: checkout.with_presence(

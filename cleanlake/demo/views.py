@@ -1,8 +1,8 @@
 """Library tables derived from the sample data set: Spark frames, and the same as SQL.
 
-Every view is made of whole sample tables. Foreign keys of the sample data all
-resolve, so parents lack some rows by an attribute (account balance, market segment, order priority)
-for orphans to exist.
+Every view has a row for each row of a whole sample table (or of each of its groups); none is
+filtered. Foreign keys of the sample data all resolve, so some parents have another key here than
+there, the negative one, and some contents are stored under another hash: their children are orphans.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY
 
 AS_OF = 1735689600  # 2025-01-01
@@ -22,17 +21,12 @@ DELETE_TASK = "course_delete_modules"
 
 
 class Views:
-    """Views over one folder of sample tables, each built once.
-
-    File records and the storage listing hash whole texts, so they are written once per
-    query and read back: what follows reads narrow columns, however often it needs them.
-    """
+    """Views over one folder of sample tables, each built once. None starts a job."""
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
-        self._staging = Staging(spark)
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
@@ -40,15 +34,10 @@ class Views:
             self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._raw[name]
 
-    def keep(self, frame: DataFrame, label: str) -> DataFrame:
-        return self._staging.keep(frame, label)
-
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _VIEWS:
             raise AttributeError(name)
         view = _VIEWS[name](self.raw)
-        if name in _HASHED:
-            view = self.keep(view, name)
         self.__dict__[name] = view
         return view
 
@@ -61,6 +50,11 @@ def _text(*parts):
     return F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
+def _moved(key, every: int):
+    """The key, negative for one of ``every``."""
+    return F.when(key % every == 0, -key).otherwise(key)
+
+
 def _stored_path(h):
     return F.concat(
         F.lit("filedir/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 2), F.lit("/"), h
@@ -98,8 +92,8 @@ def _files(raw):
 
 def _user(raw):
     k = F.col("c_custkey")
-    return raw("customer").where(F.col("c_acctbal") >= 0).select(
-        k.alias("id"),
+    return raw("customer").select(
+        _moved(k, 7).alias("id"),
         F.col("c_mktsegment").alias("firstname"),
         F.col("c_name").alias("lastname"),
         F.when(k % 5 == 0, 1).otherwise(0).alias("deleted"),
@@ -107,13 +101,13 @@ def _user(raw):
 
 
 def _course(raw):
-    return raw("customer").where(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("id"))
+    return raw("customer").select(_moved(F.col("c_custkey"), 7).alias("id"))
 
 
 def _context(raw):
     k = F.col("c_custkey")
-    return raw("customer").where(F.col("c_mktsegment") != "BUILDING").select(
-        k.alias("id"),
+    return raw("customer").select(
+        _moved(k, 5).alias("id"),
         F.when(k % 4 == 0, 50).otherwise(70).alias("contextlevel"),
         (k * 10).alias("instanceid"),
     )
@@ -143,21 +137,21 @@ def _modules(raw):
 
 def _course_modules(raw):
     k = F.col("o_orderkey")
-    return raw("orders").where(F.col("o_orderpriority") != "1-URGENT").select(
-        k.alias("id"),
+    return raw("orders").select(
+        _moved(k, 6).alias("id"),
         F.col("o_custkey").alias("course"),
         (k % 30).alias("module"),
-        (k % 50).alias("instance"),
-        (k % 8).alias("section"),
+        F.when(k % 6 == 0, k % 50 + 100).otherwise(k % 50).alias("instance"),
+        (F.col("o_custkey") * 10 + k % 3).alias("section"),
         F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("deletioninprogress"),
     )
 
 
 def _grade_items(raw):
     k = F.col("o_orderkey")
-    return raw("orders").where(F.col("o_totalprice") >= 50000).select(
-        k.alias("id"),
-        F.col("o_custkey").alias("courseid"),
+    return raw("orders").select(
+        _moved(k, 4).alias("id"),
+        F.when(k % 19 != 0, F.col("o_custkey")).alias("courseid"),
         F.when(F.col("o_orderstatus") == "F", "mod").otherwise("manual").alias("itemtype"),
         _text("m", k % 30).alias("itemmodule"),
         (k % 50).alias("iteminstance"),
@@ -177,9 +171,7 @@ def _grade_grades(raw):
 
 
 def _grader(raw):
-    return raw("supplier").where(F.col("s_acctbal") >= 1000).select(
-        F.col("s_suppkey").alias("id")
-    )
+    return raw("supplier").select(_moved(F.col("s_suppkey"), 5).alias("id"))
 
 
 def _grade_categories(raw):
@@ -245,10 +237,11 @@ def _criteria(raw):
 
 
 def _disk(raw):
-    records = raw("documents").where(F.col("lang") != "es")
     h = F.col("contenthash")
+    # The content of Spanish documents is stored under another hash.
+    own = F.when(F.col("lang") == "es", F.md5(F.concat(F.lit("x"), "text"))).otherwise(F.md5("text"))
     stored = [
-        records.select(F.md5("text").alias("contenthash"), (F.col("n_chars") * 8192).alias("n")),
+        raw("documents").select(own.alias("contenthash"), (F.col("n_chars") * 8192).alias("n")),
         raw("pages").select(F.md5("html").alias("contenthash"), F.length("html").alias("n")),
         raw("conversations").select(F.md5("text").alias("contenthash"), F.length("text").alias("n")),
     ]
@@ -261,32 +254,53 @@ def _disk(raw):
 
 
 def _registry(raw):
-    one = F.lit(1).cast("bigint")
-    pages = raw("pages").where(F.col("url").startswith("https:"))
-    toxic = raw("labels").where(F.col("toxic") == 1).select("doc_id")
-    relinked = (
-        raw("documents")
-        .join(toxic, "doc_id")
-        .groupBy(F.md5("text").alias("h"))
-        .agg(F.min("doc_id").alias("doc_id"))
+    """All pages, and a row for each content of a document: toxic ones by their own hash, which has
+    a record again, the others by one without."""
+    d = raw("documents").join(raw("labels").select("doc_id", "toxic"), "doc_id", "left")
+    own = F.when(F.col("toxic") == 1, F.md5("text")).otherwise(F.md5(F.concat(F.lit("y"), "text")))
+    contents = d.groupBy(own.alias("h")).agg(
+        F.min("doc_id").alias("doc_id"), F.max(F.col("n_chars") * 8192).alias("size")
     )
     return (
-        pages.select(
+        raw("pages").select(
             F.col("page_id").alias("id"),
             _stored_path(F.md5("html")).alias("path"),
             F.lit("text/plain").alias("mime"),
-            one.alias("size"),
+            F.length("html").cast("bigint").alias("size"),
         )
     ).unionByName(
-        relinked.select(
+        contents.select(
             (F.lit(100000000) + F.col("doc_id")).alias("id"),
             _stored_path(F.col("h")).alias("path"),
             F.lit("text/plain").alias("mime"),
-            one.alias("size"),
+            F.col("size").cast("bigint").alias("size"),
         )
     )
 
 
+def _sections(raw):
+    """Sections list most of their modules, in ascending order."""
+    k = F.col("o_orderkey")
+    listed = F.when(k % 13 != 0, _moved(k, 6))
+    return (
+        raw("orders")
+        .groupBy((F.col("o_custkey") * 10 + k % 3).alias("id"))
+        .agg(F.array_sort(F.collect_list(listed)).alias("ids"))
+        .select("id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("sequence"))
+    )
+
+
+def _tags(raw):
+    line = F.col("l_linenumber")
+    return raw("lineitem").select(
+        _line_id().alias("id"),
+        F.when(line % 2 == 0, "core").otherwise(_text("mod_m", F.col("l_suppkey") % 30)).alias("component"),
+        F.col("l_partkey").alias("contextid"),
+        F.col("l_orderkey").alias("itemid"),
+        F.when(line % 4 == 0, "course_modules").otherwise("post").alias("itemtype"),
+    )
+
+
 _VIEWS = {
     "files": _files,
     "user": _user,
@@ -308,13 +322,17 @@ _VIEWS = {
     "criteria": _criteria,
     "disk": _disk,
     "registry": _registry,
+    "sections": _sections,
+    "tags": _tags,
 }
 
-_HASHED = ("files", "disk", "registry")
-
 _LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
+def _moved_sql(key: str, every: int) -> str:
+    return f"case when {key} % {every} = 0 then -{key} else {key} end"
+
+
 def _path_sql(h: str) -> str:
     return f"'filedir/' || substr({h}, 1, 2) || '/' || substr({h}, 3, 2) || '/' || {h}"
 
@@ -334,15 +352,16 @@ VIEW_SQL: dict[str, str] = {
                {AS_OF} - (doc_id * 7 % 1000) * {DAY} as timecreated,
                {AS_OF} - (doc_id * 11 % 1000) * {DAY} as timemodified
         from documents""",
-    "usr": """
-        select c_custkey as id, c_mktsegment as firstname, c_name as lastname,
+    "usr": f"""
+        select {_moved_sql("c_custkey", 7)} as id, c_mktsegment as firstname, c_name as lastname,
                case when c_custkey % 5 = 0 then 1 else 0 end as deleted
-        from customer where c_acctbal >= 0""",
-    "course": "select c_custkey as id from customer where c_acctbal >= 0",
-    "context": """
-        select c_custkey as id, case when c_custkey % 4 = 0 then 50 else 70 end as contextlevel,
+        from customer""",
+    "course": f"select {_moved_sql('c_custkey', 7)} as id from customer",
+    "context": f"""
+        select {_moved_sql("c_custkey", 5)} as id,
+               case when c_custkey % 4 = 0 then 50 else 70 end as contextlevel,
                c_custkey * 10 as instanceid
-        from customer where c_mktsegment <> 'BUILDING'""",
+        from customer""",
     "log": """
         select event_id as id, user_id as contextid, epoch_us(ts) // 1000000 as timecreated
         from events""",
@@ -352,19 +371,21 @@ VIEW_SQL: dict[str, str] = {
         from conversations""",
     "modules": """
         select cast(n_nationkey as bigint) as id, 'm' || n_nationkey as nm from nation""",
-    "cm": """
-        select o_orderkey as id, o_custkey as course, o_orderkey % 30 as module,
-               o_orderkey % 50 as inst, o_orderkey % 8 as section,
+    "cm": f"""
+        select {_moved_sql("o_orderkey", 6)} as id, o_custkey as course, o_orderkey % 30 as module,
+               case when o_orderkey % 6 = 0 then o_orderkey % 50 + 100 else o_orderkey % 50 end as inst,
+               o_custkey * 10 + o_orderkey % 3 as section,
                case when o_orderstatus = 'P' then 1 else 0 end as deletioninprogress
-        from orders where o_orderpriority <> '1-URGENT'""",
-    "gi": """
-        select o_orderkey as id, o_custkey as courseid,
+        from orders""",
+    "gi": f"""
+        select {_moved_sql("o_orderkey", 4)} as id,
+               case when o_orderkey % 19 <> 0 then o_custkey end as courseid,
                case when o_orderstatus = 'F' then 'mod' else 'manual' end as itemtype,
                'm' || (o_orderkey % 30) as itemmodule, o_orderkey % 50 as iteminstance
-        from orders where o_totalprice >= 50000""",
+        from orders""",
     "gg": f"""
         select {_LINE_ID} as id, l_orderkey as itemid, l_suppkey as userid from lineitem""",
-    "grader": "select s_suppkey as id from supplier where s_acctbal >= 1000",
+    "grader": f"select {_moved_sql('s_suppkey', 5)} as id from supplier",
     "gc": """
         select o_orderkey as id,
                case when o_orderkey % 97 <> 0 then o_custkey end as courseid from orders""",
@@ -391,19 +412,33 @@ VIEW_SQL: dict[str, str] = {
                cast(o_orderkey % 5 as int) as criteriatype from orders""",
     "disk": f"""
         select {_path_sql("h")} as path, h as contenthash, max(n) as length from (
-          select md5(text) as h, n_chars * 8192 as n from documents where lang <> 'es'
+          select case when lang = 'es' then md5('x' || text) else md5(text) end as h,
+                 n_chars * 8192 as n from documents
           union all select md5(html), length(html) from pages
           union all select md5(text), length(text) from conversations) t
         group by h""",
     "registry": f"""
         select page_id as id, {_path_sql("md5(html)")} as path, 'text/plain' as mime,
-               cast(1 as bigint) as size
-        from pages where url like 'https:%'
+               length(html) as size
+        from pages
         union all
-        select 100000000 + min(d.doc_id) as id, {_path_sql("md5(d.text)")} as path,
-               'text/plain' as mime, cast(1 as bigint) as size
-        from documents d join labels l on l.doc_id = d.doc_id where l.toxic = 1
-        group by md5(d.text)""",
+        select 100000000 + min(doc_id) as id, {_path_sql("h")} as path, 'text/plain' as mime,
+               max(n_chars * 8192) as size
+        from (select d.doc_id, d.n_chars,
+                     case when l.toxic = 1 then md5(d.text) else md5('y' || d.text) end as h
+              from documents d left join labels l on l.doc_id = d.doc_id) t
+        group by h""",
+    "sections": f"""
+        select o_custkey * 10 + o_orderkey % 3 as id,
+               coalesce(string_agg({_moved_sql("o_orderkey", 6)}, ','
+                 order by {_moved_sql("o_orderkey", 6)}) filter (o_orderkey % 13 <> 0), '') as "sequence"
+        from orders group by 1""",
+    "tags": f"""
+        select {_LINE_ID} as id,
+               case when l_linenumber % 2 = 0 then 'core' else 'mod_m' || (l_suppkey % 30) end as component,
+               l_partkey as contextid, l_orderkey as itemid,
+               case when l_linenumber % 4 = 0 then 'course_modules' else 'post' end as itemtype
+        from lineitem""",
 }
 
 

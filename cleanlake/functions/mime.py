@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from io import BytesIO
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,42 +32,63 @@ SIGNATURES: tuple[tuple[int, bytes, str], ...] = (
 
 EMPTY = "application/x-empty"
 BINARY = "application/octet-stream"
-HEAD_BYTES = 4096
+CHUNK = 1 << 20
 
 _HTML = (b"<!doctype html", b"<html", b"<head", b"<title", b"<body")
 _TEXT_CONTROLS = {7, 8, 9, 10, 12, 13, 27}
+_CONTROLS = bytes(b for b in range(32) if b not in _TEXT_CONTROLS)
+_BLANKS = b" \t\n\r\x0b\x0c"
+# Enough for the longest opening that tells a kind of text.
+_OPENING = max(map(len, _HTML))
+
 
+def sniff_stream(read: Callable[[int], bytes]) -> str:
+    """Content type of what ``read(n)`` returns piece by piece, empty at the end.
 
-def sniff_head(head: bytes) -> str:
-    """Content type of a file that starts with ``head``."""
-    if not head:
+    Signatures are looked for at the start; a control byte makes it binary wherever it is.
+    """
+    chunk = read(CHUNK)
+    if not chunk:
         return EMPTY
+    head = chunk
+    while len(head) < 16 and (more := read(16)):
+        head += more
     for offset, mark, mime in SIGNATURES:
         if head.startswith(mark, offset):
             return mime
-    if any(b < 32 and b not in _TEXT_CONTROLS for b in head):
-        return BINARY
-    lead = head.lstrip().lower()
-    if lead.startswith(b"<?xml"):
+    opening, chunk = b"", head
+    while chunk:
+        if chunk.translate(None, _CONTROLS) != chunk:
+            return BINARY
+        if len(opening) < _OPENING:
+            opening = (opening + chunk[: CHUNK + _OPENING]).lstrip(_BLANKS)[:_OPENING]
+        chunk = read(CHUNK)
+    opening = opening.lower()
+    if opening.startswith(b"<?xml"):
         return "text/xml"
-    if any(lead.startswith(tag) for tag in _HTML):
+    if any(opening.startswith(tag) for tag in _HTML):
         return "text/html"
     return "text/plain"
 
 
+def sniff_bytes(content: bytes) -> str:
+    return sniff_stream(BytesIO(content).read)
+
+
 def sniff_text(col: str) -> Column:
-    """Content type of a string column. The whole value is tested, not its start only."""
+    """Content type of a string column, the same as of a file with that content."""
     text = F.col(col)
+    data = text.cast("binary")
     lead = F.lower(F.ltrim(F.regexp_replace(text, r"^\s+", "")))
     html = F.lit(False)
     for tag in _HTML:
         html = html | lead.startswith(tag.decode())
+    mime = F.when(text.isNull() | (text == ""), EMPTY)
+    for offset, mark, kind in SIGNATURES:
+        start = F.substring(data, offset + 1, len(mark))
+        mime = mime.when(start == F.lit(bytearray(mark)), kind)
     return (
-        F.when(text.isNull() | (text == ""), EMPTY)
-        .when(text.startswith("%PDF-"), "application/pdf")
-        .when(text.startswith("{\\rtf"), "text/rtf")
-        .when(text.startswith("%!PS"), "application/postscript")
-        .when(text.rlike(r"[\x00-\x06\x0B\x0E-\x1A\x1C-\x1F]"), BINARY)
+        mime.when(text.rlike(r"[\x00-\x06\x0B\x0E-\x1A\x1C-\x1F]"), BINARY)
         .when(lead.startswith("<?xml"), "text/xml")
         .when(html, "text/html")
         .otherwise("text/plain")

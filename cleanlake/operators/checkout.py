@@ -23,20 +23,22 @@ all its records are outdated backups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.predicates import is_backup_name, is_draft, older_than
-from cleanlake.operators.skew import HotKeys, spread_join
+from cleanlake.operators.orphans import unwritten
 from cleanlake.policy import RetentionPolicy
 
 KEEP, MISSING, GONE, BACKUP, DRAFT = "keep", "missing", "content_gone", "backup", "draft"
 
 
-def with_presence(files: DataFrame, inventory: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def with_presence(files: DataFrame, inventory: DataFrame) -> DataFrame:
     """Adds ``present``: whether the content of the record is stored."""
     stored = inventory.select("contenthash").distinct().withColumn("present", F.lit(True))
-    joined = spread_join(files, stored, ["contenthash"], "left", hot)
+    joined = files.join(stored, "contenthash", "left")
     return joined.select(
         *files.columns, F.coalesce("present", F.lit(False)).alias("present")
     )
@@ -119,12 +121,15 @@ def files_checkout(
     policy: RetentionPolicy,
     as_of: int,
     safe_shared_content: bool = False,
-    hot: HotKeys | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
-    """``(id, contenthash, action)`` for every record."""
-    state = content_state(files, inventory, policy, as_of)
+    """``(id, contenthash, action)`` for every record.
+
+    ``keep`` may write the state of the contents; a content with very many records is split then.
+    """
+    state = keep(content_state(files, inventory, policy, as_of), "content-state")
     records = _records(files, policy, as_of)
-    joined = spread_join(records, state, ["contenthash"], "left", hot)
+    joined = records.join(state, "contenthash", "left")
     return joined.select("id", "contenthash", _action(safe_shared_content).alias("action"))
 
 
@@ -134,20 +139,21 @@ def checkout_doomed(
     policy: RetentionPolicy,
     as_of: int,
     safe_shared_content: bool = False,
-    hot: HotKeys | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """``(id, contenthash, action, bytes)`` for the records that go.
 
     Only contents that lose records are joined back to the records, as a rule a small part.
+    ``keep`` may write them; a content with very many records is split then.
     """
     loses = (
         ~F.col("present")
         | F.col("first_backup").isNotNull()
         | (_lone_draft() & F.col("draft").isNotNull())
     )
-    state = content_state(files, inventory, policy, as_of).where(loses)
+    state = keep(content_state(files, inventory, policy, as_of).where(loses), "losing-contents")
     records = _records(files, policy, as_of)
-    joined = spread_join(records, state, ["contenthash"], "inner", hot)
+    joined = records.join(state, "contenthash")
     action = _action(safe_shared_content)
     return joined.select("id", "contenthash", action.alias("action"), "bytes").where(
         F.col("action") != KEEP

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import gib, mib
-from cleanlake.functions.mime import BINARY, HEAD_BYTES, sniff_head
+from cleanlake.functions.mime import BINARY, sniff_stream
 from cleanlake.operators.numbering import numbered
+from cleanlake.operators.orphans import unwritten
 from cleanlake.sources.inventory import file_tasks, open_root, with_content_key
 
 PAGE_SIZE = 250
@@ -36,9 +37,10 @@ def ghost_bytes(ghosts: DataFrame) -> DataFrame:
 
 
 def sniff_stored(ghosts: DataFrame, root: str, parallelism: int | None = None) -> DataFrame:
-    """Adds ``mime`` from the first bytes of each stored file, read where the task runs.
+    """Adds ``mime`` from the content of each stored file, read in chunks where the task runs.
 
-    Meant for ghosts only, after the anti join. Unreadable files count as plain bytes. Rows
+    A file is read up to its first control byte, a text to its end. Meant for ghosts only, after
+    the anti join. Unreadable files count as plain bytes. Rows
     are few bytes but one file access each, so their spread is set by number, not by size.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ghosts.schema)
@@ -49,7 +51,7 @@ def sniff_stored(ghosts: DataFrame, root: str, parallelism: int | None = None) -
         def head_type(path: str) -> str:
             try:
                 with filesystem.open_input_file(f"{base}/{path}") as stream:
-                    return sniff_head(stream.read(HEAD_BYTES))
+                    return sniff_stream(stream.read)
             except OSError:
                 return BINARY
 
@@ -65,12 +67,16 @@ def registry_rows(ghosts: DataFrame) -> DataFrame:
     return ghosts.select("path", "mime", F.col("length").alias("size"))
 
 
-def upsert_registry(registry: DataFrame, scan: DataFrame) -> DataFrame:
+def upsert_registry(
+    registry: DataFrame,
+    scan: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
+) -> DataFrame:
     """Registry after a scan, with the ``change`` of each row.
 
     ``path`` is the key. Known paths keep their id and take the new type and size, new
-    ones get the next ids, and paths the scan did not meet stay as they are. ``scan`` is read
-    more than once: give a written table, not the listing of a storage that changes.
+    ones get the next ids, and paths the scan did not meet stay as they are. Both sides meet in
+    one join, which is looked at several times; ``keep`` may write it.
     """
     old = registry.select(
         "path",
@@ -78,15 +84,17 @@ def upsert_registry(registry: DataFrame, scan: DataFrame) -> DataFrame:
         F.col("mime").alias("old_mime"),
         F.col("size").alias("old_size"),
     )
-    known = old.join(scan.select("path", "mime", "size"), "path", "left").select(
+    seen = scan.select("path", "mime", "size", F.lit(True).alias("seen"))
+    both = keep(old.join(seen, "path", "full"), "registry-and-scan")
+    known = both.where(F.col("old_id").isNotNull()).select(
         F.col("old_id").alias("id"),
         "path",
         F.coalesce("mime", "old_mime").alias("mime"),
         F.coalesce("size", "old_size").alias("size"),
-        F.when(F.col("size").isNull(), "untouched").otherwise("updated").alias("change"),
+        F.when(F.col("seen"), "updated").otherwise("untouched").alias("change"),
     )
-    new = scan.join(registry.select("path"), "path", "left_anti")
-    added = numbered(new.select("path", "mime", "size"), "path", registry)
+    new = both.where(F.col("old_id").isNull()).select("path", "mime", "size")
+    added = numbered(new, "path", registry)
     return known.unionByName(added.withColumn("change", F.lit("inserted")))
 
 
@@ -98,8 +106,8 @@ def ghost_report(
 ) -> DataFrame:
     """A page of ghosts, largest first, ties by path.
 
-    ``after`` is the (size, path) of the last row seen; unlike ``page`` it stays cheap
-    however far down the list it points.
+    ``after`` is the (size, path) of the last row seen and stays cheap however far down the list it
+    points; ``page`` brings all rows before the page to one task, so it is for the first pages.
     """
     if after is not None:
         size, path = after
@@ -131,14 +139,20 @@ def registry_presence(registry: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def still_unlinked(registry: DataFrame, files: DataFrame) -> DataFrame:
-    """Registry rows whose content is still without a record.
+def still_unlinked(
+    registry: DataFrame, files: DataFrame, doomed: DataFrame | None = None
+) -> DataFrame:
+    """Registry rows whose content is still without a record; those ``doomed`` do not count.
 
     Ghosts are few next to records, so the records are cut down to those of ghost contents
-    first; as a rule that is a broadcast, and the records are not shuffled.
+    first, before the doomed ones are dropped; as a rule that is a broadcast, and the
+    records are not shuffled.
     """
     keyed = with_content_key(registry)
-    linked = files.select("contenthash").join(
+    linked = files.select("id", "contenthash").join(
         keyed.select("contenthash"), "contenthash", "left_semi"
     )
+    if doomed is not None:
+        linked = linked.join(doomed.select("id"), "id", "left_anti")
+    linked = linked.select("contenthash")
     return keyed.join(linked.distinct(), "contenthash", "left_anti").select(*registry.columns)

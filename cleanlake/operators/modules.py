@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.functions.payload import module_ids, module_payload
 from cleanlake.functions.predicates import older_than
-from cleanlake.operators.orphans import orphans
-from cleanlake.operators.skew import NO_HOT_KEYS, HotKeys, spread_join
+from cleanlake.operators.orphans import orphans, unwritten
 from cleanlake.policy import RetentionPolicy
 
 ABSENT, DELETED, FAILED = "absent", "deleted", "failed"
@@ -189,18 +188,21 @@ def doomed_modules(
 
 
 def cascade_rows(
-    doomed: DataFrame, table: DataFrame, rule: CascadeRule, hot: HotKeys = NO_HOT_KEYS
+    doomed: DataFrame,
+    table: DataFrame,
+    rule: CascadeRule,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """Rows of ``table`` the rule dooms.
 
-    Keys of the modules are reduced to distinct ones first, which mostly leaves few enough to
-    broadcast. When they are many, give the ``hot`` keys of the table.
+    Keys of the modules are reduced to distinct ones first. ``keep`` may write them; their size is
+    known then, and where they are too many to broadcast a hot key of the table is split.
     """
     for column, value in rule.where.items():
         table = table.where(F.col(column) == F.lit(value))
     keys = doomed.select(*[F.col(m).alias(c) for c, m in rule.keys.items()]).dropna()
-    joined = spread_join(table, keys.distinct(), list(rule.keys), "left_semi", hot)
-    return joined.select(*table.columns)
+    keys = keep(keys.distinct(), f"keys-{rule.label}")
+    return table.join(keys, list(rule.keys), "left_semi").select(*table.columns)
 
 
 def cascade(
@@ -233,6 +235,17 @@ def remove_from_sections(sections: DataFrame, doomed: DataFrame) -> DataFrame:
     return lists.where("gone").select(F.col("section").alias("id"), text.alias("sequence"))
 
 
+def sections_without(sections: DataFrame, doomed: DataFrame) -> DataFrame:
+    """All sections, those that listed doomed modules with a shorter list."""
+    changed = remove_from_sections(sections, doomed)
+    changed = changed.withColumnRenamed("sequence", "shorter")
+    return (
+        sections.join(changed, "id", "left")
+        .withColumn("sequence", F.coalesce("shorter", "sequence"))
+        .select(*sections.columns)
+    )
+
+
 def module_tombstones(doomed: DataFrame, course_modules: DataFrame) -> DataFrame:
     """Audit record of each deleted module, with a snapshot of its row."""
     snapshot = F.struct(*[F.col(c) for c in course_modules.columns])
@@ -250,25 +263,16 @@ def requeue_tasks(
     course_modules: DataFrame,
     user_id: int,
     policy: RetentionPolicy = RetentionPolicy(),
-    max_modules: int = 10_000,
-    hot: HotKeys | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """New deletion tasks for modules marked as being deleted: one per course.
 
-    A course with more than ``max_modules`` pending ones gets several, each for a block of
-    ids that wide, so no payload outgrows ``max_modules`` and no hot course is collected as a
-    whole. All modules are covered either way.
+    The payload of a task is one text value, so a course's pending ids come together in it. Where that
+    is too much, ``block`` cuts every course alike into blocks of ids that wide, with a task each.
     """
     pending = course_modules.where(F.col("deletioninprogress") == 1).select("course", "id")
-    large = (
-        pending.groupBy("course")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_modules)
-        .select("course", F.lit(True).alias("large"))
-    )
-    marked = spread_join(pending, large, ["course"], "left", hot)
-    block = F.when(F.col("large"), F.floor(F.col("id") / F.lit(max_modules))).otherwise(0)
-    tasks = marked.groupBy("course", block.alias("block")).agg(
+    part = F.lit(0) if block is None else F.floor(F.col("id") / F.lit(block))
+    tasks = pending.groupBy("course", part.alias("part")).agg(
         F.array_sort(F.collect_list("id")).alias("ids")
     )
     return tasks.select(

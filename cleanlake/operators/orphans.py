@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.predicates import all_of, holds, older_than
-from cleanlake.operators.skew import NO_HOT_KEYS, HotKeys, spread_join
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def unwritten(frame: DataFrame, label: str) -> DataFrame:
+    """The default of ``keep``: the frame as it is."""
+    return frame
+
+
 def orphans(
     child: DataFrame,
     parent: DataFrame,
@@ -23,8 +27,7 @@ def orphans(
     pk: str | Sequence[str] = "id",
     null_fk: str = "doom",
     unique_parent: bool = True,
-    hot: HotKeys | None = NO_HOT_KEYS,
-    row_id: Sequence[str] = ("id",),
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """Rows of ``child`` without a row in ``parent``.
 
@@ -32,8 +35,7 @@ def orphans(
     spares it. A parent known by its primary key is joined as it is: both sides are then
     plain shuffles and adaptive execution can split a hot foreign key. Pass
     ``unique_parent=False`` when parent keys repeat, so they are reduced before the shuffle.
-    That, or a parent that is itself the result of a join, rules the split out; give ``hot`` then
-    (None looks for hot keys).
+    That rules the split out, unless ``keep`` (``Staging.keep``, say) writes the reduced keys.
     """
     fks, pks = _names(fk), _names(pk)
     if null_fk == "keep":
@@ -42,8 +44,8 @@ def orphans(
         raise ValueError("null_fk is 'doom' or 'keep'")
     keys = parent.select(*[F.col(p).alias(c) for c, p in zip(fks, pks)])
     if not unique_parent:
-        keys = keys.distinct()
-    return spread_join(child, keys, fks, "left_anti", hot, row_id).select(*child.columns)
+        keys = keep(keys.distinct(), "parent-keys")
+    return child.join(keys, fks, "left_anti").select(*child.columns)
 
 
 def orphan_or_aged(
@@ -53,8 +55,6 @@ def orphan_or_aged(
     ts: str,
     cutoff: int,
     pk: str = "id",
-    hot: HotKeys = NO_HOT_KEYS,
-    row_id: Sequence[str] = ("id",),
 ) -> DataFrame:
     """Rows without a parent or older than ``cutoff``, with the ``reason``.
 
@@ -64,7 +64,7 @@ def orphan_or_aged(
     old = older_than(ts, cutoff)
     aged = child.where(old).withColumn("reason", F.lit("aged"))
     fresh = child.where((F.col(ts) >= F.lit(cutoff)) | F.col(ts).isNull())
-    lost = orphans(fresh, parent, fk, pk, hot=hot, row_id=row_id)
+    lost = orphans(fresh, parent, fk, pk)
     return aged.unionByName(lost.withColumn("reason", F.lit("orphan")))
 
 
@@ -83,7 +83,9 @@ def grade_items_of_deleted_courses(grade_items: DataFrame, course: DataFrame) ->
 
 
 def grade_items_of_deleted_modules(
-    grade_items: DataFrame, course_modules: DataFrame, hot: HotKeys | None = None
+    grade_items: DataFrame,
+    course_modules: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """Module grade items whose (course, instance) has no module, of whatever type."""
     return orphans(
@@ -92,19 +94,17 @@ def grade_items_of_deleted_modules(
         ("courseid", "iteminstance"),
         ("course", "instance"),
         unique_parent=False,
-        hot=hot,
+        keep=keep,
     )
 
 
-def grades_of_deleted_items(
-    grades: DataFrame, grade_items: DataFrame, hot: HotKeys = NO_HOT_KEYS, row_id=("id",)
-) -> DataFrame:
-    return orphans(grades, grade_items, "itemid", hot=hot, row_id=row_id)
+def grades_of_deleted_items(grades: DataFrame, grade_items: DataFrame) -> DataFrame:
+    return orphans(grades, grade_items, "itemid")
 
 
-def grades_of_deleted_users(grades: DataFrame, users: DataFrame, row_id=("id",)) -> DataFrame:
+def grades_of_deleted_users(grades: DataFrame, users: DataFrame) -> DataFrame:
     """Grades whose user row is gone. Users only flagged as deleted still have one."""
-    return orphans(grades, users, "userid", row_id=row_id)
+    return orphans(grades, users, "userid")
 
 
 def rows_of_deleted_courses(
@@ -114,22 +114,12 @@ def rows_of_deleted_courses(
     return orphans(rows, course, "courseid", null_fk=null_fk)
 
 
-def grade_history_to_remove(
-    history: DataFrame,
-    grade_items: DataFrame,
-    cutoff: int,
-    hot: HotKeys = NO_HOT_KEYS,
-    row_id=("id",),
-) -> DataFrame:
-    return orphan_or_aged(
-        history, grade_items, "itemid", "timemodified", cutoff, hot=hot, row_id=row_id
-    )
+def grade_history_to_remove(history: DataFrame, grade_items: DataFrame, cutoff: int) -> DataFrame:
+    return orphan_or_aged(history, grade_items, "itemid", "timemodified", cutoff)
 
 
-def log_rows_to_remove(
-    log: DataFrame, context: DataFrame, cutoff: int, hot: HotKeys = NO_HOT_KEYS
-) -> DataFrame:
-    return orphan_or_aged(log, context, "contextid", "timecreated", cutoff, hot=hot)
+def log_rows_to_remove(log: DataFrame, context: DataFrame, cutoff: int) -> DataFrame:
+    return orphan_or_aged(log, context, "contextid", "timecreated", cutoff)
 
 
 def first_rule(rules: Sequence[tuple[str, DataFrame]], key: str = "id") -> DataFrame:

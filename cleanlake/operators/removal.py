@@ -2,44 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import mib
-from cleanlake.operators.skew import HotKeys, spread_join
+from cleanlake.operators.orphans import unwritten
 from cleanlake.sources.inventory import file_tasks, open_root
 
 REMOVED, ABSENT, ERROR, PLANNED = "removed", "absent", "error", "planned"
 
 
 def remove_by_file(
-    files: DataFrame, chosen: DataFrame, hot: HotKeys | None = None
+    files: DataFrame,
+    chosen: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
-    """Every record that shares its content with one of the chosen ids."""
+    """Every record that shares its content with one of the chosen ids.
+
+    ``keep`` may write the contents; one with very many records is split then.
+    """
     contents = (
         files.select("id", "contenthash")
         .join(chosen.select("id"), "id", "left_semi")
         .select("contenthash")
         .distinct()
     )
-    return spread_join(files, contents, ["contenthash"], "left_semi", hot).select(*files.columns)
+    contents = keep(contents, "chosen-contents")
+    return files.join(contents, "contenthash", "left_semi").select(*files.columns)
 
 
 def removal_summary(
-    files: DataFrame, inventory: DataFrame, chosen: DataFrame, hot: HotKeys | None = None
+    files: DataFrame,
+    inventory: DataFrame,
+    chosen: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """One row per chosen id: what its removal means.
 
     ``status`` is ``not_found`` for an unknown id, ``record_only`` when the content is not
-    stored, else ``content``. ``n_records`` counts all records that go with it.
+    stored, else ``content``. ``n_records`` counts all records that go with it. The chosen records
+    are looked at twice; ``keep`` may write them, so that they are found once.
     """
     picked = chosen.select("id").distinct()
     wanted = files.join(picked, "id", "left_semi").select(
         "id", "contenthash", "filename", "filesize"
     )
+    wanted = keep(wanted, "chosen-records")
     # The chosen contents are few as a rule: a broadcast leaves only their records to count.
     shared = (
         files.select("contenthash")
@@ -49,7 +60,7 @@ def removal_summary(
     )
     stored = inventory.select("contenthash").distinct().withColumn("present", F.lit(True))
     state = shared.join(stored, "contenthash", "left")
-    found = spread_join(wanted, state, ["contenthash"], "inner", hot)
+    found = wanted.join(state, "contenthash")
     status = (
         F.when(F.col("n_records").isNull(), "not_found")
         .when(F.col("present"), "content")

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import full_name, mib, minute
 from cleanlake.functions.predicates import all_of, file_conditions, is_previewable
-from cleanlake.policy import FileFilter
+from cleanlake.policy import FileFilter, RetentionPolicy
 
 PAGE_SIZE = 50
 SHOWN_PER_PAGE = 1000
 # What a page shows unless told otherwise.
 PAGE_FILTER = FileFilter(min_mib=50)
-# Pages up to this many rows are sent to all executors; larger ones are shuffled.
-_BROADCAST_ROWS = 10_000
 
 
 def _user_columns(users: DataFrame) -> DataFrame:
@@ -53,8 +51,10 @@ def find_files(
 
     The record shown for a content is the one with the lowest id. The grouping
     carries nothing but that id; the other columns are read for the page only. ``after_hash``
-    continues behind a known hash, which stays cheap on deep pages where ``offset`` does not.
-    ``limit=None`` returns every content.
+    continues behind a known hash, which stays cheap on deep pages; ``offset`` brings all rows
+    before the page to one task, so it is for the first pages only. ``limit=None`` returns every
+    content. The rows of a page are persisted, as they are looked at twice: for the page and to
+    cut the users down to its own.
     """
     found = matching_files(files, users, flt)
     if after_hash is not None:
@@ -62,17 +62,13 @@ def find_files(
     page = found.groupBy("contenthash").agg(F.min("id").alias("id"))
     if limit is not None:
         page = page.orderBy("contenthash").offset(offset).limit(limit)
-    few = limit is not None and limit <= _BROADCAST_ROWS
-
-    def small(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if few else frame
-
-    rows = files.join(small(page.select("id")), "id", "left_semi")
+    rows = files.join(page.select("id"), "id", "left_semi")
     people = _user_columns(users)
-    if few:
-        wanted = rows.where(F.col("userid").isNotNull()).select("userid")
-        people = people.join(F.broadcast(wanted), "userid", "left_semi")
-    return rows.join(small(people), "userid", "left").select(
+    if limit is not None:
+        rows = rows.persist()
+        wanted = rows.where(F.col("userid").isNotNull()).select("userid").distinct()
+        people = people.join(wanted, "userid", "left_semi")
+    return rows.join(people, "userid", "left").select(
         *files.columns, "user_deleted", "firstname", "lastname"
     )
 
@@ -99,10 +95,18 @@ def file_page(
     users: DataFrame,
     flt: FileFilter = PAGE_FILTER,
     page: int = 0,
-    page_size: int = PAGE_SIZE,
+    page_size: int | None = None,
+    after_hash: str | None = None,
+    policy: RetentionPolicy = RetentionPolicy(),
 ) -> tuple[DataFrame, DataFrame]:
-    """A numbered page of the file search as display rows, and its counts."""
-    found = find_files(files, users, flt, page_size, page * page_size)
+    """A page of the file search as display rows, and its counts.
+
+    The page size is the policy's unless given. Deep pages should be asked for by the last hash of
+    the one before (``after_hash``) instead of their number.
+    """
+    size = page_size or policy.items_per_page
+    offset = 0 if after_hash is not None else page * size
+    found = find_files(files, users, flt, size, offset, after_hash)
     return file_listing(found), count_files(files, users, flt, page)
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.functions.clock import years_before
-from cleanlake.functions.formats import format_bytes
+from cleanlake.functions.formats import day, format_bytes
 from cleanlake.functions.predicates import file_time, time_range
-from cleanlake.sources.tables import BYTES_PER_ROW_GUESS
+from cleanlake.sources.tables import BYTES_PER_ROW_GUESS, table_bytes
 
 PERIODS = ("all", "last_year", "year_before")
 
@@ -136,14 +136,33 @@ def _table_stats(spark: SparkSession, table: HistoryTable, one: int, two: int) -
     ).withColumn("status", F.lit("ok"))
 
 
+def period_days(period: Column, as_of: int) -> tuple[Column, Column]:
+    """First and last day a period is shown with; ``all`` has no first day."""
+    one, two = F.lit(years_before(as_of, 1)), F.lit(years_before(as_of, 2))
+    since = F.when(period == "last_year", one).when(period == "year_before", two)
+    until = F.when(period == "year_before", one).when(period.isNotNull(), F.lit(as_of))
+    return day(since), day(until)
+
+
 def usage_statistics(
     spark: SparkSession,
     files: DataFrame,
     components: Sequence[str],
     history: Sequence[HistoryTable],
     as_of: int,
+    paths: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The whole usage report: ``(section, item, period, n, n_bytes, shown, status)``."""
+    """The whole usage report.
+
+    ``(section, item, period, since, until, n, n_bytes, shown, status)``. ``paths`` says where
+    history tables lie whose size is not given; their files' sizes are summed then.
+    """
+    sizes = {
+        name: table_bytes(spark, path).first()["bytes"] for name, path in (paths or {}).items()
+    }
+    history = [
+        t if t.size is not None else replace(t, size=sizes.get(t.name)) for t in history
+    ]
     of_files = file_stats(files, components, as_of).select(
         F.lit("files").alias("section"),
         F.col("component").alias("item"),
@@ -162,4 +181,5 @@ def usage_statistics(
     )
     both = of_files.unionByName(of_history)
     shown = F.when(F.col("n_bytes").isNotNull(), format_bytes("n_bytes"))
-    return both.withColumn("shown", shown)
+    since, until = period_days(F.col("period"), as_of)
+    return both.withColumns({"shown": shown, "since": since, "until": until})

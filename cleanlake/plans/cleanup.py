@@ -12,18 +12,15 @@ from dataclasses import dataclass
 from functools import reduce
 from types import MappingProxyType
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.operators import checkout, ghosts, modules, orphans, removal
-from cleanlake.operators.skew import NO_HOT_KEYS
 from cleanlake.plans.rules import CleanupStep, Run
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import RetentionPolicy
 from cleanlake.sources.inventory import with_content_key
 
-# Up to this many keys a set of doomed modules is sure to be broadcast.
-MANY_KEYS = 100_000
 UNLINK_SCHEMA = "path string, reason string, bytes bigint"
 
 
@@ -39,13 +36,20 @@ class ModulesStep:
         )
         if list(run.undeletable):
             removable = removable.where(~F.col("module_name").isin(*run.undeletable))
-        rules = [("deleted_course", modules.orphan_modules(removable, run.tables["course"]))]
+        lost = modules.orphan_modules(removable, run.tables["course"]).select("id")
+        lost = run.staging.keep(lost, "orphan_modules")
+        rules = [("deleted_course", lost)]
 
         if run.has("task_adhoc"):
             stalled = modules.stalled_tasks(run.tables["task_adhoc"], run.policy, run.as_of)
+            # Orphans are gone by the time tasks are tried: a task finds nothing left of them.
             listed = run.staging.keep(
                 modules.stalled_task_modules(
-                    stalled, cm, types, run.undeletable, run.tables.get("course_sections")
+                    stalled,
+                    orphans.survivors(cm, lost),
+                    types,
+                    run.undeletable,
+                    run.tables.get("course_sections"),
                 ),
                 "task_modules",
             )
@@ -73,7 +77,7 @@ class ModulesStep:
         )
 
         run.tombstones = modules.module_tombstones(doomed, cm)
-        many = doomed.count() > MANY_KEYS
+        run.gone_modules = doomed
         cascades = run.cascade_rules
         if cascades is None:
             cascades = modules.module_cascade(run.policy)
@@ -82,10 +86,7 @@ class ModulesStep:
                 run.skip(self.name, rule.table, rule.label)
                 continue
             rows = modules.cascade_rows(
-                doomed,
-                run.tables[rule.table],
-                rule,
-                run.guard.hot(run.tables[rule.table], list(rule.keys)) if many else NO_HOT_KEYS,
+                doomed, run.tables[rule.table], rule, run.staging.keep
             )
             run.doom(
                 self.name,
@@ -111,23 +112,20 @@ class GradesStep:
                 (
                     "deleted_module",
                     orphans.grade_items_of_deleted_modules(
-                        items,
-                        run.live("course_modules"),
-                        run.guard.hot(items, ("courseid", "iteminstance")),
+                        items, run.live("course_modules"), run.staging.keep
                     ),
                 ),
             ],
             stage=True,
         )
-        items = run.live("grade_items")
+        items = run.live_written("grade_items", "id")
         if run.has("grade_grades"):
             grades = run.tables["grade_grades"]
-            hot = run.hot_keys("grade_grades", "itemid", parent="grade_items")
             run.doom(
                 self.name,
                 "grade_grades",
                 [
-                    ("deleted_item", orphans.grades_of_deleted_items(grades, items, hot)),
+                    ("deleted_item", orphans.grades_of_deleted_items(grades, items)),
                     (
                         "deleted_user",
                         orphans.grades_of_deleted_users(grades, run.tables["user"]),
@@ -143,7 +141,6 @@ class GradesStep:
                 run.tables["grade_grades_history"],
                 items,
                 run.policy.cutoff(run.as_of, run.policy.grade_history_days),
-                run.hot_keys("grade_grades_history", "itemid", parent="grade_items"),
             )
             run.doom(self.name, "grade_grades_history", [("deleted_item_or_aged", rows)])
 
@@ -156,16 +153,13 @@ class LogsStep:
 
     def plan(self, run: Run) -> None:
         cutoff = run.policy.cutoff(run.as_of, run.policy.log_days)
+        context = None
         for store in self.stores:
             if not run.has(store):
                 run.skip(self.name, store, "no_context_or_aged")
                 continue
-            rows = orphans.log_rows_to_remove(
-                run.tables[store],
-                run.live("context"),
-                cutoff,
-                run.hot_keys(store, "contextid", parent="context"),
-            )
+            context = context or run.live_written("context", "id")
+            rows = orphans.log_rows_to_remove(run.tables[store], context, cutoff)
             run.doom(self.name, store, [("no_context_or_aged", rows)])
 
 
@@ -202,7 +196,7 @@ class GhostsStep:
         doomed = registry
         rules = [("ghost", doomed)]
         if run.recheck_ghosts:
-            doomed = ghosts.still_unlinked(registry, run.live("files"))
+            doomed = ghosts.still_unlinked(registry, run.tables["files"], run.doomed.get("files"))
             rules = [("ghost", doomed), ("linked_again", registry)]
         doomed = run.staging.keep(doomed.select("id", "path", "size"), "ghost_paths")
         rules[0] = ("ghost", doomed)
@@ -221,13 +215,15 @@ class CheckoutStep:
     actions = (checkout.MISSING, checkout.GONE, checkout.BACKUP, checkout.DRAFT)
 
     def plan(self, run: Run) -> None:
-        files, inventory = run.live("files"), run.inventory
+        columns = ("id", "contenthash", "filename", "component", "filearea", "timecreated", "filesize")
+        files, inventory = run.live_written("files", *columns), run.inventory
         gone = run.unlinked_paths()
         if gone is not None:
             inventory = inventory.join(gone.select("path"), "path", "left_anti")
+            inventory = run.staging.keep(inventory, "live-inventory")
         args = (files, inventory, run.policy, run.as_of, run.safe_shared_content)
-        hot = run.guard.hot(run.tables["files"], ("contenthash",))
-        found = run.staging.keep(checkout.checkout_doomed(*args, hot=hot), "checkout")
+        found = checkout.checkout_doomed(*args, keep=run.staging.keep)
+        found = run.staging.keep(found, "checkout")
         run.checked_out = found
         run.add(
             self.name, "files", self.actions, found.withColumnRenamed("action", "rule")
@@ -263,8 +259,16 @@ class CleanupPlan:
     catalog: Sequence[tuple[str, str, str, str]]
     checked_out: DataFrame | None = None
     tombstones: DataFrame | None = None
+    gone_modules: DataFrame | None = None
+    staging: Staging | None = None
     written: bool = False
 
+    def close(self) -> None:
+        """Remove the tables written while planning. The plan cannot be read afterwards; the
+        one ``write`` returned can."""
+        if self.staging is not None:
+            self.staging.close()
+
     def write(self, location: str) -> CleanupPlan:
         """Write the plan as an audit and return it reading from there.
 
@@ -276,8 +280,9 @@ class CleanupPlan:
             {t: staging.keep(rows, f"doomed-{t}") for t, rows in self.doomed.items()},
             staging.keep(self.unlinks, "unlinks"),
             self.catalog,
-            self.checked_out,
+            None if self.checked_out is None else staging.keep(self.checked_out, "checked_out"),
             None if self.tombstones is None else staging.keep(self.tombstones, "tombstones"),
+            None if self.gone_modules is None else staging.keep(self.gone_modules, "gone_modules"),
             written=True,
         )
 
@@ -293,14 +298,22 @@ def plan_cleanup(
     **options,
 ) -> CleanupPlan:
     """Plan a clean-up without changing anything. ``options`` are those of ``Run``."""
-    run = Run(tables, inventory, policy, as_of, staging or Staging(spark), **options)
+    own = staging or Staging(spark)
+    run = Run(tables, inventory, policy, as_of, own, **options)
     for step in default_steps(policy) if steps is None else steps:
         step.plan(run)
     unlinks = run.unlinked_paths()
     if unlinks is None:
         unlinks = spark.createDataFrame([], UNLINK_SCHEMA)
     return CleanupPlan(
-        tables, run.doomed, unlinks, run.catalog, run.checked_out, run.tombstones
+        tables,
+        run.doomed,
+        unlinks,
+        run.catalog,
+        run.checked_out,
+        run.tombstones,
+        run.gone_modules,
+        own,
     )
 
 
@@ -346,25 +359,40 @@ def apply_cleanup(
     """Carry the plan out: audit first, then files, then new versions of the tables.
 
     Tables are written below ``target`` and never over the version being read, so a run that fails
-    leaves the data as it was. ``partition_by`` gives the partition columns of tables that have
-    some. File records stay when their content could not be unlinked.
+    leaves the data as it was. Only tables that lose rows are written; of one with ``partition_by``
+    columns only the partitions that do, so swap in those and leave the others. Section lists
+    are written anew where a deleted module is taken out of them. File records stay when their
+    content could not be unlinked. A dry run writes the audit and no table.
     Returns the new tables, with the fate of each file under ``unlinked`` and records of the
     deleted modules under ``tombstones``.
     """
     if not plan.written:
         plan = plan.write(f"{target}/audit")
+    dry_run = dry_run or root is None
     staging = Staging(spark, target)
-    unlinked = staging.keep(
-        removal.unlink_files(plan.unlinks, root or "", dry_run=dry_run or root is None), "unlinked"
-    )
-    done = {"unlinked": unlinked}
+    unlinked = removal.unlink_files(plan.unlinks, root or "", dry_run=dry_run)
+    done = {"unlinked": staging.keep(unlinked, "unlinked")}
     if plan.tombstones is not None:
         done["tombstones"] = plan.tombstones
+    if dry_run:
+        return done
     for table, doomed in plan.doomed.items():
         if table == "files" and plan.checked_out is not None:
-            doomed = _without_failed_unlinks(doomed, plan.checked_out, unlinked)
-        kept = orphans.survivors(plan.tables[table], doomed).select(*plan.tables[table].columns)
-        done[table] = staging.keep(kept, f"table-{table}", partition_by.get(table, ()))
+            doomed = _without_failed_unlinks(doomed, plan.checked_out, done["unlinked"])
+        if doomed.isEmpty():
+            continue
+        rows, parts = plan.tables[table], partition_by.get(table, ())
+        if parts:
+            touched = rows.join(doomed.select("id"), "id", "left_semi").select(*parts).distinct()
+            touched = staging.keep(touched, f"touched-{table}")
+            same = reduce(Column.__and__, [rows[c].eqNullSafe(touched[c]) for c in parts])
+            rows = rows.join(touched, same, "left_semi")
+        kept = orphans.survivors(rows, doomed).select(*plan.tables[table].columns)
+        done[table] = staging.keep(kept, f"table-{table}", parts)
+    if plan.gone_modules is not None and "course_sections" in plan.tables:
+        sections = plan.tables["course_sections"]
+        after = modules.sections_without(sections, plan.gone_modules)
+        done["course_sections"] = staging.keep(after, "table-course_sections")
     return done
 
 

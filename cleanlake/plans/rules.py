@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cleanlake.operators.modules import CascadeRule
 from cleanlake.operators.orphans import first_rule, survivors
-from cleanlake.operators.skew import NO_HOT_KEYS, HotKeys, SkewGuard
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import RetentionPolicy
 
@@ -30,7 +29,6 @@ class Run:
     policy: RetentionPolicy
     as_of: int
     staging: Staging
-    guard: SkewGuard = field(default_factory=SkewGuard)
     recheck_ghosts: bool = True
     safe_shared_content: bool = False
     undeletable: Iterable[str] = ()
@@ -40,6 +38,7 @@ class Run:
     catalog: list[tuple[str, str, str, str]] = field(default_factory=list)
     checked_out: DataFrame | None = None
     tombstones: DataFrame | None = None
+    gone_modules: DataFrame | None = None
 
     def has(self, table: str) -> bool:
         return table in self.tables
@@ -48,11 +47,11 @@ class Run:
         rows = self.tables[table]
         return survivors(rows, self.doomed[table]) if table in self.doomed else rows
 
-    def hot_keys(self, table: str, *on: str, parent: str) -> HotKeys:
-        """Hot foreign keys of a table, needed once rows of its parent are doomed."""
-        if parent not in self.doomed:
-            return NO_HOT_KEYS
-        return self.guard.hot(self.tables[table], on)
+    def live_written(self, table: str, *columns: str) -> DataFrame:
+        """Columns of ``live``, written once for the rules that look at them. Where nothing is
+        doomed that is the table itself."""
+        rows = self.live(table).select(*columns)
+        return self.staging.keep(rows, f"live-{table}") if table in self.doomed else rows
 
     def doom(
         self,

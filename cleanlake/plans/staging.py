@@ -2,12 +2,13 @@
 
 A step's result that later steps read is written once, to the folder the cluster shares. This
 cuts the lineage, survives lost executors, and gives the planner true sizes, so it broadcasts
-a doomed set only when that set really is small.
+a doomed set only when that set really is small. A side of a join that is an aggregate is
+written for another reason too: read back, it is shuffled plainly, and only between two plain
+shuffles does adaptive execution split a hot key.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -15,19 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local session may go without one."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="cleanlake-")
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 class Staging:
-    """Writes frames as parquet below one folder per job and reads them back."""
+    """Writes frames as parquet below one folder per job and reads them back.
+
+    Whoever makes one removes its folder with ``close`` (or ``with``) when nothing reads the
+    tables any more.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
@@ -40,3 +41,13 @@ class Staging:
         path = f"{self.folder}/{label}"
         frame.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -9,7 +9,8 @@ up to ``parallelism``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,33 +36,63 @@ def file_tasks(spark: SparkSession) -> int:
 
 
 def _children(filesystem, base: str, path: str):
-    """Entries of one directory, names with a leading dot left out."""
+    """Entries of one directory, names with a leading dot left out.
+
+    A local (or mounted) directory is read entry by entry. Object stores have no directories as such;
+    their client returns one level as a list.
+    """
     from pyarrow import fs
 
-    selector = fs.FileSelector(f"{base}/{path}", allow_not_found=True)
-    for info in filesystem.get_file_info(selector):
+    folder = f"{base}/{path}"
+    if isinstance(filesystem, fs.LocalFileSystem):
+        try:
+            listing = os.scandir(folder)
+        except FileNotFoundError:
+            return
+        with listing:
+            for entry in listing:
+                if not entry.name.startswith("."):
+                    is_dir = entry.is_dir()
+                    yield f"{path}/{entry.name}", is_dir, 0 if is_dir else entry.stat().st_size
+        return
+    for info in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
         if not info.base_name.startswith("."):
             is_dir = info.type == fs.FileType.Directory
             yield f"{path}/{info.base_name}", is_dir, 0 if is_dir else info.size
 
 
+def list_entries(
+    filesystem, base: str, entries: Iterable[tuple[str, bool, int]], deep: bool, batch: int = _BATCH
+) -> Iterator[list[tuple[str, bool, int]]]:
+    """Files at or below the entries, in batches; without ``deep`` one level, directories too.
+
+    No more than a batch and the open directories are held, however many files one has.
+    """
+    out: list[tuple[str, bool, int]] = []
+    for entry in entries:
+        pending = [iter([entry])]
+        while pending:
+            child = next(pending[-1], None)
+            if child is None:
+                pending.pop()
+            elif child[1] and (deep or len(pending) == 1):
+                pending.append(_children(filesystem, base, child[0]))
+            else:
+                out.append(child)
+                if len(out) >= batch:
+                    yield out
+                    out = []
+    if out:
+        yield out
+
+
 def _lister(root: str, deep: bool):
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = open_root(root)
-        out: list[tuple[str, bool, int]] = []
         for frame in frames:
-            pending = list(frame.itertuples(index=False, name=None))
-            while pending:
-                path, is_dir, length = pending.pop()
-                if not is_dir:
-                    out.append((path, False, length))
-                else:
-                    for child in _children(filesystem, base, path):
-                        (pending if deep and child[1] else out).append(child)
-                if len(out) >= _BATCH:
-                    yield pd.DataFrame(out, columns=["path", "is_dir", "length"])
-                    out = []
-        yield pd.DataFrame(out, columns=["path", "is_dir", "length"])
+            entries = frame.itertuples(index=False, name=None)
+            for found in list_entries(filesystem, base, entries, deep):
+                yield pd.DataFrame(found, columns=["path", "is_dir", "length"])
 
     return expand
 

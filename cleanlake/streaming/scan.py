@@ -26,13 +26,19 @@ def watch_storage(
     def batch(frame: DataFrame, batch_id: int) -> None:
         stored = with_content_key(frame.select("path", "length"))
         latest = stored.groupBy("path", "contenthash").agg(F.max("length").alias("length"))
-        scan_ghosts(latest, files()).write.mode("overwrite").parquet(
+        scan_ghosts(latest, _records_of(latest, files())).write.mode("overwrite").parquet(
             f"{target}/batch={batch_id}"
         )
 
     return notices.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def _records_of(batch: DataFrame, files: DataFrame) -> DataFrame:
+    """Records of the batch's contents: a batch is small, so the records are not shuffled."""
+    wanted = batch.select("contenthash").distinct()
+    return files.select("contenthash").join(wanted, "contenthash", "left_semi")
+
+
 def found_ghosts(spark: SparkSession, target: str, files: DataFrame) -> DataFrame:
     """Latest notice per path among the ghosts found, still without a record."""
     notices = spark.read.parquet(target)

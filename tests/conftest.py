@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
@@ -19,10 +19,28 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not session.sparkContext.getCheckpointDir():
+        shared = str(tmp_path_factory.mktemp("shared"))
+        session.sparkContext.setCheckpointDir(shared)
     yield session
     session.stop()
 
 
+@pytest.fixture
+def conf(spark):
+    """conf({key: value}): settings for the time of a test."""
+    before = {}
+
+    def put(settings):
+        for key, value in settings.items():
+            before.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @pytest.fixture
 def table(spark):
     """table("name", rows): a frame with the declared schema of that table."""

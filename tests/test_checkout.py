@@ -3,7 +3,7 @@ import random
 import pytest
 
 from cleanlake.operators import checkout, removal
-from cleanlake.operators.skew import SkewGuard
+from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY, RetentionPolicy
 
 AS_OF = 1_000 * DAY
@@ -43,8 +43,8 @@ def visit_one_by_one(files, stored, safe=False):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("hot_contents", [False, True])
-def test_closed_form_equals_one_by_one(table, seed, hot_contents):
+@pytest.mark.parametrize("write", [False, True])
+def test_closed_form_equals_one_by_one(spark, table, tmp_path, seed, write):
     rng = random.Random(seed)
     contents = [f"h{n}" for n in range(60)]
     files = []
@@ -69,14 +69,12 @@ def test_closed_form_equals_one_by_one(table, seed, hot_contents):
 
     frame = table("files", files)
     inventory = table("inventory", [(f"filedir/{h}", h, 1) for h in stored])
-    guard = SkewGuard(min_rows=50, min_share=0.1, salts=4) if hot_contents else SkewGuard()
-    hot = guard.hot(frame, ["contenthash"])
-    assert bool(hot.codes) == hot_contents
+    options = {"keep": Staging(spark, str(tmp_path)).keep} if write else {}
     args = (frame, inventory, POLICY, AS_OF)
 
-    every = checkout.files_checkout(*args, hot=hot).collect()
+    every = checkout.files_checkout(*args, **options).collect()
     assert {r.id: r.action for r in every} == expected
-    doomed = checkout.checkout_doomed(*args, hot=hot).collect()
+    doomed = checkout.checkout_doomed(*args, **options).collect()
     assert {r.id: r.action for r in doomed} == {i: a for i, a in expected.items() if a != "keep"}
     assert {r.contenthash for r in checkout.unlink_hashes(*args).collect()} == unlinked
     assert {r.bytes for r in doomed} == {10}

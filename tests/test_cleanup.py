@@ -1,9 +1,9 @@
 import os
+from dataclasses import replace
 
 import pytest
 
 from cleanlake.operators import checkout
-from cleanlake.operators.skew import SkewGuard
 from cleanlake.plans.cleanup import (
     CheckoutStep,
     LogsStep,
@@ -12,6 +12,7 @@ from cleanlake.plans.cleanup import (
     plan_cleanup,
 )
 from cleanlake.plans.rules import Rule
+from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY, MODULE_DELETE_TASK, RetentionPolicy
 
 AS_OF = 2_000 * DAY
@@ -133,10 +134,47 @@ def test_later_rules_see_what_earlier_ones_removed(spark, data, inventory):
     }
 
 
-def test_salted_joins_plan_the_same(spark, data, inventory):
-    guard = SkewGuard(min_rows=1, min_share=0.1, salts=3)
-    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF, guard=guard)
-    assert doomed(plan) == EXPECTED
+def test_a_module_that_goes_with_its_course_does_not_fail_its_task(spark, data, inventory, table):
+    # Modules 2 (course gone) and 3 are listed by no section; only 3 is still there for task 1.
+    sections = table("course_sections", [(1, "1, 9"), (2, "7")])
+    data["course_modules"] = table(
+        "course_modules", [(1, 10, 1, 100, 1, 0), (2, 11, 1, 200, 1, 0), (3, 10, 1, 300, 1, 1)]
+    )
+    data["task_adhoc"] = table(
+        "task_adhoc",
+        [(i, MODULE_DELETE_TASK, 1, 0, f'{{"cms":[{{"id":"{m}"}}]}}') for i, m in ((1, 2), (2, 3))],
+    )
+    plan = plan_cleanup(spark, {**data, "course_sections": sections}, inventory, POLICY, AS_OF)
+    got = doomed(plan)
+    assert got["task_adhoc"] == {1: "resolved_task"}
+    assert got["course_modules"] == {2: "deleted_course", 3: "stalled_task"}
+
+
+def test_deleted_modules_leave_their_section(spark, data, inventory, table, tmp_path):
+    sections = table("course_sections", [(1, "3,1, 2"), (2, "2"), (3, None)])
+    plan = plan_cleanup(spark, {**data, "course_sections": sections}, inventory, POLICY, AS_OF)
+    done = apply_cleanup(spark, plan, str(tmp_path / "out"), str(tmp_path), dry_run=False)
+    lists = {r.id: r.sequence for r in done["course_sections"].collect()}
+    assert lists == {1: "1", 2: "2", 3: None}, "module 2 belongs to section 1"
+
+
+def test_a_closed_plan_leaves_no_tables(spark, data, inventory, tmp_path):
+    plan = plan_cleanup(
+        spark, data, inventory, POLICY, AS_OF, staging=Staging(spark, str(tmp_path / "stage"))
+    )
+    audit = plan.write(str(tmp_path / "audit"))
+    plan.close()
+    assert not os.listdir(tmp_path / "stage")
+    assert doomed(audit) == EXPECTED
+
+
+def test_scans_of_the_files(spark, data, inventory, tmp_path, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    data["files"].write.parquet(str(tmp_path / "files"))
+    data["files"] = spark.read.parquet(str(tmp_path / "files"))
+    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF)
+    final = plan.doomed["files"]._jdf.queryExecution().executedPlan().toString()
+    assert final.count(str(tmp_path / "files")) <= 1, "written steps are read, not worked out again"
 
 
 def test_without_recheck_linked_ghosts_lose_their_content(spark, data, inventory):
@@ -183,13 +221,24 @@ def test_own_rules_and_chosen_steps(spark, data, inventory):
 
 
 def test_survivors_complement_the_doomed_and_a_second_run_finds_nothing(
-    spark, data, inventory, tmp_path
+    spark, data, inventory, table, tmp_path
 ):
     plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF).write(str(tmp_path / "audit"))
-    done = apply_cleanup(
-        spark, plan, str(tmp_path / "out"), partition_by={"files": ["component"]}
+    dry = apply_cleanup(spark, plan, str(tmp_path / "dry"), str(tmp_path))
+    assert set(dry) == {"unlinked", "tombstones"}, "a dry run writes no tables"
+    assert {r.status for r in dry["unlinked"].collect()} == {"planned"}
+    data["files"] = data["files"].unionByName(
+        table("files", [file(20, "h1", 51, "mod_page"), file(21, "h1", 51, "mod_page")])
     )
-    assert {r.status for r in done["unlinked"].collect()} == {"planned"}
+    done = apply_cleanup(
+        spark, replace(plan, tables=data), str(tmp_path / "out"), str(tmp_path), dry_run=False,
+        partition_by={"files": ["component"]},
+    )
+    assert {r.status for r in done["unlinked"].collect()} == {"absent"}
+    assert set(done) == {*EXPECTED, "unlinked", "tombstones"}, "modules and others are not copied"
+    parts = {r.component for r in done["files"].select("component").distinct().collect()}
+    assert "mod_page" not in parts, "partitions that lose nothing are not copied"
+    done["files"] = done["files"].unionByName(data["files"].where("component = 'mod_page'"))
     for name, gone in EXPECTED.items():
         kept = {r[0] for r in done[name].select("id").collect()}
         before = {r[0] for r in data[name].select("id").collect()}

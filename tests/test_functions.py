@@ -116,10 +116,27 @@ def test_sniffing():
         b"plain \xc3\xa9 text\n": "text/plain",
         b"\x00\x01\x02": mime.BINARY,
     }
-    assert {head: mime.sniff_head(head) for head in cases} == cases
-
-
-def test_sniffing_reads_whole_texts(spark):
-    texts = ["", "<HTML>", "x" * 100_000 + "\x01", "words", None]
-    kinds = column(spark, texts, "string", mime.sniff_text("v"))
-    assert kinds == [mime.EMPTY, "text/html", mime.BINARY, "text/plain", mime.EMPTY]
+    assert {head: mime.sniff_bytes(head) for head in cases} == cases
+
+
+def test_stored_and_column_form_agree_on_whole_contents(spark):
+    far = mime.CHUNK + 70_000
+    texts = {
+        "": mime.EMPTY,
+        "<HTML>": "text/html",
+        "x" * 70_000 + "\x01": mime.BINARY,
+        "x" * far + "\x00": mime.BINARY,
+        " \n" * far + "<title>": "text/html",
+        " " * (mime.CHUNK - 3) + "<?xml?>": "text/xml",
+        "words": "text/plain",
+        "GIF89a": "image/gif",
+        "éé%PDF-": "text/plain",
+        "éé..WAVE": "text/plain",
+        "é.ftyp": "text/plain",
+        "éé" + "ftyp": "video/mp4",
+        "%!PS\x00": "application/postscript",
+    }
+    kinds = column(spark, list(texts), "string", mime.sniff_text("v"))
+    assert kinds == list(texts.values())
+    assert [mime.sniff_bytes(t.encode()) for t in texts] == kinds
+    assert column(spark, [None], "string", mime.sniff_text("v")) == [mime.EMPTY]

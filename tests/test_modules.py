@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanlake.operators import modules as m
-from cleanlake.operators.skew import SkewGuard
 from cleanlake.plans.requeue import run_requeue
 from cleanlake.policy import DAY, MODULE_DELETE_TASK, RetentionPolicy
 
@@ -157,18 +156,19 @@ def test_one_new_task_per_course(cm):
     assert rows[10].classname == MODULE_DELETE_TASK
 
 
-def test_large_course_gets_bounded_tasks_that_cover_it(spark):
+def test_a_course_has_one_task_unless_blocks_are_asked_for(spark):
     ids = F.col("id")
     course = F.when(ids % 3 == 0, 7).otherwise(ids % 50)
     cm = spark.range(5000).select("id", course.alias("course"), F.lit(1).alias("deletioninprogress"))
-    hot = SkewGuard(min_rows=100, min_share=0.1, salts=4).hot(cm, ["course"])
-    assert hot.codes
-    for keys in (None, hot):
-        tasks = m.requeue_tasks(cm, 2, max_modules=100, hot=keys).collect()
-        assert max(t.n_modules for t in tasks) <= 100
+    one = m.requeue_tasks(cm, 2).collect()
+    assert len(one) == len({t.course for t in one}) and max(t.n_modules for t in one) > 1666
+    blocks = m.requeue_tasks(cm, 2, block=100).collect()
+    assert max(t.n_modules for t in blocks) <= 100
+    for tasks in (one, blocks):
         listed = [int(i) for t in tasks for i in json.loads(t.customdata)["cms"]]
         assert sorted(listed) == list(range(5000))
-        assert sum(t.course == 3 for t in tasks) == 1
+    small = {b for r in cm.where("course = 3").collect() for b in [r.id // 100]}
+    assert sum(t.course == 3 for t in blocks) == len(small), "small courses are cut alike"
 
 
 def test_old_tasks_are_dropped_when_queued_anew(table, ids):

@@ -1,7 +1,6 @@
 import pytest
 
 from cleanlake.operators import orphans
-from cleanlake.operators.skew import SkewGuard
 
 
 def test_null_foreign_key_is_doomed_or_kept(table, ids):
@@ -89,14 +88,3 @@ def test_delete_by_predicate_keeps_unknown(table, ids):
 
     items = table("grade_items", [(1, 1, "mod", None, 1), (2, 1, None, None, 1), (3, 1, "x", None, 1)])
     assert ids(orphans.without(items, F.col("itemtype") == "mod")) == [2, 3]
-
-
-def test_given_hot_keys_change_nothing(table, ids):
-    log = table("logstore_standard_log", [(i, 7 if i % 3 else i, 100) for i in range(300)])
-    context = table("context", [(7, 70, 1), (9, 70, 1)])
-    hot = SkewGuard(min_rows=10, min_share=0.1, salts=8).hot(log, ["contextid"])
-    assert hot.codes
-    plain = orphans.log_rows_to_remove(log, context, 50)
-    salted = orphans.log_rows_to_remove(log, context, 50, hot)
-    assert ids(salted) == ids(plain)
-    assert salted.columns == plain.columns

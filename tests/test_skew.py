@@ -1,95 +1,81 @@
+"""Hot keys are left to adaptive execution, and building a frame starts no job."""
+
 import pytest
 from pyspark.sql import functions as F
 
-from cleanlake.operators import orphans
-from cleanlake.operators.skew import NO_HOT_KEYS, SkewGuard, spread_join
+from cleanlake.demo import queries as demo
+from cleanlake.operators import checkout, modules, orphans
+from cleanlake.plans.staging import Staging, checkpoint_folder
+from cleanlake.policy import DAY, RetentionPolicy
 
-GUARD = SkewGuard(min_rows=100, min_share=0.05, salts=16)
+CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    "spark.sql.shuffle.partitions": "16",
+}
 
 
-@pytest.fixture(scope="module")
-def rows(spark):
-    # Key 7 holds a third of the rows, null another tenth.
-    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 != 1, F.col("id"))
-    return spark.range(0, 9000, 1, 8).select("id", key.alias("key")).cache()
+def plan_of(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_keys_are_found(rows):
-    hot = GUARD.hot(rows, ["key"])
-    expected = rows.select(F.xxhash64(F.lit(7).cast("bigint")), F.xxhash64(F.lit(None).cast("bigint")))
-    assert sorted(hot.codes) == sorted(expected.first())
+def hot(spark, column, key=7):
+    """A third of the rows have one key."""
+    value = F.when(F.col("id") % 3 == 0, key).otherwise(F.col("id"))
+    return spark.range(0, 400_000, 1, 8).withColumn(column, value)
 
 
-def test_no_hot_keys_below_the_floor(rows):
-    assert SkewGuard().hot(rows, ["key"]).codes == ()
-    assert SkewGuard().hot(rows.limit(0), ["key"]).codes == ()
+def test_a_hot_foreign_key_is_split(spark, conf):
+    conf(CONF)
+    log = hot(spark, "contextid").withColumn("timecreated", F.lit(100).cast("bigint"))
+    lost = orphans.orphans(log, spark.range(1, 300_000, 1, 8), "contextid").select("id")
+    assert "skew=true" in plan_of(lost)
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_spread_join_gives_the_same_rows(rows, spark, how):
-    keyed = spark.range(0, 9000, 2).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
-    keyed = keyed.unionByName(spark.createDataFrame([(7, -1)], "key bigint, v bigint"))
-    hot = GUARD.hot(rows, ["key"])
-    plain = spread_join(rows, keyed, ["key"], how, NO_HOT_KEYS)
-    salted = spread_join(rows, keyed, ["key"], how, hot)
-    assert plain.columns == salted.columns
-    assert plain.exceptAll(salted).count() == salted.exceptAll(plain).count() == 0
-    assert plain.count() > 0
+def test_a_hot_cascade_key_is_split(spark, conf, tmp_path):
+    conf(CONF)
+    rows = hot(spark, "coursemoduleid")
+    doomed = spark.range(0, 300_000, 1, 8)
+    keep = Staging(spark, str(tmp_path)).keep
+    rule = modules.CascadeRule("t", {"coursemoduleid": "id"})
+    gone = modules.cascade_rows(doomed, rows, rule, keep).select("id")
+    assert "skew=true" in plan_of(gone)
+    assert gone.count() == modules.cascade_rows(doomed, rows, rule).count()
 
 
-def test_other_integer_width_on_the_other_side(rows, spark):
-    keyed = spark.createDataFrame([(7,)], "key int")
-    hot = GUARD.hot(rows, ["key"])
-    assert spread_join(rows, keyed, ["key"], "left_semi", hot).count() == 3001
+def test_a_hot_content_is_split_in_the_checkout(spark, conf, tmp_path):
+    conf(CONF)
+    files = hot(spark, "c").select(
+        "id", F.col("c").cast("string").alias("contenthash"), F.lit("a.mbz").alias("filename"),
+        F.lit("user").alias("component"), F.lit("draft").alias("filearea"),
+        F.lit(0).cast("bigint").alias("timecreated"), F.lit(1).cast("bigint").alias("filesize"),
+    )
+    listing = spark.range(0, 300_000, 1, 8).select(F.col("id").cast("string").alias("contenthash"))
+    args = (files, listing, RetentionPolicy(), 1_000 * DAY)
+    keep = Staging(spark, str(tmp_path)).keep
+    doomed = checkout.checkout_doomed(*args, keep=keep).select("id")
+    assert "skew=true" in plan_of(doomed)
 
 
-def test_hot_rows_end_up_in_many_tasks(rows, spark):
-    keyed = spark.range(9000).select(F.col("id").alias("key")).distinct()
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
+# Plans write tables between their steps, table sizes are read, and links to them are made.
+JOBS = {"cleanup_report", "cleanup_doomed", "cleanup_unlinks", "cleanup_report_checkout_only",
+        "sections_after_cleanup"}
 
-        def largest(hot):
-            joined = spread_join(rows, keyed, ["key"], "inner", hot)
-            sizes = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count"))
-            return sizes.first()[0]
 
-        assert largest(NO_HOT_KEYS) >= 3000
-        assert largest(GUARD.hot(rows, ["key"])) < 1500
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+@pytest.mark.parametrize("name", sorted(set(demo.queries()) - JOBS))
+def test_building_a_frame_starts_no_job(spark, name):
+    spark.sparkContext.setJobGroup(name, name)
+    demo.queries()[name](spark, "/root/testdata/sf0.001")
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    reads = 14  # a job for the schema of each table that is read
+    assert len(started) <= reads
 
 
-def test_adaptive_execution_splits_a_hot_foreign_key(spark, tmp_path):
-    log = spark.range(0, 400_000, 1, 8).select(
-        "id",
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("contextid"),
-        F.lit(100).cast("bigint").alias("timecreated"),
-    )
-    context = spark.range(1, 300_000, 1, 8)
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        doomed = orphans.orphans(log, context, "contextid")
-        assert doomed.count() == doomed.agg(F.count("id")).first()[0]
-        done = doomed.select("id")
-        done.collect()
-        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def test_the_shared_folder_must_be_known(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(spark)

@@ -6,6 +6,7 @@ from cleanlake.operators import ghosts, removal
 from cleanlake.plans.remove import run_removal
 from cleanlake.plans.scan import run_scan
 from cleanlake.plans.staging import Staging
+from cleanlake.sources import inventory
 from cleanlake.sources.inventory import file_inventory
 from cleanlake.sources.tables import read_tables, table_bytes
 from cleanlake.streaming.scan import found_ghosts, watch_storage
@@ -54,6 +55,25 @@ def test_inventory_lists_the_tree(spark, root, levels):
     assert all(r.contenthash == os.path.basename(r.path) for r in listing)
 
 
+def test_a_flat_directory_is_listed_in_batches(tmp_path, monkeypatch):
+    (tmp_path / "flat").mkdir()
+    for i in range(250):
+        (tmp_path / "flat" / f"f{i}").write_bytes(b"")
+    walked = []
+    real = inventory._children
+
+    def counted(*args):
+        for child in real(*args):
+            walked.append(child)
+            yield child
+
+    monkeypatch.setattr(inventory, "_children", counted)
+    filesystem, base = inventory.open_root(str(tmp_path))
+    batches = inventory.list_entries(filesystem, base, [("flat", True, 0)], True, batch=100)
+    assert len(next(batches)) == 100 and len(walked) == 100
+    assert [len(b) for b in batches] == [100, 50]
+
+
 def test_inventory_of_a_missing_area_is_empty(spark, root):
     assert file_inventory(spark, root, area="nowhere", parallelism=2).count() == 0
 
@@ -170,8 +190,8 @@ def test_ghosts_of_a_stream_are_read_once_per_path(spark, files, tmp_path):
 
 def test_registry_presence(table):
     registry = table("ghost_registry", [(1, "filedir/a", "m", 1), (2, "filedir/b", "m", 1)])
-    inventory = table("inventory", [("filedir/a", "a", 1)])
-    got = ghosts.registry_presence(registry, inventory).collect()
+    listing = table("inventory", [("filedir/a", "a", 1)])
+    got = ghosts.registry_presence(registry, listing).collect()
     assert {(r.id, r.present) for r in got} == {(1, True), (2, False)}
 
 
@@ -180,13 +200,14 @@ def test_removing_a_file(spark, root, table, tmp_path):
         return (i, content, 1, "c", "a", 0, "/", f"n{i}", 2**20, 1, "x", 0, 0)
 
     files = table("files", [file(1, UNLINKED), file(2, UNLINKED), file(3, LINKED), file(4, "lost"), file(5, "d")])
-    inventory = file_inventory(spark, root, parallelism=2)
+    listing = file_inventory(spark, root, parallelism=2)
     chosen = spark.createDataFrame([(1,), (4,), (5,)], "id bigint")
     # A directory in place of content 5 makes unlinking fail.
-    inventory = inventory.unionByName(table("inventory", [("filedir/a/b/c/d", "d", 1)]))
-    args = (spark, files, inventory, chosen)
+    listing = listing.unionByName(table("inventory", [("filedir/a/b/c/d", "d", 1)]))
+    args = (spark, files, listing, chosen)
     planned = run_removal(*args, str(tmp_path / "dry"), root)
     assert {r.status for r in planned["unlinked"].collect()} == {"planned"}
+    assert "files" not in planned, "a dry run writes no new table"
     assert os.path.exists(f"{root}/filedir/aa/22/{UNLINKED}")
     done = run_removal(*args, str(tmp_path / "real"), root, dry_run=False)
     assert {r.path: r.status for r in done["unlinked"].collect()} == {
