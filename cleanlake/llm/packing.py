@@ -23,6 +23,8 @@ from cleanlake.llm.tokens import ChunkEncoder
 
 #: Pieces that one task packs together; a group of this size wastes about one sequence.
 GROUP = 20_000
+#: Exchanges that a pass looks for, for each underfull sequence.
+TRIES = 60
 
 
 class _Sequences:
@@ -98,7 +100,8 @@ class _Sequences:
         """Take from the emptiest sequences for fuller ones, until as few as possible are left.
 
         A pass walks the underfull sequences from the emptiest on; each gives to the fuller ones in
-        turn, tightest room first. It ends early at the least number that the lengths allow.
+        turn, fullest first. It ends early at the least number that the lengths allow, and
+        when no exchange is left.
         """
         least = -(-sum(self.size - f for f in self.free) // self.size)
         for _ in range(passes):
@@ -107,17 +110,16 @@ class _Sequences:
             if full + len(live) <= least:
                 return
             live.sort(key=lambda i: -self.free[i])
-            changed = False
+            changed, tries = False, TRIES * len(live)
             for at, a in enumerate(live):
                 for b in reversed(live[at + 1 :]):
-                    if not self.items[a]:
+                    if not self.items[a] or tries <= 0:
                         break
                     while self.free[b] and self.items[a] and self.free[a] >= self.free[b]:
+                        tries -= 1
                         if not self._exchange(a, b):
                             break
                         changed = True
-                if self.items[a]:
-                    break  # no room is left that this one could fill; others hold larger pieces
             if not changed:
                 return
 
