@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import slices, table, written
+from cleanlake.llm.shared import forget, slices, table, written
 
 #: Words of a seed; n-grams of an item of which the rarest is always a seed; score of a match, a
 #: mismatch and a gap; characters of items in a block.
@@ -165,6 +165,7 @@ def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
     names = [key for _, key, _ in rows]
 
     def note(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for i, j in slices(texts):

@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import slices, table
+from cleanlake.llm.shared import forget, hash_code, lowest, slices, table
 
 #: Characters of training text for a language, of a document in it, and documents looked at.
 SAMPLE_CHARS, SAMPLE_DOC_CHARS, SAMPLE_DOCS = 40_000, 1_000, 200
@@ -78,20 +78,24 @@ def automaton(codes: list[int], size: int) -> np.ndarray:
 
 def parser(edges: np.ndarray) -> np.ndarray:
     """The automaton as a parser, flat: entry state * size + code is the next state * size, negated
-    and less one where a phrase ends before the code. A code without an edge from the start
-    is a phrase by itself."""
-    size = edges.shape[1]
-    fresh = np.where(edges[0] >= 0, edges[0], 0).astype(np.int64) * size
+    and less one where a new phrase begins with the code. One more state, the last, stands for the
+    beginning of a text and for codes without an edge from the start, each a phrase by itself:
+    whatever follows begins a new one."""
+    states, size = edges.shape
+    fresh = np.where(edges[0] >= 0, edges[0], states).astype(np.int64) * size
+    table = np.where(edges >= 0, edges * size, -1 - fresh)
     # int32 holds the offsets of any automaton of a bounded sample.
-    return np.where(edges >= 0, edges * size, -1 - fresh).astype(np.int32).reshape(-1)
+    return np.vstack([table, -1 - fresh]).astype(np.int32).reshape(-1)
 
 
-def phrases(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, parse: np.ndarray) -> np.ndarray:
+def phrases(
+    codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, parse: np.ndarray, size: int
+) -> np.ndarray:
     """How many phrases each piece ``codes[start : start + length]`` is cut into."""
     order = np.argsort(-lengths, kind="stable")
     at, left = starts[order], lengths[order]
-    state = np.zeros(len(at), np.int32)
-    cuts = (left > 0).astype(np.int64)
+    state = np.full(len(at), len(parse) - size, np.int32)
+    cuts = np.zeros(len(at), np.int64)
     active = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), "right")
     for step, n in enumerate(active.tolist()):
         to = parse[state[:n] + codes[at[:n] + step]]
@@ -132,7 +136,7 @@ class Model:
         starts = (np.cumsum(sizes) - sizes)[text] + number * PIECE
         lengths = np.minimum(sizes[text] - number * PIECE, PIECE)
         for k, parse in enumerate(self.parsers):
-            cuts = phrases(codes, starts, lengths, parse)
+            cuts = phrases(codes, starts, lengths, parse, self.alphabet.size)
             out[known, k] = np.bincount(text, cuts, len(own)) / sizes
         return out
 
@@ -153,33 +157,31 @@ def has_letters(text: str) -> bool:
 
 def samples(
     labelled: DataFrame,
+    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     docs: int = SAMPLE_DOCS,
     doc_chars: int = SAMPLE_DOC_CHARS,
     chars: int = SAMPLE_CHARS,
 ) -> dict[str, str]:
-    """Bounded training text by language: of each, the ``docs`` texts lowest by hash, ``doc_chars``
+    """Bounded training text by language: of each, the ``docs`` documents lowest by hash, ``doc_chars``
     characters of each, ``chars`` at most; as many of every language, so that none gains by size."""
-    code = F.xxhash64(text_col)
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(code, text_col))
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
-    rows = rows.select(
-        F.col(lang_col).alias("lang"), F.substring(text_col, 1, doc_chars).alias("text"),
-        code.alias("code"), rank.alias("rank"),
-    ).where(F.col("rank") <= docs)
+    chosen = lowest(
+        labelled.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")),
+        "lang", hash_code(id_col), docs,
+    )
+    rows = chosen.select("lang", "_code", F.substring("text", 1, doc_chars).alias("text"))
+    rows = rows.where("trim(text) <> ''").collect()
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["rank"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["_code"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    joined = {lang: "\n".join(dict.fromkeys(texts)) for lang, texts in found.items()}
+    joined = {lang: "\n".join(dict.fromkeys(texts[:docs])) for lang, texts in found.items()}
     joined = {lang: t for lang, t in joined.items() if has_letters(t)}
     least = min((len(t) for t in joined.values()), default=0)
     return {lang: t[: min(chars, max(least, 2_000))] for lang, t in joined.items()}
 
 
-def identify(
-    docs: DataFrame, model: Model, text_col: str = "text", most_rate: float | None = None
-) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replacing such columns).
 
     ``und`` and 0 for a null text, one without letters, and where nothing was learned. The score
@@ -191,6 +193,7 @@ def identify(
     place = keep.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for i, j in slices(texts, 2_000_000):
@@ -220,7 +223,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id") -> Model:
-    return Model(samples(docs.where(~held_out(id_col))))
+    return Model(samples(docs.where(~held_out(id_col)), id_col))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

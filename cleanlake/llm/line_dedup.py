@@ -117,25 +117,28 @@ def dedup_lines(
     frequent = runs.finish()
 
     doomed = lines.join(frequent, _KEY, "left_semi")
-    doomed = doomed.groupBy("id", "code").agg(F.collect_set("at").alias("_doomed"))
-    doomed = doomed.withColumnsRenamed({"id": "_id", "code": "_code"})
-    rows = docs.withColumns(
-        {"_lines": F.split(text, "\n"), "_own": F.xxhash64(text)}
+    doomed = doomed.groupBy("id", "code").agg(F.collect_set("at").alias("doomed"))
+    # A row travels as one value, so names of its columns clash with none here.
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_code"),
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_code"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_code") == F.col("code"))
     rows = rows.join(doomed, same, "left")
-    rows = rows.withColumn(
-        "_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_doomed"))
+    own = F.col("row")[text_col]
+    rows = rows.withColumn("lines", F.split(F.coalesce(own, F.lit("")), "\n"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    rows = rows.withColumn("kept", F.array_except(every, F.coalesce("doomed", F.array().cast("array<int>"))))
+    lines_of = F.col("lines")
+    kept = F.array_join(F.transform("kept", lambda at: lines_of[at]), "\n")
+    return rows.select(
+        *[
+            (F.when(own.isNotNull(), kept) if c == text_col else F.col("row")[c]).alias(c)
+            for c in docs.columns
+        ],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    lines_of = F.col("_lines")
-    kept = F.array_join(F.transform("_kept", lambda at: lines_of[at]), "\n")
-    return rows.withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_doomed"), F.lit(0)).cast("long"),
-            text_col: F.when(F.col("_doomed").isNull(), F.col(text_col)).otherwise(kept),
-        }
-    ).drop("_lines", "_own", "_id", "_code", "_doomed", "_kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,56 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
         kept.pop("value", None)
         kept["value"], kept["key"] = make(), key
     return kept["value"]
+
+
+def forget() -> None:
+    """Drop what ``per_worker`` keeps. Tasks that need memory for other things begin with it."""
+    per_worker("nothing", lambda: None)
+
+
+def hash_code(*columns: str) -> Column:
+    """A hash of 60 bits, not below 0."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 4)
+
+
+def lowest(rows: DataFrame, by: str, code: Column, most: int) -> DataFrame:
+    """Of each value of ``by`` the rows with the lowest codes: ``most`` of them, at most twice as many
+    (or all that have one code), or all there are.
+
+    Found by counting codes by their leading bits, then by the next ones where one count is still too
+    large: nothing is sorted, and only 4,096 counts of each value come to the driver.
+    """
+    rows = rows.withColumn("_code", code)
+    taken: dict[Any, int] = {}
+    prefix: dict[Any, int] = {}
+    limit: dict[Any, int] = {}
+    spark = rows.sparkSession
+    for shift in range(48, -12, -12):
+        part = rows.select(by, "_code")
+        if prefix:
+            open_ = [(k, p) for k, p in prefix.items() if k not in limit]
+            if not open_:
+                break
+            wanted = spark.createDataFrame(open_, f"{by} {rows.schema[by].dataType.simpleString()}, _p long")
+            part = part.join(F.broadcast(wanted), by)
+            part = part.where(F.shiftright("_code", shift + 12) == F.col("_p"))
+        bits = F.shiftright("_code", shift).bitwiseAND(4095).alias("bits")
+        counts: dict[Any, list[tuple[int, int]]] = {}
+        for r in part.where(F.col(by).isNotNull()).groupBy(by, bits).count().collect():
+            counts.setdefault(r[0], []).append((r["bits"], r["count"]))
+        for key, found in counts.items():
+            total = taken.get(key, 0)
+            for value, n in sorted(found):
+                if total + n >= most:
+                    prefix[key] = (prefix.get(key, 0) << 12) | value
+                    if total + n <= 2 * most or shift == 0:
+                        limit[key] = ((prefix[key] + 1) << shift) - 1
+                    taken[key] = total
+                    break
+                total += n
+            else:
+                limit[key] = (1 << 60) - 1
+                prefix.setdefault(key, 0)
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, _limit long"
+    limits = spark.createDataFrame(list(limit.items()), schema)
+    return rows.join(F.broadcast(limits), by).where("_code <= _limit").drop("_limit")

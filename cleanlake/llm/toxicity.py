@@ -17,11 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanlake.llm.shared import slices, table, written
+from cleanlake.llm.shared import hash_code, lowest, slices, table, written
 
 #: Labelled documents of each class that are learned from, and entries and exceptions kept.
 SAMPLE_DOCS, ENTRIES, EXCEPTIONS = 4_000, 2_000, 2_000
@@ -170,17 +170,20 @@ def surprise(toxic: int, clean: int, share: float) -> float:
     return total
 
 
-def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Lexicon:
-    """A lexicon from rows of (text, toxic). Rows whose label or text is null are left out.
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS
+) -> Lexicon:
+    """A lexicon from ``docs`` and the 0 and 1 in ``toxic`` of ``labels``.
 
-    Learned from the ``docs`` rows of each class that are lowest by hash: a bounded sample. Without
-    rows of both classes the lexicon is empty and all scores are low.
+    Learned from the ``most`` labels of each class that are lowest by the hash of their id: a bounded
+    sample. Null labels and texts are left out. Without rows of both classes the lexicon is empty
+    and all scores are low.
     """
-    code = F.xxhash64("text")
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(code, "text"))
-    sample = labelled.where("text is not null and toxic in (0, 1)")
-    sample = sample.select("text", "toxic", rank.alias("rank")).where(F.col("rank") <= docs)
-    sample = written(sample.select("text", "toxic").repartition(16), "toxicity-sample")
+    chosen = lowest(labels.where("toxic in (0, 1)").select(id_col, "toxic"), "toxic", hash_code(id_col), most)
+    chosen = written(chosen.select(id_col, "toxic"), "toxicity-labels")
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col)
+    sample = sample.where("text is not null").select("text", "toxic").repartition(16)
+    sample = written(sample, "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -305,6 +308,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = learn(docs.join(labels.where(~held_out()), "doc_id"))
+    lexicon = learn(docs, labels.where(~held_out()))
     texts = docs.select("doc_id", held_out().alias("held_out"), "text")
     return score(texts, lexicon).select("doc_id", "held_out", "score", "predicted")

@@ -1,12 +1,6 @@
-import re
-
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+from llm_data import SCHEMA
 
 
 @pytest.fixture(scope="session")

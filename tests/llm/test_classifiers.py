@@ -3,7 +3,8 @@ import numpy as np
 from cleanlake.llm import language, toxicity
 from cleanlake.llm.language import Model, automaton, identify, phrases, samples
 from cleanlake.llm.toxicity import Folder, Lexicon, Matcher, learn, logistic, score, spaced
-from conftest import SCHEMA
+from cleanlake.llm.shared import hash_code, lowest
+from llm_data import SCHEMA
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,7 +29,7 @@ def test_parsing_finds_longest_matches():
         code = {c: i for i, c in enumerate("abcd")}
         parse = language.parser(automaton([code[c] for c in sample], 4))
         codes = np.array([code[c] for c in text], np.uint8)
-        got = phrases(codes, np.array([0]), np.array([len(text)]), parse)
+        got = phrases(codes, np.array([0]), np.array([len(text)]), parse, 4)
         assert got[0] == longest_match_phrases(text, sample, code)
 
 
@@ -83,9 +84,10 @@ def test_learned_lexicon(spark, docs, odd_texts):
         rows.append((text + " you grobnik" + "ovsky"[: i % 5] if i % 2 else text, i % 2))
     # In a fixed phrase the word is harmless.
     rows += [(f"the grobnik tower of town{i} is old", 0) for i in range(30)]
-    rows += [(None, 1), ("", 0)]
-    labelled = spark.createDataFrame(rows, "text string, toxic int")
-    lexicon = learn(labelled)
+    rows += [(None, 1), ("", 0), ("no label", None)]
+    numbered = [(i, *r) for i, r in enumerate(rows)]
+    labelled = spark.createDataFrame(numbered, "doc_id long, text string, toxic int")
+    lexicon = learn(labelled.drop("toxic"), labelled.drop("text"))
     matcher = Matcher(lexicon)
     assert matcher.score("you gr0bn1k") >= 0.3 > matcher.score("the grobnik tower stands")
     assert matcher.score("some words of every day") < 0.3
@@ -95,7 +97,8 @@ def test_learned_lexicon(spark, docs, odd_texts):
 
 
 def test_nothing_to_learn(spark):
-    lexicon = learn(spark.createDataFrame([], "text string, toxic int"))
+    nothing = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    lexicon = learn(nothing, nothing)
     assert lexicon == Lexicon()
     assert score(spark.createDataFrame([], SCHEMA), lexicon).count() == 0
     constant, *factors = logistic([(0.0, 0.0, 0), (1.0, 0.0, 1), (0.0, 0.0, 0)])
@@ -110,3 +113,18 @@ def test_toxic_documents_are_found(spark):
     caught = unseen[unseen.toxic == 1].predicted.mean()
     blamed = unseen[unseen.toxic == 0].predicted.mean()
     assert caught > 0.9 and blamed < 0.02
+
+
+def test_lowest_codes_of_each_value(spark):
+    rows = spark.range(5000).selectExpr("id", "case when id % 100 = 0 then 'rare' else 'often' end as kind")
+    for most in (1, 30, 700):
+        found = lowest(rows, "kind", hash_code("id"), most)
+        counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+        assert counts["rare"] == 50 if most > 50 else most <= counts["rare"] <= 2 * most
+        assert most <= counts["often"] <= 2 * most
+        lost = rows.withColumn("_code", hash_code("id")).join(found.select("id"), "id", "left_anti")
+        worst = found.groupBy("kind").agg({"_code": "max"}).withColumnRenamed("max(_code)", "worst")
+        assert lost.join(worst, "kind").where("_code <= worst").count() == 0
+    same = spark.range(900).selectExpr("1L as id", "'x' as kind")
+    assert lowest(same, "kind", hash_code("id"), 10).count() == 900, "equal codes stay together"
+    assert lowest(rows.limit(0), "kind", hash_code("id"), 10).count() == 0

@@ -5,7 +5,7 @@ from collections import Counter
 from cleanlake.llm import line_dedup, quality
 from cleanlake.llm.line_dedup import LineRuns, dedup_lines
 from cleanlake.llm.quality import RULES, fit, judge
-from conftest import SCHEMA, words
+from llm_data import SCHEMA, words
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from cleanlake.llm.jaccard_join import similar_groups
 from cleanlake.llm.queries import oracle_sql, queries
-from conftest import SCHEMA
+from llm_data import SCHEMA
 
 SF = "/root/testdata/sf0.001"
 

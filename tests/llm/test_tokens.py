@@ -14,7 +14,7 @@ from cleanlake.llm.huffman import Decoder, Encoder, code_lengths, read_ids, writ
 from cleanlake.llm.packing import pack, pack_lengths
 from cleanlake.llm.shared import fresh_folder
 from cleanlake.llm.tokens import ChunkEncoder
-from conftest import SCHEMA
+from llm_data import SCHEMA
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 PARTS = ["a", "b", " ", "  ", "\n", "\t", " \n", "'s", "1", "23", "é", "é", "ß", "İ", "Σ", "日本", "\xa0",
