@@ -11,26 +11,36 @@ parts are single shingles, with which the guarantee always holds.
 
 Classes with a common signature form buckets. A bucket is first searched around the member that shares
 most; what that links forms components, and only pairs that are still in different
-components are compared: directly in small buckets, while large ones are cut by a further,
-independent family of signatures, in which each similar pair must meet as well. So no link between
-components is lost, and near copies are not expanded into all pairs.
+components are compared. Small buckets list such pairs. Members of large ones choose their signatures
+anew, the rarest first, which breaks up what common passages brought together; those that still meet
+are near copies of one text, and each that its cluster's largest component lacks is compared with the
+whole cluster, block by block. So no link between components is lost, near copies are not expanded
+into all pairs, and no bucket comes to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import mixed, slices, table, written
+from cleanlake.llm.shared import forget, fresh_folder, mixed, slices, table, written
 
 SHINGLE, SIMILAR = 5, 80
 #: Ratio of a band's bounds; parts for each shingle of a band's largest set; members of a bucket
-#: from which on it is cut further.
+#: from which on its pairs are not listed.
 BAND, PARTS, LARGE = 1.6, 0.30, 32
+#: Characters whose shingles are worked out together; some 50 bytes of memory each.
+PART = 1_000_000
+#: Documents of which a list (of 16 bytes each) is sent to all executors rather than that all texts
+#: are shuffled to find them.
+FEW = 1_000_000
+#: Sets in a block of those that are compared one by one.
+BLOCK = 256
 
 _RANDOM = np.random.default_rng(20240501)
 #: A random word for each byte, so that text hashes do not depend on how bytes are numbered.
@@ -123,13 +133,16 @@ def _most_difference(size: np.ndarray, upper: np.ndarray, similar: int) -> np.nd
 
 
 def signatures(
-    sets: list[np.ndarray], seed: int = 0, similar: int = SIMILAR
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set's place in the list, band, signature) of sets that are not empty."""
+    sets: list[np.ndarray], seed: int = 0, similar: int = SIMILAR, every: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set's place in the list, band, signature, how many are enough) of sets that are not empty.
+
+    Those that are enough, or ``every`` one. Signatures of single shingles have a band below 0.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     nothing = np.empty(0, np.int64)
     if not len(sizes) or not sizes.max():
-        return nothing, nothing, nothing.astype(np.uint64)
+        return nothing, nothing, nothing.astype(np.uint64), nothing
     upper = bands(int(sizes.max()) * 100 // similar + 1)
     low = np.searchsorted(upper, sizes)
     high = np.searchsorted(upper, sizes * 100 // similar)
@@ -159,31 +172,34 @@ def signatures(
         number = (place[first] - before[who]).astype(np.uint64)
         tag = (band[who].astype(np.uint64) << np.uint64(32)) + number
         signature = mixed(content + mixed(tag + salt) * _BASE)
-        found.append(_prefix(who, held, signature, k, take, band))
+        found.append(_prefix(who, held, signature, k, take, band, every))
         # Too few parts are filled: single shingles are parts that cannot be too few.
         few = np.bincount(who, minlength=len(take)) <= k
         if few.any():
             use = few[owner]
             single = mixed(coded[use] + mixed(band[owner[use]].astype(np.uint64) + np.uint64(77)))
             one = np.ones(int(use.sum()), np.int64)
-            found.append(_prefix(owner[use], one, single, k, take, band))
+            found.append(_prefix(owner[use], one, single, k, take, -1 - band, every))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _prefix(who, held, signature, k, take, band):
+def _prefix(who, held, signature, k, take, band, every):
     """The first k + 1 signatures of each set: many shingles first, then by value."""
     order = np.lexsort((signature, -held, who))
     who, signature = who[order], signature[order]
-    first = np.flatnonzero(np.diff(who, prepend=-1))
-    rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-    keep = rank <= k[who]
-    return take[who[keep]], band[who[keep]], signature[keep]
+    if not every:
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        keep = rank <= k[who]
+        who, signature = who[keep], signature[keep]
+    return take[who], band[who], signature, k[who] + 1
 
 
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         texts = batch.column(2).to_pylist()
-        for i, j in slices(texts):
+        for i, j in slices(texts, PART):
             sets = shingle_sets(texts[i:j])
             columns = [
                 batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
@@ -197,7 +213,7 @@ def _signature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     seen: set[int] = set()  # classes this task has had: copies add nothing
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for i, j in slices(texts, 4_000_000):
+        for i, j in slices(texts, PART):
             fresh, classes = [], []
             for own in shingle_sets(texts[i:j]):
                 if len(own) and (c := class_of(own)) not in seen:
@@ -208,7 +224,7 @@ def _signature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _rows(sets: list[np.ndarray], classes: list[int], seed: int) -> pa.RecordBatch:
-    who, band, signature = signatures(sets, seed)
+    who, band, signature, _ = signatures(sets, seed)
     own, sizes = np.array(classes, np.int64), np.array([len(s) for s in sets], np.int64)
     columns = [
         pa.array(signature.astype(np.int64)), pa.array(own[who]),
@@ -221,13 +237,81 @@ _ROWS = "sig long, c long, n int, band int"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as bytes, and the same cut to 16 bits a shingle."""
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for i, j in slices(texts):
+        for i, j in slices(texts, PART):
             sets = [s for s in shingle_sets(texts[i:j]) if len(s)]
-            classes = pa.array([class_of(s) for s in sets], pa.int64())
-            sets = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([classes, sets], names=["c", "own"])
+            columns = [
+                pa.array([class_of(s) for s in sets], pa.int64()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([s.astype(np.uint16).tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "own", "brief"])
+
+
+def enough(shared: int, a: int, b: int) -> bool:
+    return 100 * shared >= SIMILAR * (a + b - shared)
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets may be similar: cut shingles agree at least as often as whole ones."""
+    there = np.zeros(1 << 16, bool)
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint16) for v in (x, y))
+            if len(x) > len(y):
+                x, y = y, x
+            there[y] = True
+            keep.append(enough(int(np.count_nonzero(there[x])), len(x), len(y)))
+            there[y] = False
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(enough(shared, len(x), len(y)))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough: a cheap test that loses none, then
+    the exact one on those that pass.
+
+    ``sets`` is bucketed by class, so only pairs travel to the sets of ``b``. Those of ``a`` are cut
+    down to the ones that are needed first: ``a`` may be a hub with very many pairs, and the two
+    sides of that join are plain shuffles, of which a hub's rows are split.
+    """
+
+    def tested(pairs: DataFrame, column: str, test) -> DataFrame:
+        of_b = sets.select(F.col("c").alias("b"), F.col(column).alias("y"))
+        of_a = sets.select("c", column).join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi")
+        of_a = of_a.select(F.col("c").alias("a"), F.col(column).alias("x"))
+        both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y")
+        return written(both.mapInArrow(test, "a long, b long"), "links")
+
+    return tested(tested(pairs, "brief", _likely), "own", _exact)
+
+
+@contextmanager
+def _bucketed(sets: DataFrame) -> Iterator[DataFrame]:
+    """The sets as a table in the shared folder, dealt into buckets by class and once each, while
+    it is needed."""
+    spark = sets.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_folder(spark, "sets")
+    name = path.rpartition("/")[2].replace("-", "_")
+    sets = sets.repartition(buckets, "c").dropDuplicates(["c"])
+    sets.write.bucketBy(buckets, "c").sortBy("c").option("path", path).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
 
 
 def _shared_by_two(rows: DataFrame, label: str) -> DataFrame:
@@ -239,105 +323,167 @@ def _shared_by_two(rows: DataFrame, label: str) -> DataFrame:
     return written(rows.withColumn("size", F.count(F.lit(1)).over(same)), label)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough: the exact check."""
-    pairs = written(pairs, "pairs")
-    both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    total = F.size("of_a") + F.size("of_b")
-    return written(both.where(100 * shared >= SIMILAR * (total - shared)).select("a", "b"), "links")
-
-
 def _near_in_size(n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {SIMILAR} * greatest({n}, {m})"
 
 
-def _search(members: DataFrame, sets: DataFrame, rounds: int = 6) -> DataFrame:
-    """Links (a, b) that connect all classes which similar pairs connect."""
-    links, tried = None, None
-    for level in range(1, rounds + 1):
-        same = Window.partitionBy("sig")
-        weight = members.groupBy("c").agg(F.sum("size").alias("weight"))
-        led = members.join(weight, "c")
-        led = led.withColumn("lead", F.max(F.struct("weight", "c", "n")).over(same))
-        star = led.where("c <> lead.c").where(_near_in_size("n", "lead.n"))
-        star = star.select(
-            F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")
-        ).distinct()
-        star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "star")
-        found = _similar(star, sets)
-        tried = star if tried is None else tried.union(star)
-        links = found if links is None else links.union(found)
-
-        labelled = members.join(components(links), "c", "left")
-        labelled = labelled.withColumn("comp", F.coalesce("comp", "c"))
-        labelled = labelled.withColumns(
-            {"low": F.min("comp").over(same), "high": F.max("comp").over(same)}
-        )
-        open_ = written(labelled.where("low <> high").drop("low", "high"), "open")
-
-        # In the last round nothing is cut further: whatever is left is compared as it is.
-        small = open_ if level == rounds else open_.where(F.col("size") < LARGE)
-        left = small.select("sig", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("p"))
-        right = small.select("sig", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("q"))
-        pairs = left.join(right, "sig").where("a < b and p <> q").where(_near_in_size("n_a", "n_b"))
-        pairs = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
-        links = links.union(_similar(pairs, sets))
-        tried = tried.union(pairs)
-
-        large = open_.where(F.col("size") >= LARGE).select("sig", "c", "band")
-        if level == rounds or large.isEmpty():
-            return links
-
-        def again(batches: Iterable[pa.RecordBatch], seed: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                classes = batch.column(0).to_pylist()
-                own = [np.array(x.as_py(), np.int64).view(np.uint64) for x in batch.column(1)]
-                yield _rows(own, classes, seed)
-
-        needed = sets.join(large.select("c").distinct(), "c", "left_semi")
-        finer = needed.mapInArrow(again, _ROWS).withColumnRenamed("sig", "finer")
-        cut = large.join(finer, ["c", "band"])
-        cut = cut.select(F.xxhash64("sig", "finer").alias("sig"), "c", "n", "band")
-        members = _shared_by_two(cut, "members")
-    return links
+def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+
+def _undecided(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of buckets whose members are in different components."""
+    same = Window.partitionBy(by)
+    rows = rows.withColumns({"low": F.min("comp").over(same), "high": F.max("comp").over(same)})
+    return rows.where("low <> high").drop("low", "high")
+
+
+def _search(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, comp) of all classes that similar pairs connect with others."""
+    same = Window.partitionBy("sig")
+    weight = members.groupBy("c").agg(F.sum("size").alias("weight"))
+    led = members.join(weight, "c")
+    led = led.withColumn("lead", F.max(F.struct("weight", "c", "n")).over(same))
+    star = led.where("c <> lead.c").where(_near_in_size("n", "lead.n"))
+    star = written(star.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "star")
+    links = _similar(star, sets)
+    groups = components(links)
+
+    open_ = written(_undecided(_labelled(members, groups), "sig"), "open")
+    small = open_.where(F.col("size") < LARGE)
+    left = small.select("sig", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("p"))
+    right = small.select("sig", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("q"))
+    pairs = left.join(right, "sig").where("a < b and p <> q").where(_near_in_size("n_a", "n_b"))
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links, groups = _joined(links, _similar(written(pairs, "pairs"), sets), groups)
+
+    large = _labelled(open_.where(F.col("size") >= LARGE).drop("comp"), groups)
+    large = written(_undecided(large, "sig").select("c").distinct(), "large")
+    if large.isEmpty():
+        return groups
+    again = _shared_by_two(_rarest(sets.join(large, "c", "left_semi")), "rare-members")
+    return _joined(links, _clusters(again, groups, sets), groups)[1]
+
+
+def _joined(links: DataFrame, more: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and the components they make; those known, if there are no more links."""
+    if more.isEmpty():
+        return links, groups
+    links = links.union(more)
+    return links, components(links)
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """Signatures of these sets, as many as are enough of each, those that fewest sets have first."""
+
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = np.array(batch.column(0).to_pylist(), np.int64)
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            who, band, signature, most = signatures(own, every=True)
+            sizes = np.array([len(s) for s in own], np.int32)
+            columns = [signature.astype(np.int64), classes[who], sizes[who], band, most]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["sig", "c", "n", "band", "most"])
+
+    rows = sets.select("c", "own").mapInArrow(every, _ROWS + ", most int")
+    rows = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    first = F.row_number().over(Window.partitionBy("c", "band").orderBy("held", "sig"))
+    return rows.withColumn("first", first).where("first <= most").select("sig", "c", "n", "band")
+
+
+def _clusters(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members that buckets connect but links do not, found block by block.
+
+    A cluster is what undecided buckets connect. Each member outside its largest component is
+    compared with all members; a task gets a block of the former and a block of the latter.
+    """
+    open_ = written(_undecided(_labelled(members, groups), "sig"), "open")
+    first = F.min("c").over(Window.partitionBy("sig"))
+    tied = written(open_.select(first.alias("a"), F.col("c").alias("b")).distinct(), "tied")
+    clusters = components(tied).withColumnRenamed("comp", "cluster")
+    rows = clusters.join(open_.select("c", "n", "comp").distinct(), "c")
+    sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("cluster").agg(
+        F.max(F.struct("m", "comp"))["comp"].alias("largest"), F.sum("m").alias("all"),
+        (F.sum("m") - F.max("m")).alias("rest"),
+    )
+    rows = written(rows.join(sizes, "cluster").join(sets.select("c", "own"), "c"), "clusters")
+    across = F.ceil(F.col("all") / BLOCK).cast("int")
+    down = F.ceil(F.col("rest") / BLOCK).cast("int")
+
+    def dealt(rows: DataFrame, own: str, own_blocks, other: str, other_blocks) -> DataFrame:
+        place = F.pmod(F.xxhash64("c"), own_blocks).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), other_blocks - 1)).alias(other)
+        rows = rows.select("cluster", "c", "comp", "largest", "own", place, copies)
+        return rows.select("cluster", "i", "j", "c", "comp", "largest", "own")
+
+    left = dealt(rows.where("comp <> largest"), "i", down, "j", across)
+    right = dealt(rows, "j", across, "i", down)
+    key = ["cluster", "i", "j"]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        one, all_ = left.to_pylist(), right.to_pylist()
+        found: list[tuple[int, int]] = []
+        if one and all_:
+            sets_ = [np.frombuffer(r["own"], np.uint64) for r in all_]
+            sizes = np.array([len(s) for s in sets_])
+            ends = np.cumsum(sizes)
+            together = np.concatenate(sets_)
+            for r in one:
+                own = np.frombuffer(r["own"], np.uint64)
+                at = np.minimum(np.searchsorted(own, together), len(own) - 1)
+                hits = np.concatenate([[0], np.cumsum(own[at] == together)])
+                shared = hits[ends] - hits[ends - sizes]
+                near = 100 * shared >= SIMILAR * (len(own) + sizes - shared)
+                found += [
+                    (r["c"], all_[k]["c"]) for k in np.flatnonzero(near).tolist()
+                    if all_[k]["comp"] != r["comp"]
+                ]
+        a, b = ([p[k] for p in found] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    both = left.groupBy(*key).cogroup(right.groupBy(*key))
+    return written(both.applyInArrow(compare, "a long, b long"), "links")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(c, comp): each end of an edge (a, b) with the smallest class it is connected with.
+    """(c, comp): each end of an edge (a, b) with the smallest class it is connected with. ``edges``
+    is read several times: give written tables.
 
-    Large star, small star: rounds grow with the logarithm of a component's size. Every
-    round is a written table; none of it comes to the driver but whether something changed.
+    Large star, small star: rounds grow with the logarithm of a component's size. Each round is a
+    written table, and none of it comes to the driver but whether edges are stars yet.
     """
-    spark = edges.sparkSession
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
+    edges = edges.select("a", "b").where("a <> b")
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Written, so that both sides of the join are plain shuffles and a hub's rows are split.
-        least = written(least, "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(
-            F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+        # Persisted, so that both sides of the join are plain shuffles and a hub's rows are split.
+        least = least.persist()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), "m")
+        # Each node's smaller neighbours: no hub, as a hub is smaller than its neighbours.
+        smallest = F.min("m").over(Window.partitionBy("u"))
+        small = large.select("u", "m", smallest.alias("least"))
+        small = small.select(
+            F.explode(F.array(F.struct("m", "least"), F.struct(F.col("u").alias("m"), "least"))).alias("e")
         )
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u")
-        small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-            least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
-        edges = written(small.where("a <> b").distinct(), "edges")
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
+        new = small.select(F.col("e.m").alias("a"), F.col("e.least").alias("b"))
+        edges = written(new.where("a <> b").distinct(), "edges")
+        # Stars: no node has two edges to smaller ones, or one while it is the centre of others.
+        one = F.lit(1)
+        ends = edges.select(F.col("a").alias("x"), one.alias("up"), (one - 1).alias("down"))
+        ends = ends.union(edges.select("b", one - 1, one))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        wrong = ends.where("up > 1 or up = 1 and down = 1").agg(F.count(one)).first()[0]
+        least.unpersist()
+        if not wrong:
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("c"), F.col("b").alias("comp"))
-    return roots.union(edges.select("b", "b").distinct().toDF("c", "comp")).distinct()
+    return written(roots.union(edges.select("b", "b").distinct()), "groups")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,12 +508,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     involved = rows.join(members.select("c").distinct(), "c", "left_semi")
     one = involved.groupBy("c").agg(F.min(F.struct("doc_id", "code")).alias("one"))
     one = written(one.select(F.col("one.doc_id").alias("d"), F.col("one.code").alias("k")), "one-each")
+    if one.count() <= FEW:
+        one = F.broadcast(one)
     same = docs["doc_id"].eqNullSafe(one["d"]) & (docs["code"] == one["k"])
     texts = docs.join(one, same, "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "c long, own array<long>").dropDuplicates(["c"])
-    sets = written(sets, "sets")
-
-    groups = components(_search(members, sets))
+    sets = texts.mapInArrow(_sets, "c long, own binary, brief binary")
+    with _bucketed(sets) as sets:
+        groups = _search(members, sets)
     rows = rows.join(groups, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     rows = written(rows.select("doc_id", "n", "comp"), "in-components")
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
