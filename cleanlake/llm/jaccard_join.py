@@ -224,16 +224,15 @@ def _signature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _rows(sets: list[np.ndarray], classes: list[int], seed: int) -> pa.RecordBatch:
-    who, band, signature, _ = signatures(sets, seed)
+    who, _, signature, _ = signatures(sets, seed)
     own, sizes = np.array(classes, np.int64), np.array([len(s) for s in sets], np.int64)
     columns = [
-        pa.array(signature.astype(np.int64)), pa.array(own[who]),
-        pa.array(sizes[who].astype(np.int32)), pa.array(band.astype(np.int32)),
+        pa.array(signature.astype(np.int64)), pa.array(own[who]), pa.array(sizes[who].astype(np.int32))
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["sig", "c", "n", "band"])
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "c", "n"])
 
 
-_ROWS = "sig long, c long, n int, band int"
+_ROWS = "sig long, c long, n int"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,11 +314,10 @@ def _bucketed(sets: DataFrame) -> Iterator[DataFrame]:
 
 
 def _shared_by_two(rows: DataFrame, label: str) -> DataFrame:
-    """(sig, c, n, band, size) where two or more classes have the signature, once for each class."""
+    """(sig, c, n, size) where two or more classes have the signature, once for each class."""
     same = Window.partitionBy("sig")
     rows = rows.withColumns({"low": F.min("c").over(same), "high": F.max("c").over(same)})
-    rows = rows.where("low <> high").groupBy("sig", "c")
-    rows = rows.agg(F.min("n").alias("n"), F.min("band").alias("band"))
+    rows = rows.where("low <> high").groupBy("sig", "c").agg(F.min("n").alias("n"))
     return written(rows.withColumn("size", F.count(F.lit(1)).over(same)), label)
 
 
@@ -327,8 +325,13 @@ def _near_in_size(n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {SIMILAR} * greatest({n}, {m})"
 
 
+def _short(frame: DataFrame) -> DataFrame:
+    """A written table of few short rows is sent to all executors, a longer one is left to Spark."""
+    return F.broadcast(frame) if frame.count() <= FEW else frame
+
+
 def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    return rows.join(_short(groups), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
 
 def _undecided(rows: DataFrame, by: str) -> DataFrame:
@@ -341,8 +344,8 @@ def _undecided(rows: DataFrame, by: str) -> DataFrame:
 def _search(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, comp) of all classes that similar pairs connect with others."""
     same = Window.partitionBy("sig")
-    weight = members.groupBy("c").agg(F.sum("size").alias("weight"))
-    led = members.join(weight, "c")
+    weight = written(members.groupBy("c").agg(F.sum("size").alias("weight")), "weights")
+    led = members.join(_short(weight), "c")
     led = led.withColumn("lead", F.max(F.struct("weight", "c", "n")).over(same))
     star = led.where("c <> lead.c").where(_near_in_size("n", "lead.n"))
     star = written(star.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "star")
@@ -388,10 +391,10 @@ def _rarest(sets: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=["sig", "c", "n", "band", "most"])
 
-    rows = sets.select("c", "own").mapInArrow(every, _ROWS + ", most int")
+    rows = sets.select("c", "own").mapInArrow(every, _ROWS + ", band int, most int")
     rows = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("sig")))
     first = F.row_number().over(Window.partitionBy("c", "band").orderBy("held", "sig"))
-    return rows.withColumn("first", first).where("first <= most").select("sig", "c", "n", "band")
+    return rows.withColumn("first", first).where("first <= most").select("sig", "c", "n")
 
 
 def _clusters(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -508,8 +511,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     involved = rows.join(members.select("c").distinct(), "c", "left_semi")
     one = involved.groupBy("c").agg(F.min(F.struct("doc_id", "code")).alias("one"))
     one = written(one.select(F.col("one.doc_id").alias("d"), F.col("one.code").alias("k")), "one-each")
-    if one.count() <= FEW:
-        one = F.broadcast(one)
+    one = _short(one)
     same = docs["doc_id"].eqNullSafe(one["d"]) & (docs["code"] == one["k"])
     texts = docs.join(one, same, "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "c long, own binary, brief binary")

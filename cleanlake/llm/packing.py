@@ -23,8 +23,8 @@ from cleanlake.llm.tokens import ChunkEncoder
 
 #: Pieces that one task packs together; a group of this size wastes about one sequence.
 GROUP = 20_000
-#: Entries of the encoder's memos; as many take some 150 MB.
-MEMO = 300_000
+#: Entries of the encoder's memos; as many take some 100 MB.
+MEMO = 200_000
 #: Exchanges that a pass looks for, for each underfull sequence.
 TRIES = 60
 
@@ -151,7 +151,7 @@ def _pieces(path: str, keeps_space: bool, end_id: int, size: int):
         encoder = per_worker(args, lambda: ChunkEncoder(*args))
         for batch in batches:
             ids, codes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for i, j in slices(texts, 4_000_000):
+            for i, j in slices(texts, 2_000_000):
                 take, rows = [], []
                 for at, data in enumerate(encoder.encode(texts[i:j]), i):
                     data += end
