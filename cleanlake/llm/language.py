@@ -2,9 +2,10 @@
 
 For each language a suffix automaton is built of a bounded sample of labelled text. A document is
 parsed with each of them: the longest match at the current place is a phrase, and the parse goes on
-behind it. The language that needs the fewest phrases, normalised by length, wins. As matches are
-read from the automaton's start on, parsing is one table look-up for a character, and many pieces
-of text are parsed side by side.
+behind it. The language that needs the fewest bits for its phrases, normalised by length, wins: a
+phrase is a place in the sample, so one of a larger sample costs more. As matches are read from the
+automaton's start on, parsing is one table look-up for a character, and many pieces of text are
+parsed side by side.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from cleanlake.llm.shared import forget, hash_code, lowest, slices, table
 
-#: Characters of training text for a language, of a document in it, and documents looked at.
-SAMPLE_CHARS, SAMPLE_DOC_CHARS, SAMPLE_DOCS = 40_000, 1_000, 200
+#: Characters of training text for a language, and documents looked at.
+SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 200
+#: Bits of a phrase besides its place in the sample: its end, or a letter that the sample lacks.
+PHRASE_BITS = 6.0
 #: A long text is parsed in pieces of so many characters, each from a phrase's beginning.
 PIECE = 512
 
@@ -116,13 +119,14 @@ class Model:
         # 255 codes fit a byte; the rarest letters of large scripts count as other characters.
         counts = {c: letters.count(c) for c in set(letters)}
         self.alphabet = Alphabet("".join(sorted(counts, key=lambda c: (-counts[c], c))[:254]))
-        self.parsers = []
+        self.parsers, self.bits = [], []
         for language in self.languages:
-            codes = self.alphabet.encode(samples[language])
-            self.parsers.append(parser(automaton(_squeezed(codes).tolist(), self.alphabet.size)))
+            codes = _squeezed(self.alphabet.encode(samples[language]))
+            self.parsers.append(parser(automaton(codes.tolist(), self.alphabet.size)))
+            self.bits.append(float(np.log2(max(1, len(codes)))) + PHRASE_BITS)
 
     def rates(self, texts: list[str | None]) -> np.ndarray:
-        """Phrases per code, by text and language; infinite for texts without letters."""
+        """Bits per code, by text and language; infinite for texts without letters."""
         out = np.full((len(texts), len(self.languages)), np.inf)
         known = [i for i, t in enumerate(texts) if t and has_letters(t)]
         if not known or not self.languages:
@@ -135,9 +139,9 @@ class Model:
         number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = (np.cumsum(sizes) - sizes)[text] + number * PIECE
         lengths = np.minimum(sizes[text] - number * PIECE, PIECE)
-        for k, parse in enumerate(self.parsers):
+        for k, (parse, bits) in enumerate(zip(self.parsers, self.bits)):
             cuts = phrases(codes, starts, lengths, parse, self.alphabet.size)
-            out[known, k] = np.bincount(text, cuts, len(own)) / sizes
+            out[known, k] = np.bincount(text, cuts, len(own)) * bits / sizes
         return out
 
 
@@ -161,24 +165,22 @@ def samples(
     text_col: str = "text",
     lang_col: str = "lang",
     docs: int = SAMPLE_DOCS,
-    doc_chars: int = SAMPLE_DOC_CHARS,
     chars: int = SAMPLE_CHARS,
 ) -> dict[str, str]:
-    """Bounded training text by language: of each, the ``docs`` documents lowest by hash, ``doc_chars``
-    characters of each, ``chars`` at most; as many of every language, so that none gains by size."""
+    """Bounded training text by language: whole texts of the ``docs`` documents lowest by hash, until
+    there are ``chars`` characters. Each language has its own bound; a rare one has what there is."""
     chosen = lowest(
         labelled.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")),
         "lang", hash_code(id_col), docs,
     )
-    rows = chosen.select("lang", "_code", F.substring("text", 1, doc_chars).alias("text"))
+    # No more than ``chars`` of a text can be used, so no more is moved.
+    rows = chosen.select("lang", "_code", F.substring("text", 1, chars).alias("text"))
     rows = rows.where("trim(text) <> ''").collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["_code"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    joined = {lang: "\n".join(dict.fromkeys(texts[:docs])) for lang, texts in found.items()}
-    joined = {lang: t for lang, t in joined.items() if has_letters(t)}
-    least = min((len(t) for t in joined.values()), default=0)
-    return {lang: t[: min(chars, max(least, 2_000))] for lang, t in joined.items()}
+    joined = {lang: "\n".join(dict.fromkeys(texts[:docs]))[:chars] for lang, texts in found.items()}
+    return {lang: t for lang, t in joined.items() if has_letters(t)}
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -52,6 +52,44 @@ def test_language_of_nothing(spark):
     assert identify(none, Model({"en": "abc"})).count() == 0
 
 
+def test_a_rare_label_leaves_the_other_samples_whole(spark):
+    rng = np.random.default_rng(2)
+
+    def text(letters, size):
+        words = ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(size)]
+        return " ".join(words)
+
+    rows = [(i, text("abcdefgh", 400), "one") for i in range(60)]
+    rows += [(100 + i, text("ijklmnop", 400), "two") for i in range(60)]
+    big = samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang: len(t) for lang, t in big.items()} == {"one": 40_000, "two": 40_000}
+    assert all(max(map(len, t.split("\n"))) > 1_000 for t in big.values()), "texts are taken whole"
+    rows += [(200, text("qrstuvwx", 50)[:300], "rare"), (201, "ok", "typo")]
+    found = samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: found[k] for k in big} == big
+    assert found["rare"] == rows[-2][1] and found["typo"] == "ok"
+
+
+def test_rates_allow_for_the_size_of_samples():
+    docs = texts_by_language()
+    whole = {lang: "\n".join(texts[::2])[:40_000] for lang, texts in docs.items()}
+    unseen = [(lang, t) for lang, texts in docs.items() for t in texts[1:60:2]]
+    some = Model({**whole, "typo": "ok", "fr": whole["fr"][:300], "eng": whole["en"][-300:]})
+    rates = some.rates([t for _, t in unseen])
+    got = [some.languages[i] for i in rates.argmin(axis=1)]
+    assert np.mean([a == lang for a, (lang, _) in zip(got, unseen)]) > 0.97
+
+
+def texts_by_language():
+    import pyarrow.parquet as pq
+
+    out = {}
+    for r in pq.read_table(f"{SF}/documents.parquet", columns=["text", "lang"]).to_pylist():
+        if r["lang"] and r["text"] and language.has_letters(r["text"]):
+            out.setdefault(r["lang"], []).append(r["text"])
+    return out
+
+
 def test_language_by_text_alone(spark):
     out = language.op5_language(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
