@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import forget, hash_code, lowest, slices, table
+from cleanlake.llm.shared import forget, hash_code, lowest, slices, table, written
 
 #: Characters of training text for a language, and documents looked at.
 SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 200
@@ -168,18 +168,30 @@ def samples(
     chars: int = SAMPLE_CHARS,
 ) -> dict[str, str]:
     """Bounded training text by language: whole texts of the ``docs`` documents lowest by hash, until
-    there are ``chars`` characters. Each language has its own bound; a rare one has what there is."""
-    chosen = lowest(
-        labelled.select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")),
-        "lang", hash_code(id_col), docs,
+    there are ``chars`` characters. Each language has its own bound; a rare one has what there is.
+
+    Rows that agree in id, text and language are one document, and a null id is like any other."""
+    rows = labelled.select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        hash_code(id_col, text_col).alias("code"),
     )
+    rows = rows.where("lang is not null and trim(text) <> ''")
+    # Distinct codes, so that a mass of copies takes one place and the bound holds.
+    codes = written(rows.select("lang", "code").distinct(), "language-codes")
+    chosen = lowest(codes, "lang", F.col("code"), docs).select("lang", "code")
+    by_code = Window.partitionBy("lang").orderBy("code")
+    chosen = chosen.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= docs)
+    chosen = written(chosen.drop("place"), "language-sample")
     # No more than ``chars`` of a text can be used, so no more is moved.
-    rows = chosen.select("lang", "_code", F.substring("text", 1, chars).alias("text"))
-    rows = rows.where("trim(text) <> ''").collect()
+    rows = rows.join(F.broadcast(chosen), ["lang", "code"])
+    rows = rows.select("lang", "code", F.substring("text", 1, chars).alias("text"))
+    rows = rows.groupBy("lang", "code").agg(F.min("text").alias("text"))
+    before = F.sum(F.length("text")).over(by_code.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
     found: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["_code"], r["text"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["code"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    joined = {lang: "\n".join(dict.fromkeys(texts[:docs]))[:chars] for lang, texts in found.items()}
+    joined = {lang: "\n".join(dict.fromkeys(texts))[:chars] for lang, texts in found.items()}
     return {lang: t for lang, t in joined.items() if has_letters(t)}
 
 

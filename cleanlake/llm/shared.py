@@ -94,7 +94,8 @@ def hash_code(*columns: str) -> Column:
 
 def lowest(rows: DataFrame, by: str, code: Column, most: int) -> DataFrame:
     """Of each value of ``by`` the rows with the lowest codes: ``most`` of them, at most twice as many
-    (or all that have one code), or all there are.
+    (or all that have one code), or all there are. The hash of a null is the same low code for all
+    nulls: callers leave nulls out or hash more columns, and give distinct codes for a strict bound.
 
     Found by counting codes by their leading bits, then by the next ones where one count is still too
     large: nothing is sorted, and only 4,096 counts of each value come to the driver.

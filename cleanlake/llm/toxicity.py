@@ -176,10 +176,13 @@ def learn(
     """A lexicon from ``docs`` and the 0 and 1 in ``toxic`` of ``labels``.
 
     Learned from the ``most`` labels of each class that are lowest by the hash of their id: a bounded
-    sample. Null labels and texts are left out. Without rows of both classes the lexicon is empty
-    and all scores are low.
+    sample. Null ids, labels and texts are left out; a label given twice counts once. Without rows of
+    both classes the lexicon is empty and all scores are low.
     """
-    chosen = lowest(labels.where("toxic in (0, 1)").select(id_col, "toxic"), "toxic", hash_code(id_col), most)
+    # A null id meets no document, and would take the places of labels that do.
+    given = labels.where("toxic in (0, 1)").where(F.col(id_col).isNotNull())
+    given = written(given.select(id_col, "toxic").distinct(), "toxicity-given")
+    chosen = lowest(given, "toxic", hash_code(id_col), most)
     chosen = written(chosen.select(id_col, "toxic"), "toxicity-labels")
     sample = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col)
     sample = sample.where("text is not null").select("text", "toxic").repartition(16)

@@ -134,6 +134,24 @@ def test_learned_lexicon(spark, docs, odd_texts):
     assert all(r.predicted == int(r.score >= 0.3) for r in out)
 
 
+def test_null_ids_take_no_place_in_the_samples(spark):
+    rows = [(i, f"plain words of text{i}" + " you grobnik" * (i % 2), i % 2) for i in range(160)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    nulls = spark.range(600).selectExpr("cast(null as long) as doc_id", "int(id % 2) as toxic")
+    labels = labelled.drop("text").unionByName(nulls)
+    lexicon = learn(labelled.drop("toxic"), labels, most=60)
+    assert lexicon == learn(labelled.drop("toxic"), labelled.drop("text"), most=60)
+    assert Matcher(lexicon).score("you grobnik") >= 0.3
+
+    texts = [(None if i < 900 else i, f"text number{i} has some words", "en") for i in range(1000)]
+    texts += [(None, "the same text many times", "en")] * 500
+    known = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    found = samples(known, docs=50)["en"].split("\n")
+    assert len(found) == 50
+    numbers = [int("".join(c for c in t if c.isdigit()) or 0) for t in found]
+    assert sum(n >= 900 for n in numbers) < 20 and found != sorted(found)
+
+
 def test_nothing_to_learn(spark):
     nothing = spark.createDataFrame([], "doc_id long, text string, toxic int")
     lexicon = learn(nothing, nothing)
