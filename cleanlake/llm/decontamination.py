@@ -134,6 +134,28 @@ def leaks(
     documents or items of one id give one row, the best. Empty tables give an empty table. The
     vocabulary of a block of items must stay below two million words, which its size ensures.
     """
+    found = row_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, least, block_chars)
+    best = F.max(F.struct("score", (-F.col("start")).alias("before"), "end"))
+    found = found.groupBy("doc_id", "item").agg(best.alias("b"))
+    found = found.select(
+        F.col("doc_id").alias(id_col), F.col("item").alias(item_col), F.col("b.score"),
+        (-F.col("b.before")).alias("start"), F.col("b.end"),
+    )
+    return found
+
+
+def row_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    least: float = 0.5,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """``leaks`` by row: ``doc_id`` and ``code``, the hash of the row's text, then ``item``, ``score``,
+    ``start`` and ``end``. Repeated rows or items give repeated ones."""
     docs = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text")
     ).where("text is not null")
@@ -146,12 +168,6 @@ def leaks(
     for block in range(max(1, blocks)):
         part = _block(docs, tests.where(own == block), least)
         found = part if found is None else found.unionByName(part)
-    best = F.max(F.struct("score", (-F.col("start")).alias("before"), "end"))
-    found = found.groupBy("doc_id", "item").agg(best.alias("b"))
-    found = found.select(
-        F.col("doc_id").alias(id_col), F.col("item").alias(item_col), F.col("b.score"),
-        (-F.col("b.before")).alias("start"), F.col("b.end"),
-    )
     return found
 
 
@@ -206,26 +222,28 @@ def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
     wanted = pairs.groupBy("doc_id", "code").agg(F.collect_set("i").alias("items"))
     wanted = written(wanted.withColumnsRenamed({"doc_id": "d", "code": "c"}), "benchmark-pairs")
     same = docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["code"] == wanted["c"])
-    texts = docs.join(wanted, same).select("doc_id", "text", "items")
+    texts = docs.join(wanted, same).select("doc_id", "code", "text", "items")
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in range(3))
-            for at, (doc, text, own) in enumerate(zip(*columns)):
+            columns = (batch.column(c).to_pylist() for c in range(4))
+            for doc, code, text, own in zip(*columns):
                 numbers = items.numbered(words_of(text))
                 grams = items.grams(numbers)
                 for i in own:
                     score, start, end = best_alignment(items, i, numbers, grams)
                     score /= MATCH * len(items.words[i])
                     if score >= least:
-                        out.append((doc, i, score, start, end))
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-            labels = ["doc_id", "i", "score", "start", "end"]
+                        out.append((doc, code, i, score, start, end))
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+            labels = ["doc_id", "code", "i", "score", "start", "end"]
             arrays = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=labels)
 
-    scored = texts.mapInArrow(judge, f"doc_id {id_type}, i int, score double, start int, end int")
+    scored = texts.mapInArrow(
+        judge, f"doc_id {id_type}, code long, i int, score double, start int, end int"
+    )
     keys = spark.createDataFrame(list(enumerate(names)), f"i int, item {item_type}")
     return scored.join(keys, "i").drop("i")
 

@@ -499,6 +499,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     link, so do repeated rows. Null ids are passed over in looking for the smallest. An empty table
     gives an empty table.
     """
+    rows = row_groups(docs, id_col, text_col)
+    rows = written(rows.select("doc_id", "n", "comp"), "in-components")
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = written(least.where("least is not null"), "least-ids")
+    return rows.join(least, "comp", "left").select(
+        F.col("doc_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("least", "doc_id").alias("component_id"),
+    )
+
+
+def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``code`` (hash of the text), ``n`` shingles and ``comp``,
+    a number of the component, null for a text without words. Read it once, or write it."""
     docs = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text")
     )
@@ -518,14 +532,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with _bucketed(sets) as sets:
         groups = _search(members, sets)
     rows = rows.join(groups, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    rows = written(rows.select("doc_id", "n", "comp"), "in-components")
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    least = written(least.where("least is not null"), "least-ids")
-    return rows.join(least, "comp", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("least", "doc_id").alias("component_id"),
-    )
+    return rows.select("doc_id", "code", "n", "comp")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

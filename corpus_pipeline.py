@@ -4,8 +4,8 @@ Each stage calls one operator of ``cleanlake.llm``, works on all rows its predec
 written as Parquet in the shared folder before the next one reads it. All but the last return the
 columns of documents; the last returns one row per piece of a sequence.
 
-Repeated rows of one id share a fate where a stage decides by id. Rows with a null id are kept by
-such stages as long as their own text passes; an empty table passes through.
+Every row is judged by its own text, whether its id is null, repeated or neither: stages that drop
+rows do so by id and hash of the text. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -39,25 +39,37 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with (id, hash of the text); nulls are equal."""
+    rows = rows.toDF("_id", "_code")
+    same = docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_code"])
+    return docs.join(rows, same, how).select(*docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    groups = written(jaccard_join.similar_groups(docs.select("doc_id", "text")), "groups")
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    # Only where an id is repeated are texts compared once more, so that one row of it stays.
-    again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    again = written(again, "repeated-ids")
+    """One row of each group of near copies stays: that with the smallest id, null ids last."""
+    rows = written(jaccard_join.row_groups(docs.select("doc_id", "text")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code"))
+    kept = rows.where("comp is not null").groupBy("comp").agg(first.alias("kept"), F.count("*").alias("all"))
+    kept = written(kept.where(F.col("all") > 1).select("comp", "kept"), "kept")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("code") == F.col("kept.code")))
+    copies = written(rows.join(kept, "comp").where(other).select("doc_id", "code").distinct(), "copies")
+    left = _by_row(docs, copies, "left_anti")
+    # Rows that agree in id and text are told apart by nothing: one of them stays.
+    again = rows.groupBy("doc_id", "code").agg(F.count("*").alias("all"), F.max("comp").alias("comp"))
+    again = again.where("all > 1 and (comp is not null or doc_id is not null)").select("doc_id", "code")
+    again = written(again, "repeated-rows")
     if again.isEmpty():
         return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once)
+    once = _by_row(left, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _by_row(left, again, "left_anti").unionByName(once)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item, whole or edited."""
-    found = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    found = written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = decontamination.row_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = written(found.select("doc_id", "code").distinct(), "leaks")
+    return _by_row(docs, found, "left_anti")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

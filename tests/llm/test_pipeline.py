@@ -41,6 +41,24 @@ def test_odd_and_no_documents(spark, docs, odd_texts):
         assert out["near_copies"].count() == len(kept)
 
 
+def test_rows_are_judged_by_their_own_text(spark, docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    fine = "a text about rivers and hills that no one has written before number"
+    texts = [" ".join(f"{fine[:9]}{k}x{i}" for i in range(30)) for k in range(4)]
+    own = docs([(None, item), (None, texts[0]), (7, item), (7, texts[1]), (8, texts[2])], extra=False)
+    kept = corpus_pipeline.benchmark(spark, own, SF).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, texts[0]), (7, texts[1]), (8, texts[2])}
+
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[0]), (None, near), (None, texts[1]), (5, texts[1])]
+    rows += [(5, texts[2]), (3, texts[2]), (5, texts[3]), (5, texts[3]), (None, None), (None, None)]
+    kept = corpus_pipeline.near_copies(spark, docs(rows, extra=False), SF).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert [r for r in got if r[0] is None and r[1]] in ([(None, texts[0])], [(None, near)])
+    assert [r for r in got if r[0]] == [(3, texts[2]), (5, texts[1]), (5, texts[3])]
+    assert got.count((None, None)) == 2
+
+
 def test_no_rows_with_the_schema(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert stages(spark, none)["packing"].count() == 0
