@@ -4,10 +4,14 @@ Test items are taken in blocks of bounded size. One pass over the documents note
 the block's items each holds. Of an item's n-grams those that few documents hold are its seeds, so
 common phrases start no alignment; documents that share a seed are aligned with the item, word by
 word, around the places where they share n-grams. Edited copies keep a high local score.
+
+A copy of a short item may keep none of its rare n-grams. Short items are sought by word pairs
+instead: the score asked for implies how many of an item's pairs a passage must hold.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +27,8 @@ from cleanlake.llm.shared import forget, slices, table, written
 GRAM, SEGMENT = 3, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 8_000_000
+#: Items of fewer words are sought by their word pairs.
+SHORT = 40
 
 _WORD = re.compile(r"\w+")
 
@@ -32,27 +38,41 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """The items of a block as numbered words and sorted n-grams."""
+    """The items of a block as numbered words, sorted n-grams of long ones and word pairs of short ones."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = GRAM):
+    def __init__(self, rows: list[tuple[int, str]], n: int = GRAM, least: float = 0.5):
         self.n = n
         split = {key: words_of(text) for key, text in rows}
         self.number = {w: i for i, w in enumerate(sorted({w for ws in split.values() for w in ws}))}
         # n numbers make one 64-bit key; a block's vocabulary leaves room for three.
         self.base = len(self.number) + 1
         self.words = {k: self.numbered(ws) for k, ws in split.items() if len(ws) >= n}
-        own = [self.grams(w) for w in self.words.values()]
+        self.long = [k for k, w in self.words.items() if len(w) >= SHORT]
+        own = [self.grams(self.words[k]) for k in self.long]
         self.known = np.unique(np.concatenate(own)) if own else np.empty(0, np.int64)
+        short = [(k, w) for k, w in self.words.items() if len(w) < SHORT]
+        own = [self.grams(w, 2) for _, w in short]
+        pairs = np.concatenate([np.empty(0, np.int64), *own])
+        order = np.argsort(pairs, kind="stable")
+        #: Word pairs, where the list of items of each begins, and these lists.
+        self.pairs, first = np.unique(pairs[order], return_index=True)
+        self.first = np.append(first, len(pairs))
+        keys = np.array([k for k, _ in short], np.int64)
+        self.holders = np.repeat(keys, [len(g) for g in own])[order]
+        self.needed = np.ones(1 + max(self.words, default=0), np.int64)
+        for k, w in short:
+            self.needed[k] = pairs_needed(len(w), least)
 
     def numbered(self, words: list[str]) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, -1) for w in words], np.int64)
 
-    def grams(self, numbers: np.ndarray) -> np.ndarray:
+    def grams(self, numbers: np.ndarray, n: int | None = None) -> np.ndarray:
         """A key for each window of n words, -1 if a word of it is in no item."""
-        count = max(0, len(numbers) - self.n + 1)
+        n = n or self.n
+        count = max(0, len(numbers) - n + 1)
         out, bad = np.zeros(count, np.int64), np.zeros(count, bool)
-        for k in range(self.n):
+        for k in range(n):
             part = numbers[k : k + count]
             out = out * self.base + part
             bad |= part < 0
@@ -66,6 +86,41 @@ class Items:
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         return self.known[at] == grams
 
+    def candidates(self, pairs: np.ndarray) -> np.ndarray:
+        """The short items of which a text with these word pairs has as many as a copy needs."""
+        own = np.unique(pairs[pairs >= 0])
+        if not len(self.pairs) or not len(own):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        at = at[self.pairs[at] == own]
+        sizes = self.first[at + 1] - self.first[at]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found, counts = np.unique(self.holders[np.repeat(self.first[at], sizes) + within], return_counts=True)
+        return found[counts >= self.needed[found]]
+
+    def passages(self, key: int, pairs: np.ndarray) -> np.ndarray:
+        """Places of the item's word pairs in a text, where enough are within reach of each other."""
+        at = np.flatnonzero(np.isin(pairs, self.grams(self.words[key], 2)) & (pairs >= 0))
+        more = int(self.needed[key]) - 1
+        if len(at) <= more:
+            return at[:0]
+        begins = np.flatnonzero(at[more:] - at[: len(at) - more] < 2 * len(self.words[key]))
+        covered = np.zeros(len(at) + 1, np.int64)
+        np.add.at(covered, begins, 1)
+        np.add.at(covered, begins + more + 1, -1)
+        return at[np.cumsum(covered)[:-1] > 0]
+
+
+def pairs_needed(words: int, least: float) -> int:
+    """The fewest word pairs of an item that a copy with this score keeps.
+
+    With m words kept in b + 1 runs, the score of 2 m - b at most is to reach 2 * least * words. Words
+    replaced or left out cost the item b words at least, so b <= 2 (1 - least) words / 3, and m - b - 1
+    pairs are kept. Additions alone cost the item no word; the bound holds for those up to one in
+    two words, and for any that leave so many pairs.
+    """
+    return max(1, math.ceil(least * words - (1 - least) * words / 3 - 1 - 1e-9))
+
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, and the words of ``text`` it spans, [start, end).
@@ -103,8 +158,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def best_alignment(items: Items, key: int, text: np.ndarray, grams: np.ndarray) -> tuple[int, int, int]:
     """The best alignment of an item with ``text``, within reach of the n-grams they share."""
-    item = items.words[key]
-    at = np.flatnonzero(np.isin(grams, items.grams(item)) & (grams >= 0))
+    at = np.flatnonzero(np.isin(grams, items.grams(items.words[key])) & (grams >= 0))
+    return around(items.words[key], text, at)
+
+
+def around(item: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
+    """The best alignment within reach of the places ``at``."""
     reach, best = 2 * len(item), (0, 0, 0)
     if not len(at):
         return best
@@ -177,7 +236,7 @@ def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
     item_type = tests.schema["item"].dataType.simpleString()
     # A block has a bounded number of characters, and so has what the driver gets and sends.
     rows = [(i, r["item"], r["text"]) for i, r in enumerate(sorted(tests.collect()))]
-    items = Items([(i, text) for i, _, text in rows])
+    items = Items([(i, text) for i, _, text in rows], least=least)
     names = [key for _, key, _ in rows]
 
     def note(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,27 +244,41 @@ def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for i, j in slices(texts):
-                take, grams = [], []
+                take, grams, out = [], [], []
                 for at in range(i, j):
-                    own = items.grams(items.numbered(words_of(texts[at])))
+                    numbers = items.numbered(words_of(texts[at]))
+                    own = items.grams(numbers)
                     own = np.unique(own[items.shared(own) & (own >= 0)])
                     take.append(np.full(len(own), at))
                     grams.append(own)
+                    pairs = items.grams(numbers, 2)
+                    for key in items.candidates(pairs).tolist():
+                        places = items.passages(key, pairs)
+                        score, start, end = around(items.words[key], numbers, places)
+                        score /= MATCH * len(items.words[key])
+                        if score >= least:
+                            out.append((at, key, score, start, end))
+                n = sum(map(len, grams))
+                take += [np.array([r[0] for r in out], np.int64)]
                 at = pa.array(np.concatenate(take), pa.int64())
                 columns = [batch.column(0).take(at), batch.column(1).take(at)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.concatenate(grams), pa.int64())],
-                    names=["doc_id", "code", "gram"],
-                )
-
-    held = docs.mapInArrow(note, f"doc_id {id_type}, code long, gram long")
-    held = written(held, "benchmark-grams")
+                columns.append(pa.array([*np.concatenate(grams).tolist(), *[None] * len(out)], pa.int64()))
+                kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+                columns += [pa.array([*[None] * n, *(r[k] for r in out)], t) for k, t in enumerate(kinds, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "code", "gram", *fields])
+
+    # A row is an n-gram of a long item that the document holds, or the leak of a short item.
+    fields = ["i", "score", "start", "end"]
+    kinds = "i int, score double, start int, end int"
+    noted = written(docs.mapInArrow(note, f"doc_id {id_type}, code long, gram long, {kinds}"), "benchmark-grams")
+    held = noted.where("gram is not null").select("doc_id", "code", "gram")
+    short = noted.where("gram is null").select("doc_id", "code", *fields)
     rarity = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
     grams = [
         (i, place // SEGMENT, place, int(g))
-        for i, words in items.words.items()
-        for place, g in enumerate(items.grams(words))
+        for i in items.long
+        for place, g in enumerate(items.grams(items.words[i]))
     ]
     seeds = spark.createDataFrame(grams, "i int, segment int, place int, gram long")
     seeds = seeds.join(rarity, "gram")
@@ -241,9 +314,7 @@ def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
             arrays = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=labels)
 
-    scored = texts.mapInArrow(
-        judge, f"doc_id {id_type}, code long, i int, score double, start int, end int"
-    )
+    scored = texts.mapInArrow(judge, f"doc_id {id_type}, code long, {kinds}").unionByName(short)
     keys = spark.createDataFrame(list(enumerate(names)), f"i int, item {item_type}")
     return scored.join(keys, "i").drop("i")
 

@@ -166,3 +166,31 @@ def test_groups_of_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert found(jaccard_join.op8_jaccard_join(spark, folder)) == plain_groups(rows)
+
+
+def test_short_items_with_many_words_replaced(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (15, 15, 15, 20, 25, 45) for _ in range(3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(items)]  # exact copies make all 3-grams equally frequent
+    for own in items:
+        for share in (0.25, 0.33):
+            for _ in range(12):
+                copy = [f"new{rng.random()}" if rng.random() < share else w for w in own]
+                around = [" ".join(rng.choices(vocabulary, k=20)) for _ in range(2)]
+                rows.append((len(rows), f"{around[0]} {' '.join(copy)} {around[1]}"))
+    # Every third word replaced: no three words in a row are left.
+    rows.append((len(rows), " ".join("new" if k % 3 == 2 else w for k, w in enumerate(items[0]))))
+    numbers: dict[str, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)]) for _, t in rows]
+    wanted = set()
+    for i, own in enumerate(items):
+        if len(own) < decontamination.SHORT:
+            item = np.array([numbers[w] for w in own])
+            wanted |= {(d, i) for d, t in enumerate(coded) if align(item, t)[0] >= len(own)}
+    assert (len(rows) - 1, 0) in wanted and len(wanted) > 150
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = leaks(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert {(d, i) for d, i in got if len(items[i]) < decontamination.SHORT} == wanted
+    assert {(i, i) for i in range(len(items))} <= got
