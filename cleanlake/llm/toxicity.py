@@ -140,8 +140,8 @@ def _candidates(word: str) -> Iterator[str]:
             yield " " + word[:n]
 
 
-def _count(sample: DataFrame, keys_of, least: int, most: int) -> list[tuple[str, int, int]]:
-    """(key, toxic documents, clean documents) over the sample, the most frequent ``most`` keys."""
+def _count(sample: DataFrame, keys_of, wanted: str, order: list[Column], most: int) -> list[tuple[str, int, int]]:
+    """(key, toxic documents, clean documents) over the sample: of the ``wanted`` keys the first ``most``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_in = keys_of()
@@ -157,8 +157,7 @@ def _count(sample: DataFrame, keys_of, least: int, most: int) -> list[tuple[str,
 
     rows = sample.select("text", "toxic").mapInArrow(run, "key string, toxic long, clean long")
     rows = rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = rows.where(F.greatest("toxic", "clean") >= least)
-    rows = rows.orderBy((F.col("toxic") - F.col("clean")).desc(), "key").limit(most)
+    rows = rows.where(wanted).orderBy(*order).limit(most)
     return [(r["key"], r["toxic"], r["clean"]) for r in rows.collect()]
 
 
@@ -200,10 +199,10 @@ def learn(
 
         return keys
 
-    least = 3
     share = n_toxic / (n_toxic + n_clean)
     weighed = []
-    for key, toxic, clean in _count(sample, words_in, least, 20 * ENTRIES):
+    by_excess = [(F.col("toxic") - F.col("clean")).desc(), F.col("key")]
+    for key, toxic, clean in _count(sample, words_in, "greatest(toxic, clean) >= 3", by_excess, 20 * ENTRIES):
         odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
         if odds >= 1.5 and surprise(toxic, clean, share) >= SURPRISE:
             weighed.append((toxic * odds, -len(key), key, odds))
@@ -234,9 +233,10 @@ def learn(
 
         return keys
 
-    counts = _count(sample, phrases_in, 3, 50 * EXCEPTIONS) if entries else []
-    harmless = [(c, k) for k, t, c in counts if c >= 3 and c * n_toxic > 8 * t * n_clean]
-    exceptions = frozenset(k for _, k in sorted(harmless, reverse=True)[:EXCEPTIONS])
+    harmless = f"clean >= 3 and clean * {n_toxic} > 8 * toxic * {n_clean}"
+    by_clean = [F.col("clean").desc(), F.col("key").desc()]
+    counts = _count(sample, phrases_in, harmless, by_clean, EXCEPTIONS) if entries else []
+    exceptions = frozenset(k for k, _, _ in counts)
     judged = Lexicon(entries, exceptions)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,15 @@ def test_null_ids_take_no_place_in_the_samples(spark):
     assert sum(n >= 900 for n in numbers) < 20 and found != sorted(found)
 
 
+def test_many_toxic_phrases_leave_room_for_exceptions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EXCEPTIONS", 1)
+    rows = [(f"you grobnik word{'abcdefghij'[k % 10] * (1 + k // 10)}", 1) for k in range(60) for _ in range(3)]
+    rows += [("the grobnik tower is old", 0)] * 30 + [("some words of every day", 0)] * 370
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    lexicon = learn(labelled.drop("toxic"), labelled.drop("text"))
+    assert lexicon.exceptions == {" the grobnik "}
+
+
 def test_nothing_to_learn(spark):
     nothing = spark.createDataFrame([], "doc_id long, text string, toxic int")
     lexicon = learn(nothing, nothing)
