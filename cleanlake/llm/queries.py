@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanlake.llm import (
+    bpe,
     chat,
     decontamination,
     huffman,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op12_bpe": bpe.op12_bpe,
     }
 
 
