@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanlake.llm import (
+    alignment,
     bpe,
     chat,
     decontamination,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
         "op12_bpe": bpe.op12_bpe,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
