@@ -16,6 +16,7 @@ from cleanlake.llm import (
     language,
     line_dedup,
     packing,
+    prefix_trie,
     quality,
     toxicity,
     url_filter,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_bpe": bpe.op12_bpe,
         "op13_alignment": alignment.op13_alignment,
     }
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.SQL,
         "op9_line_dedup": line_dedup.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
     }

@@ -9,6 +9,8 @@ from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +136,44 @@ def lowest(rows: DataFrame, by: str, code: Column, most: int) -> DataFrame:
     schema = f"{by} {rows.schema[by].dataType.simpleString()}, _limit long"
     limits = spark.createDataFrame(list(limit.items()), schema)
     return rows.join(F.broadcast(limits), by).where("_code <= _limit").drop("_limit")
+
+
+def numbered(rows: DataFrame, by: str, order: list[Column], kept: list[Column]) -> DataFrame:
+    """``by``, ``i`` and ``kept``: rows are numbered from 0 within each value of ``by``, in that order.
+    Values of ``by`` must not be null.
+
+    Rows are dealt by ranges of (``by``, ``order``), so no value comes to one task; each task counts its
+    own, and what earlier tasks have of its first value is added from one row per task.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, by, *order).sortWithinPartitions(by, *order)
+    dealt = dealt.select(F.col(by), *kept)
+
+    def count(batches):
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            ends = np.append(first[1:], len(keys))
+            at = np.arange(len(keys), dtype=np.int64) - np.repeat(first, ends - first)
+            if last is not None and len(keys) and keys[0] == last:
+                at[: ends[0]] += n
+            if len(keys):
+                last, n = keys[-1], int(at[-1]) + 1
+            own = [pa.array(np.full(len(keys), part, np.int32)), pa.array(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_part", "i"])
+
+    schema = dealt.schema.simpleString()[len("struct<"):-1]
+    out = written(dealt.mapInArrow(count, schema + ",_part:int,i:bigint"), "numbered")
+    tasks = out.groupBy("_part").agg(F.min(by).alias("first"), F.max(F.struct(by, "i")).alias("last"))
+    before, held, had = [], None, 0
+    for r in sorted(tasks.collect()):
+        more = had if r["first"] == held else 0
+        before.append((r["_part"], r["first"], more))
+        held, had = r["last"][0], r["last"]["i"] + 1 + (more if r["last"][0] == r["first"] else 0)
+    kind = dealt.schema[by].dataType.simpleString()
+    before = spark.createDataFrame(before, f"_part int, _first {kind}, _before long")
+    out = out.join(F.broadcast(before), "_part")
+    more = F.when(F.col(by) == F.col("_first"), F.col("_before")).otherwise(0)
+    return out.withColumn("i", F.col("i") + more).drop("_part", "_first", "_before")
