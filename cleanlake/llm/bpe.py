@@ -26,27 +26,39 @@ MEMO, PART = 400_000, 1_000_000
 _NEVER = np.int64(1 << 40)
 
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def token_bytes(file: dict) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; none for an id that is not there."""
+    vocabulary: dict[str, int] = file["model"]["vocab"]
+    byte_of = {ord(letter): byte for byte, letter in byte_letters().items()}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    out = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
+    for letters, i in vocabulary.items():
+        if letters not in special:
+            out[i] = letters.translate(byte_of).encode("latin-1")
+    for content, i in special.items():
+        out[i] = content.encode()
+    return out
+
+
 class Merges:
     """The merges of a byte-level vocabulary as arrays: what each token was made of, and when."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            file = json.load(file)
+        file = _read(path)
         model = file["model"]
         vocabulary: dict[str, int] = model["vocab"]
-        byte_of = {ord(letter): byte for byte, letter in byte_letters().items()}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
-        size = max([*vocabulary.values(), *self.special.values()]) + 1
-        self.bytes: list[bytes] = [b""] * size
-        for letters, i in vocabulary.items():
-            if letters not in self.special:
-                self.bytes[i] = letters.translate(byte_of).encode("latin-1")
-        for content, i in self.special.items():
-            self.bytes[i] = content.encode()
+        self.bytes = token_bytes(file)
+        size = len(self.bytes)
         # When a token is made, and from what; bytes are there from the beginning.
         self.rank = np.full(size, -1, np.int64)
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -259,7 +271,7 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        table_ = Merges(tokenizer).bytes
+        table_ = token_bytes(_read(tokenizer))
         size = len(table_)
         for batch in batches:
             texts = []
