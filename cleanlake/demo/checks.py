@@ -37,6 +37,13 @@ DELETED_MODULE = """
     select t.* from gi t where t.itemtype = 'mod' and not exists (
       select 1 from cm c where c.course = t.courseid and c.inst = t.iteminstance)"""
 
+LOG_SURVIVORS = with_views(
+    "log",
+    "context",
+    query=f"""select t.* from log t where timecreated >= {LC}
+    and exists (select 1 from context p where p.id = t.contextid)""",
+)
+
 # --- modules --------------------------------------------------------------------------
 
 STALLED = f"""
@@ -743,11 +750,29 @@ def oracle_sql() -> dict[str, str]:
                 {_history("grade_grades_history", "ggh", "timemodified", A)} union all
                 select 'grade_items_history', null, null, null, 'skipped'))""",
         ),
-        "apply_deletes_survivors": with_views(
+        "apply_deletes_survivors": LOG_SURVIVORS,
+        **{
+            name: LOG_SURVIVORS
+            for name in ("log_survivors_by_vectors", "log_survivors_after_rewrite", "log_survivors_by_footers")
+        },
+        "files_rewrite_manifest": with_views(
+            "files",
+            query=f"""
+            select component, count(*) as rows, count(*) filter (gone) as deleted,
+                   case when count(*) filter (gone) = 0 then 'kept'
+                        when count(*) filter (not gone) = 0 then 'dropped' else 'rewritten' end as action
+            from (select *, component in ('assignsubmission_file', 'backup')
+                         and timecreated < {COMPONENT_CUT} as gone from files)
+            group by component""",
+        ),
+        "log_months_by_age": with_views(
             "log",
-            "context",
-            query=f"""select t.* from log t where timecreated >= {LC}
-            and exists (select 1 from context p where p.id = t.contextid)""",
+            query=f"""
+            select verdict, count(*) as files, cast(sum(n) as bigint) as rows
+            from (select count(*) as n, case when max(timecreated) < {LC} then 'aged'
+                           when min(timecreated) >= {LC} then 'fresh' else 'mixed' end as verdict
+                  from log group by strftime(to_timestamp(timecreated) at time zone 'UTC', '%Y-%m'))
+            group by verdict""",
         ),
         "delete_by_predicate_survivors": with_views(
             "gi", query="select id, itemtype from gi where itemtype is distinct from 'mod'"

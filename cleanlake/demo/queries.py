@@ -16,6 +16,7 @@ from cleanlake.functions.formats import format_bytes, gib, mib
 from cleanlake.functions.mime import sniff_text
 from cleanlake.functions.predicates import is_backup_name, older_than
 from cleanlake.operators import (
+    aged_files,
     checkout,
     ghosts,
     links,
@@ -24,9 +25,11 @@ from cleanlake.operators import (
     removal,
     search,
     statistics,
+    vectors,
 )
 from cleanlake.plans import cleanup
 from cleanlake.plans.requeue import requeued_tasks
+from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY, FileFilter, RetentionPolicy
 
 A = views.AS_OF
@@ -252,6 +255,64 @@ def grade_items_kept_by_predicate(v: Views) -> DataFrame:
     return kept.select("id", "itemtype")
 
 
+def _stored(v: Views, rows: DataFrame, label: str, by: tuple[str, ...] = ()) -> tuple[Staging, str]:
+    """The rows as a table of files, as an application would keep them, and where it lies."""
+    staging = Staging(v.spark)
+    staging.keep(rows, label, by)
+    return staging, f"{staging.folder}/{label}"
+
+
+def _stored_log(v: Views) -> tuple[Staging, str]:
+    return _stored(v, v.log.repartitionByRange(16, "timecreated"), "log")
+
+
+def _log_vectors(v: Views, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = vectors.read_files(v.spark, folder, v.log.schema)
+    doomed = orphans.log_rows_to_remove(rows, v.context, views.LOG_CUTOFF)
+    return rows, vectors.deletion_vectors(rows, doomed)
+
+
+def log_survivors_by_vectors(v: Views) -> DataFrame:
+    staging, folder = _stored_log(v)
+    rows, found = _log_vectors(v, folder)
+    return vectors.survivors_by_position(rows, staging.keep(found, "vectors"))
+
+
+def log_survivors_after_rewrite(v: Views) -> DataFrame:
+    staging, folder = _stored_log(v)
+    _, found = _log_vectors(v, folder)
+    version = vectors.delete_rows(
+        v.spark, folder, v.log.schema, found, staging.folder, rewrite_above=0.5
+    )
+    return version.read()
+
+
+def files_rewrite_manifest(v: Views) -> DataFrame:
+    """What happens to the file of each component when those past their lifetime go."""
+    staging, folder = _stored(v, v.files.repartition("component"), "files", ("component",))
+    rows = vectors.read_files(v.spark, folder, v.files.schema)
+    cutoff = POLICY.cutoff(A, POLICY.component_file_days)
+    found = vectors.deletion_vectors(rows, orphans.component_retention(rows, COMPONENTS, cutoff))
+    version = vectors.delete_rows(v.spark, folder, v.files.schema, found, staging.folder, ("component",))
+    component = F.regexp_extract(vectors.FILE, "component=([^/]+)/", 1).alias("component")
+    return version.manifest.select(component, "rows", "deleted", "action")
+
+
+def log_survivors_by_footers(v: Views) -> DataFrame:
+    staging, folder = _stored_log(v)
+    args = (v.spark, folder, v.log.schema, "timecreated", views.LOG_CUTOFF, staging)
+    return aged_files.aged_table(*args).kept_with_parent(v.context, "contextid").select(*v.log.columns)
+
+
+def log_months_by_age(v: Views) -> DataFrame:
+    """Files of the log, one a month, that retention drops unread, leaves, or has to scan."""
+    month = F.date_format(F.timestamp_seconds("timecreated"), "yyyy-MM")
+    rows = v.log.withColumn("month", month).repartition("month")
+    staging, folder = _stored(v, rows, "log", ("month",))
+    args = (v.spark, folder, v.log.schema, "timecreated", views.LOG_CUTOFF, staging)
+    return aged_files.aged_table(*args).summary()
+
+
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "cleanup_report": cleanup_report,
     "cleanup_doomed": cleanup_doomed,
@@ -349,6 +410,11 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "grade_history_stats": grade_history_stats,
     "usage_statistics": usage_statistics,
     "apply_deletes_survivors": apply_deletes_survivors,
+    "log_survivors_by_vectors": log_survivors_by_vectors,
+    "log_survivors_after_rewrite": log_survivors_after_rewrite,
+    "files_rewrite_manifest": files_rewrite_manifest,
+    "log_survivors_by_footers": log_survivors_by_footers,
+    "log_months_by_age": log_months_by_age,
     "delete_by_predicate_survivors": grade_items_kept_by_predicate,
     "drafts_past_lifetime": lambda v: v.files.where(
         (F.col("filearea") == "draft")
