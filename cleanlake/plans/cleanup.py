@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.operators import checkout, ghosts, modules, orphans, removal
+from cleanlake.operators.vectors import delete_rows, deletion_vectors, read_files
 from cleanlake.plans.rules import CleanupStep, Run
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import RetentionPolicy
@@ -355,13 +356,16 @@ def apply_cleanup(
     root: str | None = None,
     dry_run: bool = True,
     partition_by: Mapping[str, Sequence[str]] = MappingProxyType({}),
+    located: Mapping[str, str] = MappingProxyType({}),
 ) -> dict[str, DataFrame]:
     """Carry the plan out: audit first, then files, then new versions of the tables.
 
     Tables are written below ``target`` and never over the version being read, so a run that fails
     leaves the data as it was. Only tables that lose rows are written; of one with ``partition_by``
-    columns only the partitions that do, so swap in those and leave the others. Section lists
-    are written anew where a deleted module is taken out of them. File records stay when their
+    columns only the partitions that do, so swap in those and leave the others. ``touched-<table>``
+    names these partitions: one that has no folder in the new table has lost all its rows and is to be
+    dropped. Of a table whose files lie at ``located[table]`` only files that lose rows are written, and
+    the new version reads the others where they are. Section lists are written anew where a deleted module is taken out of them. File records stay when their
     content could not be unlinked. A dry run writes the audit and no table.
     Returns the new tables, with the fate of each file under ``unlinked`` and records of the
     deleted modules under ``tombstones``.
@@ -382,9 +386,18 @@ def apply_cleanup(
         if doomed.isEmpty():
             continue
         rows, parts = plan.tables[table], partition_by.get(table, ())
+        if table in located:
+            place = located[table]
+            found = deletion_vectors(read_files(spark, place, rows.schema), doomed)
+            version = delete_rows(
+                spark, place, rows.schema, found, f"{staging.folder}/table-{table}", parts
+            )
+            done[table] = version.read()
+            done[f"manifest-{table}"] = version.manifest
+            continue
         if parts:
             touched = rows.join(doomed.select("id"), "id", "left_semi").select(*parts).distinct()
-            touched = staging.keep(touched, f"touched-{table}")
+            touched = done[f"touched-{table}"] = staging.keep(touched, f"touched-{table}")
             same = reduce(Column.__and__, [rows[c].eqNullSafe(touched[c]) for c in parts])
             rows = rows.join(touched, same, "left_semi")
         kept = orphans.survivors(rows, doomed).select(*plan.tables[table].columns)

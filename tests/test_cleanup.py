@@ -235,7 +235,8 @@ def test_survivors_complement_the_doomed_and_a_second_run_finds_nothing(
         partition_by={"files": ["component"]},
     )
     assert {r.status for r in done["unlinked"].collect()} == {"absent"}
-    assert set(done) == {*EXPECTED, "unlinked", "tombstones"}, "modules and others are not copied"
+    expected = {*EXPECTED, "unlinked", "tombstones", "touched-files"}
+    assert set(done) == expected, "modules and others are not copied"
     parts = {r.component for r in done["files"].select("component").distinct().collect()}
     assert "mod_page" not in parts, "partitions that lose nothing are not copied"
     done["files"] = done["files"].unionByName(data["files"].where("component = 'mod_page'"))
@@ -256,6 +257,39 @@ def test_survivors_complement_the_doomed_and_a_second_run_finds_nothing(
     assert {t: rows for t, rows in doomed(again).items() if rows} == {}
 
 
+def test_an_emptied_partition_is_named(spark, data, inventory, tmp_path):
+    """Component backup loses its only file: it is among the touched, and has no folder."""
+    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF)
+    done = apply_cleanup(
+        spark, plan, str(tmp_path / "out"), str(tmp_path), dry_run=False, partition_by={"files": ["component"]}
+    )
+    before = {r[0] for r in data["files"].select("component").distinct().collect()}
+    touched = {r[0] for r in done["touched-files"].collect()}
+    written = {r[0] for r in done["files"].select("component").distinct().collect()}
+    assert "backup" in before & touched and "backup" not in written
+    # Swapped in as the docstring says, the table is the survivors.
+    left = data["files"].join(done["touched-files"], "component", "left_anti").select("id")
+    found = {r[0] for r in left.union(done["files"].select("id")).collect()}
+    assert found == {r[0] for r in data["files"].select("id").collect()} - set(EXPECTED["files"])
+
+
+def test_located_tables_are_written_by_file(spark, data, inventory, tmp_path):
+    """Grades lie in one file each: those that lose theirs go, no other is written."""
+    place = str(tmp_path / "grades")
+    data["grade_grades"].repartitionByRange(6, "id").write.parquet(place)
+    data["grade_grades"] = spark.read.parquet(place)
+    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF)
+    done = apply_cleanup(
+        spark, plan, str(tmp_path / "out"), str(tmp_path), dry_run=False, located={"grade_grades": place}
+    )
+    assert {r[0] for r in done["grade_grades"].select("id").collect()} == {1, 5}
+    rows = {"kept": 0, "dropped": 0, "rewritten": 0}
+    for r in done["manifest-grade_grades"].collect():
+        rows[r["action"]] += r["rows"] - r["deleted"]
+    assert sum(rows.values()) == 2 and rows["dropped"] == 0
+    assert spark.read.parquet(place).count() == 6
+
+
 def test_applying_unlinks_files_and_keeps_records_of_stuck_ones(spark, data, inventory, tmp_path):
     root = tmp_path / "data"
     (root / "filedir").mkdir(parents=True)
