@@ -246,6 +246,64 @@ def _file_stats(where: str = "true") -> str:
     group by component, p.period"""
 
 
+def _usage(files: str, *history: tuple) -> str:
+    parts = [
+        f"select '{table}', null, null, null, 'skipped'" if view is None else _history(table, view, ts, A)
+        for table, view, ts in history
+    ]
+    stats = _file_stats("component in ('assignsubmission_file', 'backup')").replace(
+        "from files where", f"from {files} where"
+    )
+    return f"""
+    select *, {_shown("n_bytes")} as shown,
+           strftime(to_timestamp(case period when 'last_year' then {Y1} when 'year_before'
+             then {Y2} end) at time zone 'UTC', '%Y-%m-%d') as since,
+           strftime(to_timestamp(case when period = 'year_before' then {Y1} when period is not
+             null then {A} end) at time zone 'UTC', '%Y-%m-%d') as until from (
+      select 'files' as section, component as item, period, n_files as n,
+             cast(n_bytes as double) as n_bytes, 'ok' as status
+      from ({stats})
+      union all
+      select 'history', "table", period, n_rows, n_bytes, status from ({" union all ".join(parts)}))"""
+
+
+def _fixpoint() -> str:
+    """Edges between rows by rule, then the rows reached from the seeds, each at its least depth."""
+    rules = [
+        ("course_modules", "cm", "course", "course", "c.course = p.id"),
+        ("grade_items", "gi", "course", "course", "c.courseid = p.id"),
+        ("grade_items", "gi", "course_modules", "cm",
+         "c.courseid = p.course and c.iteminstance = p.inst and c.itemtype = 'mod'"),
+        ("context", "context", "course_modules", "cm", "c.instanceid = p.id and c.contextlevel = 70"),
+        ("files", "files", "context", "context", "c.contextid = p.id"),
+        ("grade_grades", "gg", "grade_items", "gi", "c.itemid = p.id"),
+        ("completion", "completion", "course_modules", "cm", "c.coursemoduleid = p.id"),
+        ("categories", "category_tree", "categories", "category_tree", "c.parent = p.id"),
+        ("grade_items", "gi", "categories", "category_tree",
+         "c.iteminstance = p.id and c.itemtype = 'manual'"),
+        ("categories", "category_tree", "grade_items", "gi", "c.itemid = p.id"),
+    ]
+    edges = " union all ".join(
+        f"""select '{parent}' as pt, p.id::varchar as pid, '{child}' as ct, c.id::varchar as cid,
+            {k} as rank, '{child}_of_{parent}' as rule from {c} c join {p} p on {on}"""
+        for k, (child, c, parent, p, on) in enumerate(rules)
+    )
+    return f"""
+    , edges as materialized ({edges}),
+    reached as (
+      with recursive r(t, id, depth) using key (t, id) as (
+        select 'course', u.id::varchar, 0 from usr u join course c on c.id = u.id where firstname = 'BUILDING'
+        union
+        select e.ct, e.cid, min(r.depth) + 1 from r join edges e on e.pt = r.t and e.pid = r.id
+        where not exists (select 1 from recurring.r k where k.t = e.ct and k.id = e.cid)
+        group by e.ct, e.cid
+      ) select * from r)
+    select r.t as "table", r.id, r.depth::int as depth, coalesce((
+      select arg_min(e.rule, e.rank) from edges e join reached q on q.t = e.pt and q.id = e.pid
+      where e.ct = r.t and e.cid = r.id and q.depth = r.depth - 1 and r.depth > 0), 'seed') as rule
+    from reached r"""
+
+
 def _history(table: str, view: str, ts: str, as_of: int, size: str = "n * 1024.0") -> str:
     one, two = years_before(as_of, 1), years_before(as_of, 2)
     return f"""
@@ -734,21 +792,30 @@ def oracle_sql() -> dict[str, str]:
             "log",
             "analytics_log",
             "ggh",
-            query=f"""
-            select *, {_shown("n_bytes")} as shown,
-                   strftime(to_timestamp(case period when 'last_year' then {Y1} when 'year_before'
-                     then {Y2} end) at time zone 'UTC', '%Y-%m-%d') as since,
-                   strftime(to_timestamp(case when period = 'year_before' then {Y1} when period is not
-                     null then {A} end) at time zone 'UTC', '%Y-%m-%d') as until from (
-              select 'files' as section, component as item, period, n_files as n,
-                     cast(n_bytes as double) as n_bytes, 'ok' as status
-              from ({_file_stats("component in ('assignsubmission_file', 'backup')")})
-              union all
-              select 'history', "table", period, n_rows, n_bytes, status from (
-                {_history("logstore_standard_log", "log", "timecreated", A)} union all
-                {_history("logstore_lanalytics_log", "analytics_log", "timecreated", A)} union all
-                {_history("grade_grades_history", "ggh", "timemodified", A)} union all
-                select 'grade_items_history', null, null, null, 'skipped'))""",
+            query=_usage(
+                "files", ("logstore_standard_log", "log", "timecreated"),
+                ("logstore_lanalytics_log", "analytics_log", "timecreated"),
+                ("grade_grades_history", "ggh", "timemodified"), ("grade_items_history", None, None),
+            ),
+        ),
+        "usage_from_rollup": with_views(
+            "files",
+            "log",
+            "analytics_log",
+            "context",
+            live_files=f"""select * from files where component not in ('assignsubmission_file', 'backup')
+            or timecreated >= {COMPONENT_CUT}""",
+            live_log=f"""select t.* from log t where timecreated >= {LC}
+            and exists (select 1 from context p where p.id = t.contextid)""",
+            query=_usage(
+                "live_files", ("logstore_standard_log", "live_log", "timecreated"),
+                ("logstore_lanalytics_log", "analytics_log", "timecreated"),
+                ("grade_grades_history", None, None), ("grade_items_history", None, None),
+            ),
+        ),
+        "cascade_fixpoint": with_views(
+            "usr", "course", "cm", "gi", "context", "files", "gg", "completion", "category_tree",
+            query=_fixpoint(),
         ),
         "apply_deletes_survivors": LOG_SURVIVORS,
         **{

@@ -18,11 +18,13 @@ from cleanlake.functions.predicates import is_backup_name, older_than
 from cleanlake.operators import (
     aged_files,
     checkout,
+    fixpoint,
     ghosts,
     links,
     modules,
     orphans,
     removal,
+    rollup,
     search,
     statistics,
     vectors,
@@ -313,6 +315,57 @@ def log_months_by_age(v: Views) -> DataFrame:
     return aged_files.aged_table(*args).summary()
 
 
+def usage_from_rollup(v: Views) -> DataFrame:
+    """The report after three batches of files, the logs, and the rows that retention removes; one
+    batch comes twice, and batches are merged in between."""
+    sums = rollup.Rollup(v.spark, f"{Staging(v.spark).folder}/rollup")
+    cutoff = POLICY.cutoff(A, POLICY.component_file_days)
+    for area in ("draft", "course", "content"):
+        sums.add(f"files-{area}", rollup.file_partials(v.files.where(F.col("filearea") == area)))
+    logs = {"logstore_standard_log": v.log, "logstore_lanalytics_log": v.analytics_log}
+    sums.add("logs", *[rollup.history_partials(n, rows, "timecreated") for n, rows in logs.items()])
+    sums.compact()
+    sums.add("files-course", rollup.file_partials(v.files.where(F.col("filearea") == "course")))
+    gone = orphans.component_retention(v.files, COMPONENTS, cutoff)
+    sums.add("files-gone", rollup.file_partials(gone, gone=True))
+    gone = logs_orphan_or_aged(v)
+    sums.add("logs-gone", rollup.history_partials("logstore_standard_log", gone, "timecreated", gone=True))
+    names = [name for name, _ in statistics.HISTORY_TABLES]
+    return rollup.usage_statistics_from(sums, COMPONENTS, names, list(logs), A)
+
+
+def _rules() -> list[fixpoint.ForeignKey]:
+    key = fixpoint.ForeignKey
+    return [
+        key("course_modules", "course", {"course": "id"}),
+        key("grade_items", "course", {"courseid": "id"}),
+        key("grade_items", "course_modules", {"courseid": "course", "iteminstance": "instance"}, {"itemtype": "mod"}),
+        key("context", "course_modules", {"instanceid": "id"}, {"contextlevel": 70}),
+        key("files", "context", {"contextid": "id"}),
+        key("grade_grades", "grade_items", {"itemid": "id"}),
+        key("completion", "course_modules", {"coursemoduleid": "id"}),
+        key("categories", "categories", {"parent": "id"}),
+        key("grade_items", "categories", {"iteminstance": "id"}, {"itemtype": "manual"}),
+        key("categories", "grade_items", {"itemid": "id"}),
+    ]
+
+
+def cascade_fixpoint(v: Views) -> DataFrame:
+    """All rows that go with the courses of one kind, along keys that form cycles."""
+    tables = {
+        "course": v.course, "course_modules": v.course_modules, "grade_items": v.grade_items,
+        "context": v.context, "files": v.files, "grade_grades": v.grade_grades,
+        "completion": v.completion, "categories": v.category_tree,
+    }
+    seeds = {"course": v.user.where(F.col("firstname") == "BUILDING").select("id")}
+    found = fixpoint.cascade_to_fixpoint(tables, _rules(), seeds, Staging(v.spark))
+    parts = [
+        rows.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("id"), "depth", "rule")
+        for table, rows in found.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "cleanup_report": cleanup_report,
     "cleanup_doomed": cleanup_doomed,
@@ -410,6 +463,8 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "grade_history_stats": grade_history_stats,
     "usage_statistics": usage_statistics,
     "apply_deletes_survivors": apply_deletes_survivors,
+    "usage_from_rollup": usage_from_rollup,
+    "cascade_fixpoint": cascade_fixpoint,
     "log_survivors_by_vectors": log_survivors_by_vectors,
     "log_survivors_after_rewrite": log_survivors_after_rewrite,
     "files_rewrite_manifest": files_rewrite_manifest,

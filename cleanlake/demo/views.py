@@ -181,6 +181,15 @@ def _grade_categories(raw):
     )
 
 
+def _category_tree(raw):
+    """Categories below others, some in circles, some with a grade item of their own."""
+    k = F.col("o_orderkey")
+    parent = F.when(k % 100 == 7, k * 3 + 1).otherwise(F.floor(k / 3))
+    return raw("orders").select(
+        k.alias("id"), parent.cast("bigint").alias("parent"), F.when(k % 17 == 0, k + 1).alias("itemid")
+    )
+
+
 def _grade_history(raw):
     return raw("lineitem").select(
         _line_id().alias("id"),
@@ -314,6 +323,7 @@ _VIEWS = {
     "grade_grades": _grade_grades,
     "grader": _grader,
     "grade_categories": _grade_categories,
+    "category_tree": _category_tree,
     "grade_history": _grade_history,
     "task": _task,
     "event": _event,
@@ -389,6 +399,10 @@ VIEW_SQL: dict[str, str] = {
     "gc": """
         select o_orderkey as id,
                case when o_orderkey % 97 <> 0 then o_custkey end as courseid from orders""",
+    "category_tree": """
+        select o_orderkey as id,
+               case when o_orderkey % 100 = 7 then o_orderkey * 3 + 1 else o_orderkey // 3 end as parent,
+               case when o_orderkey % 17 = 0 then o_orderkey + 1 end as itemid from orders""",
     "ggh": f"""
         select {_LINE_ID} as id, l_orderkey as itemid,
                epoch_us(l_shipdate) // 1000000 as timemodified from lineitem""",

@@ -68,8 +68,13 @@ def file_stats(files: DataFrame, components: Sequence[str] | None, as_of: int) -
         *[F.count(_if(c, F.lit(1))).alias(f"n_{i}") for i, c in enumerate(conditions)],
         *[F.sum(_if(c, F.col("filesize"))).alias(f"b_{i}") for i, c in enumerate(conditions)],
     )
+    return file_lines(sums, components)
+
+
+def file_lines(sums: DataFrame, components: Sequence[str] | None) -> DataFrame:
+    """A row per component and period from one per component, with counts ``n_i`` and bytes ``b_i``."""
     if components is not None:
-        wanted = files.sparkSession.createDataFrame([(c,) for c in components], "component string")
+        wanted = sums.sparkSession.createDataFrame([(c,) for c in components], "component string")
         sums = wanted.join(sums, "component", "left")
     zero = F.lit(0).cast("bigint")
     lines = [
@@ -106,18 +111,27 @@ def history_stats(spark: SparkSession, tables: Sequence[HistoryTable], as_of: in
 
 def _table_stats(spark: SparkSession, table: HistoryTable, one: int, two: int) -> DataFrame:
     if table.rows is None:
-        return spark.createDataFrame(
-            [(table.name, None, None, None, "skipped")],
-            "table string, period string, n_rows bigint, n_bytes double, status string",
-        )
+        return skipped_lines(spark, table.name)
     ts = F.col(table.ts)
     counts = table.rows.agg(
         F.count(F.lit(1)).alias("n_0"),
         F.count(F.when(ts >= F.lit(one), 1)).alias("n_1"),
         F.count(F.when((ts >= F.lit(two)) & (ts < F.lit(one)), 1)).alias("n_2"),
     )
+    return history_lines(counts, table.name, table.size)
+
+
+def skipped_lines(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame(
+        [(name, None, None, None, "skipped")],
+        "table string, period string, n_rows bigint, n_bytes double, status string",
+    )
+
+
+def history_lines(counts: DataFrame, name: str, bytes_known: int | None = None) -> DataFrame:
+    """A row per period of one history table from its counts ``n_i``."""
     total = F.col("n_0").cast("double")
-    size = total * BYTES_PER_ROW_GUESS if table.size is None else F.lit(float(table.size))
+    size = total * BYTES_PER_ROW_GUESS if bytes_known is None else F.lit(float(bytes_known))
     lines = []
     for i, period in enumerate(PERIODS):
         share = F.col(f"n_{i}").cast("double") / total
@@ -131,7 +145,7 @@ def _table_stats(spark: SparkSession, table: HistoryTable, one: int, two: int) -
             )
         )
     return counts.select(
-        F.lit(table.name).alias("table"),
+        F.lit(name).alias("table"),
         F.inline(F.array(*lines)),
     ).withColumn("status", F.lit("ok"))
 
@@ -163,7 +177,14 @@ def usage_statistics(
     history = [
         t if t.size is not None else replace(t, size=sizes.get(t.name)) for t in history
     ]
-    of_files = file_stats(files, components, as_of).select(
+    return report_lines(
+        file_stats(files, components, as_of), history_stats(spark, history, as_of), as_of
+    )
+
+
+def report_lines(of_files: DataFrame, of_history: DataFrame, as_of: int) -> DataFrame:
+    """The report from the statistics of files and of history tables."""
+    of_files = of_files.select(
         F.lit("files").alias("section"),
         F.col("component").alias("item"),
         "period",
@@ -171,7 +192,7 @@ def usage_statistics(
         F.col("n_bytes").cast("double").alias("n_bytes"),
         F.lit("ok").alias("status"),
     )
-    of_history = history_stats(spark, history, as_of).select(
+    of_history = of_history.select(
         F.lit("history").alias("section"),
         F.col("table").alias("item"),
         "period",
