@@ -2,8 +2,8 @@
 
 Each text is tokenised as a whole by both. Where a token marked with a space begins in both at the same
 byte, both have a token's end there: an anchor. Anchors cut the text into windows, mostly words, and
-equal windows (the same ids on both sides) are aligned once: tokens whose bytes overlap are linked,
-and shared ends cut groups. Texts of a block are kept as numbers of distinct windows, so a pair of ids
+equal windows of a block (the same ids on both sides) are aligned once: tokens whose bytes overlap are
+linked, and shared ends cut groups. Texts are kept as numbers of distinct windows, so a pair of ids
 leaves a block once, with its count; corpus-wide counts come back to each block the same way.
 """
 
@@ -20,60 +20,34 @@ from pyspark.sql import functions as F
 
 from cleanlake.llm.bpe import SpeculativeEncoder
 from cleanlake.llm.shared import forget, per_worker, slices, table, written
-from cleanlake.llm.tokens import _Memo
 
 #: Characters of a block, that is, of texts whose windows and pairs are numbered together.
 PART = 2_000_000
-#: Entries of the memo of windows, and the most bytes of ids of a window that is kept in it.
-MEMO, WINDOW = 400_000, 400
 SPACE = "▁"
 
 _NUMBERS = "n_a long, n_b long, n_groups long, n_links long"
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[int, str, list[int]]:
-    """Groups of a window, their ids as text, and its links as a << 32 | b.
-
-    ``a_size`` and ``b_size`` give the bytes of each id; both sides have as many in all.
-    """
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    ahead = 0  # bytes by which the end of the token of b lies beyond that of a
-    if a:
-        ahead = b_size[b[0]] - a_size[a[0]]
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        if ahead > 0:
-            i += 1
-            ahead -= a_size[a[i]]
-        elif ahead < 0:
-            j += 1
-            ahead += b_size[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            own = ",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j]))
-            groups.append(own)
-            first_a, first_b = i, j
-            if i < len(a):
-                ahead = b_size[b[j]] - a_size[a[i]]
-    return len(groups), ";".join(groups), links
-
-
 class Aligner:
     """Both tokenizers and what is known of windows."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = MEMO):
+    def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
 
         self._a = SpeculativeEncoder(path_a, special=False)
         self._b = SentencePieceProcessor(model_file=path_b)
         self.a_bytes = self._a.merges.bytes
         self.b_bytes = [self._bytes_of(i) for i in range(self._b.get_piece_size())]
-        self._a_size, self._b_size = ([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
+        self._a_sizes, self._b_sizes = (
+            np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)
+        )
         self._a_spaced, self._b_spaced = (
             np.array([x.startswith(b" ") for x in side]) for side in (self.a_bytes, self.b_bytes)
         )
-        self._windows = _Memo(most)
+        # How ids are shown within a group and at the end of its side.
+        self._shown_b = 2 * len(self.a_bytes)
+        self._shown = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
+        self._shown += [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
 
     def _bytes_of(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
@@ -101,7 +75,7 @@ class Aligner:
     def _cut(self, a: np.ndarray, b: np.ndarray, text_ends: np.ndarray):
         """Bounds of the windows of texts laid end to end, among tokens of a and b; and how many
         windows end before each text's end."""
-        a_end, b_end = np.cumsum(np.take(self._a_size, a)), np.cumsum(np.take(self._b_size, b))
+        a_end, b_end = np.cumsum(self._a_sizes[a]), np.cumsum(self._b_sizes[b])
         a_start, b_start = (np.concatenate([[0], end[:-1]]) for end in (a_end, b_end))
         anchors = np.intersect1d(
             a_start[self._a_spaced[a]], b_start[self._b_spaced[b]], assume_unique=True
@@ -113,22 +87,33 @@ class Aligner:
             np.searchsorted(anchors, text_ends),
         )
 
-    def _aligned(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[int, str, bytes]]:
-        """The alignment of each of the distinct windows; links as 64-bit numbers."""
-        self._windows.make_room()
-        young, old, out = self._windows.young, self._windows.old, []
-        for key in keys:
-            found = young.get(key)
-            if found is None:
-                found = old.get(key)
-                if found is None:
-                    a, b = (np.frombuffer(x, "<u4").tolist() for x in key)
-                    n, groups, links = align(a, b, self._a_size, self._b_size)
-                    found = (n, groups, np.array(links, "<i8").tobytes())
-                if len(key[0]) + len(key[1]) <= WINDOW:
-                    young[key] = found
-            out.append(found)
-        return out
+    def align(
+        self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Groups and links of each window, its groups as text, and the links of all as a << 32 | b.
+
+        Windows lie end to end in ``a`` and ``b`` and have ``n_a`` and ``n_b`` tokens; both sides of a
+        window have the same bytes.
+        """
+        a_end, b_end = np.cumsum(self._a_sizes[a]), np.cumsum(self._b_sizes[b])
+        a_start, b_start = (np.concatenate([[0], end[:-1]]) for end in (a_end, b_end))
+        first = np.searchsorted(b_end, a_start, "right")
+        each = np.searchsorted(b_start, a_end, "left") - first
+        other = np.arange(each.sum()) + np.repeat(first - np.cumsum(each) + each, each)
+        links = np.repeat(a, each).astype(np.int64) << 32 | b[other]
+        window = np.repeat(np.arange(len(n_a)), n_a)
+        n_links = np.bincount(window, weights=each, minlength=len(n_a)).astype(np.int64)
+        # The last token of a group ends where one of the other side does.
+        cut_a = b_end[np.searchsorted(b_end, a_end)] == a_end
+        cut_b = a_end[np.searchsorted(a_end, b_end)] == b_end
+        n_groups = np.bincount(window, weights=cut_a, minlength=len(n_a)).astype(np.int64)
+        group_a, group_b = (np.cumsum(cut) - cut for cut in (cut_a, cut_b))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        shown = np.concatenate([2 * a.astype(np.int64) + cut_a, self._shown_b + 2 * b.astype(np.int64) + cut_b])
+        parts = list(map(self._shown.__getitem__, shown[order].tolist()))
+        ends = np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
+        return n_groups, n_links, groups, links
 
     def block(self, texts: list[str | None]) -> dict:
         """Numbers of each text, distinct windows as lists of numbers of distinct pairs, and the pairs
@@ -142,7 +127,7 @@ class Aligner:
         windows: list[int] = []
         if held:
             a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            sizes = [int(np.take(self._a_size, x[0]).sum()) for x in held]
+            sizes = [int(self._a_sizes[x[0]].sum()) for x in held]
             at_a, at_b, upto = self._cut(a, b, np.cumsum(sizes))
             counts[np.flatnonzero(has)] = np.diff(upto, prepend=0)
             a_data, b_data = a.tobytes(), b.tobytes()
@@ -152,10 +137,11 @@ class Aligner:
                 number((a_data[p:q], b_data[r:s]), len(numbers))
                 for p, q, r, s in zip(at_a, at_a[1:], at_b, at_b[1:])
             ]
-        known = self._aligned(list(numbers))
-        groups = [k[1] for k in known]
-        lengths = np.array([len(k[2]) // 8 for k in known], np.int64)
-        pieces = np.array([k[0] for k in known], np.int64)
+        sides = [[k[side] for k in numbers] for side in (0, 1)]
+        sizes = [np.array([len(x) // 4 for x in side], np.int64) for side in sides]
+        ids = [np.frombuffer(b"".join(side), "<u4") for side in sides]
+        none = np.empty(0, np.int64)
+        pieces, lengths, groups, links = self.align(*ids, *sizes) if numbers else (none, none, [], none)
         order = np.array(windows, np.int64)
         n_groups, n_links, digests = [], [], []
         ends = np.cumsum(counts).tolist()
@@ -163,11 +149,10 @@ class Aligner:
             own = windows[ends[k] - int(counts[k]) : ends[k]]
             n_groups.append(int(pieces[own].sum()) if own else 0)
             n_links.append(int(lengths[own].sum()) if own else 0)
-            text = ";".join([groups[i] for i in own])
+            text = "".join([groups[i] for i in own])[:-1]
             digests.append(hashlib.sha256(text.encode()).hexdigest() if there else "")
-        links = np.frombuffer(b"".join([k[2] for k in known]), "<i8")
         pairs, place = np.unique(links, return_inverse=True)
-        often = np.repeat(np.bincount(order, minlength=len(known)), lengths)
+        often = np.repeat(np.bincount(order, minlength=len(numbers)), lengths)
         times = np.bincount(place, weights=often, minlength=len(pairs)).astype(np.int64)
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests,

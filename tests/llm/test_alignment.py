@@ -129,7 +129,7 @@ def test_very_long_text_and_ties(spark, docs, plain):
 
 
 def test_windows_need_anchors_in_both(plain):
-    aligner = alignment.Aligner(A, B, most=4)
+    aligner = alignment.Aligner(A, B)
     text = "the  cat\n sat on-the  mat"
     a, b = aligner.tokens([text])[0]
     at_a, at_b, upto = aligner._cut(a, b, np.array([len(text) + 1]))
