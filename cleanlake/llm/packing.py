@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import per_worker, slices, table, written
+from cleanlake.llm.shared import forget, per_worker, slices, table, written
 from cleanlake.llm.tokens import ChunkEncoder
 
 #: Pieces that one task packs together; a group of this size wastes about one sequence.
@@ -213,6 +213,7 @@ def pack(
     schema = schema.format(id_type, "sequence_id long, offset long")
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
+        forget()
         g = int(rows["_group"].iloc[0])
         rows = rows.sort_values(["doc_id", "piece", "row"]).reset_index(drop=True)
         at = pack_lengths(rows["length"].tolist(), size)
