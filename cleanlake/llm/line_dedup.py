@@ -82,7 +82,7 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_docs: int = 10,
-    batches: int = 4,
+    batches: int = 16,
 ) -> DataFrame:
     """``docs`` with the lines dropped whose key occurs in at least ``min_docs`` documents.
 
@@ -93,6 +93,10 @@ def dedup_lines(
     blanks at both ends and with A to Z in lower case; empty keys are never dropped. Rows with
     the same id are one document when documents are counted, and each row is kept. Rows with a
     null id are one document. An empty table gives an empty table.
+
+    Documents are dealt into ``batches`` by their id. Each batch reads the line hashes once more, so their
+    number is fixed; with four times the fan-in most batches meet a run of frequent keys, and
+    runs are merged on two levels.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
