@@ -28,7 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanlake.llm.shared import forget, fresh_folder, mixed, slices, table, written
+from cleanlake.llm.shared import (
+    forget,
+    fresh_folder,
+    key_filter,
+    mixed,
+    passing,
+    slices,
+    table,
+    written,
+)
 
 SHINGLE, SIMILAR = 5, 80
 #: Ratio of a band's bounds; parts for each shingle of a band's largest set; members of a bucket
@@ -36,9 +45,6 @@ SHINGLE, SIMILAR = 5, 80
 BAND, PARTS, LARGE = 1.6, 0.30, 32
 #: Characters whose shingles are worked out together; some 50 bytes of memory each.
 PART = 1_000_000
-#: Documents of which a list (of 16 bytes each) is sent to all executors rather than that all texts
-#: are shuffled to find them.
-FEW = 1_000_000
 #: Sets in a block of those that are compared one by one.
 BLOCK = 256
 
@@ -237,12 +243,18 @@ _ROWS = "sig long, c long, n int"
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets as bytes, and the same cut to 16 bits a shingle."""
+    seen: set[int] = set()  # classes this task has had: copies add nothing
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for i, j in slices(texts, PART):
-            sets = [s for s in shingle_sets(texts[i:j]) if len(s)]
+            sets, classes = [], []
+            for own in shingle_sets(texts[i:j]):
+                if len(own) and (c := class_of(own)) not in seen:
+                    seen.add(c)
+                    sets.append(own)
+                    classes.append(c)
             columns = [
-                pa.array([class_of(s) for s in sets], pa.int64()),
+                pa.array(classes, pa.int64()),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([s.astype(np.uint16).tobytes() for s in sets], pa.binary()),
             ]
@@ -325,13 +337,8 @@ def _near_in_size(n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {SIMILAR} * greatest({n}, {m})"
 
 
-def _short(frame: DataFrame) -> DataFrame:
-    """A written table of few short rows is sent to all executors, a longer one is left to Spark."""
-    return F.broadcast(frame) if frame.count() <= FEW else frame
-
-
 def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(_short(groups), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    return rows.join(groups, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
 
 def _undecided(rows: DataFrame, by: str) -> DataFrame:
@@ -345,7 +352,7 @@ def _search(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, comp) of all classes that similar pairs connect with others."""
     same = Window.partitionBy("sig")
     weight = written(members.groupBy("c").agg(F.sum("size").alias("weight")), "weights")
-    led = members.join(_short(weight), "c")
+    led = members.join(weight, "c")
     led = led.withColumn("lead", F.max(F.struct("weight", "c", "n")).over(same))
     star = led.where("c <> lead.c").where(_near_in_size("n", "lead.n"))
     star = written(star.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "star")
@@ -523,11 +530,9 @@ def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = docs.select("text").mapInArrow(_signature_rows, _ROWS)
     members = _shared_by_two(members, "members")
     involved = rows.join(members.select("c").distinct(), "c", "left_semi")
-    one = involved.groupBy("c").agg(F.min(F.struct("doc_id", "code")).alias("one"))
-    one = written(one.select(F.col("one.doc_id").alias("d"), F.col("one.code").alias("k")), "one-each")
-    one = _short(one)
-    same = docs["doc_id"].eqNullSafe(one["d"]) & (docs["code"] == one["k"])
-    texts = docs.join(one, same, "left_semi").select("text")
+    codes = involved.groupBy("c").agg(F.min("code").alias("code"))
+    # Texts are read where they lie. Others that pass the filter have no pairs and are not looked at.
+    texts = passing(docs, F.col("code"), key_filter(codes, "code")).select("text")
     sets = texts.mapInArrow(_sets, "c long, own binary, brief binary")
     with _bucketed(sets) as sets:
         groups = _search(members, sets)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -85,8 +87,39 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Drop what ``per_worker`` keeps. Tasks that need memory for other things begin with it."""
+    """Drop what ``per_worker`` keeps and give free memory back to the system. Tasks that need memory
+    for other things begin with it: workers outlive stages, and what one of them has once taken
+    would stay taken."""
     per_worker("nothing", lambda: None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Bits of a filter of keys, 16 MB in all, and of one row of it; the engine's bitmap functions fix the latter.
+FILTER_BITS, ROW_BITS = 1 << 27, 32_768
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bit for each key (a 64-bit hash): at most 4,096 rows of 4 KB, however many keys there are."""
+    place = F.pmod(column, F.lit(FILTER_BITS))
+    rows = keys.select(place.alias("_at")).selectExpr(f"_at div {ROW_BITS} as _row", f"_at % {ROW_BITS} as _bit")
+    # Dealt by row first, so that tasks do not each send a filter of their own.
+    rows = rows.repartition("_row").groupBy("_row")
+    return written(rows.agg(F.bitmap_construct_agg("_bit").alias("_bits")), "key-filter")
+
+
+def passing(rows: DataFrame, code: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose ``code`` is among the keys of the filter, and few others: as many as one in
+    the number of bits for each key. Beyond tens of millions of keys it lets more and more through,
+    so what follows must not rely on it. The filter goes to all executors; its size is fixed."""
+    placed = rows.withColumn("_at", F.pmod(code, F.lit(FILTER_BITS)))
+    placed = placed.withColumn("_row", F.expr(f"_at div {ROW_BITS}"))
+    found = placed.join(F.broadcast(keys), "_row")
+    byte = f"cast(conv(hex(substring(_bits, cast((_at % {ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.where(f"shiftright({byte}, cast(_at % 8 as int)) & 1 = 1").select(*rows.columns)
 
 
 def hash_code(*columns: str) -> Column:
