@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.llm import decontamination, jaccard_join, language, line_dedup, packing
-from cleanlake.llm.shared import fresh_folder, table, written
+from cleanlake.llm.shared import BLANK_CHARS, fresh_folder, table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines found in at least ten documents, and documents of which no line is left."""
     out = line_dedup.dedup_lines(docs, min_docs=10)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    out = out.where((F.col("n_dropped") == 0) | (F.trim("text", F.lit(BLANK_CHARS)) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
