@@ -486,6 +486,18 @@ def _cleanup_unlinks() -> str:
 # --- all of them ----------------------------------------------------------------------
 
 
+UPSERTED = """
+            select r.id, r.path, case when g.path is null then r.mime else 'application/octet-stream' end as mime,
+                   coalesce(g.length, r.size) as size,
+                   case when g.path is null then 'untouched' else 'updated' end as change
+            from registry r left join ghosts g on g.path = r.path
+            union all
+            select (select max(id) from registry)
+                   + row_number() over (order by substr(md5(path), 1, 3), path) as id,
+                   path, 'application/octet-stream' as mime, length as size, 'inserted' as change
+            from ghosts g where not exists (select 1 from registry r where r.path = g.path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     backup_all = "first_backup is not null"
     found_by_size = f"select path, 'text/plain' as mime, length as size from ({GHOSTS})"
@@ -615,21 +627,9 @@ def oracle_sql() -> dict[str, str]:
             query=f"""select count(*) as n_files, cast(coalesce(sum(length), 0) as bigint) as n_bytes,
             round(coalesce(sum(length), 0) / {1024.0**3}, 3) as n_gib from ({GHOSTS})""",
         ),
-        "upsert_registry": with_views(
-            "disk",
-            "files",
-            "registry",
-            ghosts=GHOSTS,
-            query="""
-            select r.id, r.path, case when g.path is null then r.mime else 'application/octet-stream' end as mime,
-                   coalesce(g.length, r.size) as size,
-                   case when g.path is null then 'untouched' else 'updated' end as change
-            from registry r left join ghosts g on g.path = r.path
-            union all
-            select (select max(id) from registry)
-                   + row_number() over (order by substr(md5(path), 1, 3), path) as id,
-                   path, 'application/octet-stream' as mime, length as size, 'inserted' as change
-            from ghosts g where not exists (select 1 from registry r where r.path = g.path)""",
+        "upsert_registry": with_views("disk", "files", "registry", ghosts=GHOSTS, query=UPSERTED),
+        "registry_in_buckets": with_views(
+            "disk", "files", "registry", ghosts=GHOSTS, query=f"select id, path, mime, size from ({UPSERTED})"
         ),
         "registry_presence": with_views(
             "registry",

@@ -17,6 +17,7 @@ from cleanlake.functions.mime import sniff_text
 from cleanlake.functions.predicates import is_backup_name, older_than
 from cleanlake.operators import (
     aged_files,
+    bucketed_registry,
     checkout,
     fixpoint,
     ghosts,
@@ -172,7 +173,17 @@ def scan_ghosts(v: Views) -> DataFrame:
 
 def upsert_registry(v: Views) -> DataFrame:
     found = scan_ghosts(v).withColumn("mime", F.lit("application/octet-stream"))
-    return ghosts.upsert_registry(v.registry, ghosts.registry_rows(found))
+    return ghosts.upsert_registry(v.registry, ghosts.registry_rows(found), Staging(v.spark).keep)
+
+
+def registry_in_buckets(v: Views) -> DataFrame:
+    """The registry after a scan that wrote only the buckets that changed."""
+    staging = Staging(v.spark)
+    stored = bucketed_registry.BucketedRegistry(v.spark, f"{staging.folder}/registry", 64)
+    stored.create(v.registry)
+    found = scan_ghosts(v).withColumn("mime", F.lit("application/octet-stream"))
+    stored.upsert(ghosts.registry_rows(found), staging)
+    return stored.read()
 
 
 def sniff_mime(v: Views) -> DataFrame:
@@ -426,6 +437,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "scan_ghosts": scan_ghosts,
     "ghost_scan_bytes": lambda v: ghosts.ghost_bytes(scan_ghosts(v)),
     "upsert_registry": upsert_registry,
+    "registry_in_buckets": registry_in_buckets,
     "registry_presence": lambda v: ghosts.registry_presence(v.registry, v.disk),
     "requeued_task_table": lambda v: requeued_tasks(v.task, v.course_modules, 2, POLICY),
     "ghosts_still_unlinked": lambda v: ghosts.still_unlinked(v.registry, v.files),
