@@ -196,12 +196,14 @@ def cascade_rows(
     """Rows of ``table`` the rule dooms.
 
     Keys of the modules are reduced to distinct ones first. ``keep`` may write them; their size is
-    known then, and where they are too many to broadcast a hot key of the table is split.
+    known then, and where they are too many to broadcast a hot key of the table is split. Rules that
+    refer to the same columns of a module ask for the same keys, under the same label.
     """
     for column, value in rule.where.items():
         table = table.where(F.col(column) == F.lit(value))
-    keys = doomed.select(*[F.col(m).alias(c) for c, m in rule.keys.items()]).dropna()
-    keys = keep(keys.distinct(), f"keys-{rule.label}")
+    columns = sorted(set(rule.keys.values()))
+    keys = keep(doomed.select(*columns).dropna().distinct(), "keys-" + "-".join(columns))
+    keys = keys.select(*[F.col(m).alias(c) for c, m in rule.keys.items()])
     return table.join(keys, list(rule.keys), "left_semi").select(*table.columns)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.formats import full_name, mib, minute
 from cleanlake.functions.predicates import all_of, file_conditions, is_previewable
+from cleanlake.operators.orphans import unwritten
 from cleanlake.policy import FileFilter, RetentionPolicy
 
 PAGE_SIZE = 50
@@ -46,6 +49,7 @@ def find_files(
     limit: int | None = PAGE_SIZE,
     offset: int = 0,
     after_hash: str | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = unwritten,
 ) -> DataFrame:
     """One record per content among the matching records, with its user, by content hash.
 
@@ -53,8 +57,8 @@ def find_files(
     carries nothing but that id; the other columns are read for the page only. ``after_hash``
     continues behind a known hash, which stays cheap on deep pages; ``offset`` brings all rows
     before the page to one task, so it is for the first pages only. ``limit=None`` returns every
-    content. The rows of a page are persisted, as they are looked at twice: for the page and to
-    cut the users down to its own.
+    content. The rows of a page are looked at twice: for the page and to cut the users down to its
+    own. ``keep`` may write them.
     """
     found = matching_files(files, users, flt)
     if after_hash is not None:
@@ -65,7 +69,7 @@ def find_files(
     rows = files.join(page.select("id"), "id", "left_semi")
     people = _user_columns(users)
     if limit is not None:
-        rows = rows.persist()
+        rows = keep(rows, "page")
         wanted = rows.where(F.col("userid").isNotNull()).select("userid").distinct()
         people = people.join(wanted, "userid", "left_semi")
     return rows.join(people, "userid", "left").select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.operators import checkout, ghosts, modules, orphans, removal
 from cleanlake.operators.vectors import delete_rows, deletion_vectors, read_files
-from cleanlake.plans.rules import CleanupStep, Run
+from cleanlake.plans.rules import CleanupStep, Run, in_order
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import RetentionPolicy
 from cleanlake.sources.inventory import with_content_key
@@ -87,7 +87,7 @@ class ModulesStep:
                 run.skip(self.name, rule.table, rule.label)
                 continue
             rows = modules.cascade_rows(
-                doomed, run.tables[rule.table], rule, run.staging.keep
+                doomed, run.tables[rule.table], rule, run.staging.once
             )
             run.doom(
                 self.name,
@@ -102,6 +102,7 @@ class GradesStep:
     """Seven rules on grade data, in this order."""
 
     name = "grades"
+    after = ("course_modules",)
 
     def plan(self, run: Run) -> None:
         course, items = run.tables["course"], run.tables["grade_items"]
@@ -150,6 +151,7 @@ class LogsStep:
     """Log rows without a context or past their lifetime, in every log store there is."""
 
     name = "logs"
+    after = ("course_modules",)
     stores = ("logstore_standard_log", "logstore_lanalytics_log")
 
     def plan(self, run: Run) -> None:
@@ -168,6 +170,7 @@ class ComponentFilesStep:
     """Files of chosen components past their lifetime."""
 
     name = "component_files"
+    after = ("course_modules",)
 
     def plan(self, run: Run) -> None:
         files = run.tables["files"]
@@ -188,6 +191,7 @@ class GhostsStep:
     """
 
     name = "ghost_files"
+    after = ("course_modules", "component_files")
 
     def plan(self, run: Run) -> None:
         if not run.has("ghost_registry"):
@@ -298,11 +302,15 @@ def plan_cleanup(
     staging: Staging | None = None,
     **options,
 ) -> CleanupPlan:
-    """Plan a clean-up without changing anything. ``options`` are those of ``Run``."""
+    """Plan a clean-up without changing anything. ``options`` are those of ``Run``.
+
+    A step begins when the steps it names in ``after`` are through; steps that do not wait for each other
+    run side by side. One that names none waits for all before it. With a ``ResumableStaging``
+    the same plan, made again after it was broken off, goes on behind the last table that was written.
+    """
     own = staging or Staging(spark)
     run = Run(tables, inventory, policy, as_of, own, **options)
-    for step in default_steps(policy) if steps is None else steps:
-        step.plan(run)
+    in_order(list(default_steps(policy) if steps is None else steps), run)
     unlinks = run.unlinked_paths()
     if unlinks is None:
         unlinks = spark.createDataFrame([], UNLINK_SCHEMA)

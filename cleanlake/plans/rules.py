@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Event
 from typing import Protocol
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +94,49 @@ class Run:
 
 
 class CleanupStep(Protocol):
-    """One step of a clean-up: looks at the run and dooms rows in it."""
+    """One step of a clean-up: looks at the run and dooms rows in it.
+
+    A step may have ``after``: the names of the steps whose doomed rows it must see. It then dooms rows of
+    no table that another step beside it looks at.
+    """
 
     name: str
 
     def plan(self, run: Run) -> None: ...
 
 
+def in_order(steps: Sequence[CleanupStep], run: Run) -> None:
+    """Plan the steps, side by side where ``after`` allows. Jobs of a step come from its own thread."""
+    spark = run.staging.spark
+    through = [Event() for _ in steps]
+    failed: list[BaseException] = []
+
+    def waits_for(number: int) -> list[int]:
+        after = getattr(steps[number], "after", None)
+        return [k for k in range(number) if after is None or steps[k].name in after]
+
+    def work(number: int) -> None:
+        try:
+            for k in waits_for(number):
+                through[k].wait()
+            if not failed:
+                steps[number].plan(run)
+        except BaseException as problem:
+            failed.append(problem)
+        finally:
+            through[number].set()
+
+    threads = [InheritableThread(target=work, args=(k,), session=spark) for k in range(len(steps))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failed:
+        raise failed[0]
+    order = {step.name: k for k, step in reversed(list(enumerate(steps)))}
+    run.catalog.sort(key=lambda entry: order.get(entry[0], len(order)))
+
+
 @dataclass(frozen=True)
 class Rule:
     """The simplest step: doom the rows of one table that ``select`` returns."""

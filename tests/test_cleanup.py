@@ -6,13 +6,16 @@ import pytest
 from cleanlake.operators import checkout
 from cleanlake.plans.cleanup import (
     CheckoutStep,
+    GhostsStep,
+    GradesStep,
     LogsStep,
     apply_cleanup,
     cleanup_report,
+    default_steps,
     plan_cleanup,
 )
-from cleanlake.plans.rules import Rule
-from cleanlake.plans.staging import Staging
+from cleanlake.plans.rules import Rule, in_order
+from cleanlake.plans.staging import ResumableStaging, Staging
 from cleanlake.policy import DAY, MODULE_DELETE_TASK, RetentionPolicy
 
 AS_OF = 2_000 * DAY
@@ -312,3 +315,66 @@ def test_actions_are_all_reported():
     assert set(CheckoutStep.actions) == {
         checkout.MISSING, checkout.GONE, checkout.BACKUP, checkout.DRAFT,
     }
+
+
+class Stop:
+    """Breaks the plan off."""
+
+    name = "stop"
+
+    def plan(self, run):
+        raise KeyboardInterrupt("the driver is gone")
+
+
+def test_a_plan_that_was_broken_off_goes_on(spark, data, inventory, tmp_path):
+    """Stopped behind each step in turn, then made again: the same report, and nothing done twice."""
+    rows = lambda plan: [tuple(r) for r in cleanup_report(spark, plan).orderBy("seq").collect()]
+    want = rows(plan_cleanup(spark, data, inventory, POLICY, AS_OF))
+    job = {"as_of": str(AS_OF), "policy": repr(POLICY)}
+    steps = default_steps(POLICY)
+    done = set()
+    for at in range(1, len(steps) + 1):
+        staging = ResumableStaging(spark, str(tmp_path), "nightly", job)
+        with pytest.raises(KeyboardInterrupt):
+            plan_cleanup(spark, data, inventory, POLICY, AS_OF, [*steps[:at], Stop()], staging)
+        assert staging.made and not done & set(staging.made)
+        done |= set(staging.made)
+    staging = ResumableStaging(spark, str(tmp_path), "nightly", job)
+    plan = plan_cleanup(spark, data, inventory, POLICY, AS_OF, staging=staging)
+    assert staging.made == [] and rows(plan) == want
+    # A table that was not finished is made again.
+    broken = sorted(done)[0]
+    os.remove(f"{staging.folder}/{broken}/_SUCCESS")
+    staging = ResumableStaging(spark, str(tmp_path), "nightly", job)
+    assert rows(plan_cleanup(spark, data, inventory, POLICY, AS_OF, staging=staging)) == want
+    assert staging.made == [broken]
+    with pytest.raises(ValueError):
+        ResumableStaging(spark, str(tmp_path), "nightly", job | {"as_of": "0"})
+    staging.close()
+    assert not os.path.exists(staging.folder)
+
+
+def test_steps_that_do_not_wait_run_side_by_side():
+    """Each of two steps ends only when the other has begun; a third one waits for both."""
+    from threading import Barrier
+    from types import SimpleNamespace
+
+    both, seen = Barrier(2, timeout=20), []
+
+    def step(name, after, work):
+        own = SimpleNamespace(name=name, plan=lambda run: (work(), run.catalog.append((name, "", "", ""))))
+        if after is not None:
+            own.after = after
+        return own
+
+    steps = [
+        step("first", None, lambda: seen.append("first")),
+        step("left", ("first",), both.wait),
+        step("right", ("first",), both.wait),
+        step("last", None, lambda: seen.append("last")),
+    ]
+    run = SimpleNamespace(catalog=[], staging=SimpleNamespace(spark=None))
+    in_order(steps, run)
+    assert [name for name, *_ in run.catalog] == ["first", "left", "right", "last"]
+    assert seen == ["first", "last"]
+    assert set(GradesStep.after) == set(LogsStep.after) < set(GhostsStep.after)
