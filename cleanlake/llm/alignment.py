@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,57 +20,104 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.llm.bpe import SpeculativeEncoder
-from cleanlake.llm.shared import forget, per_worker, slices, table, written
+from cleanlake.llm.shared import forget, mixed, per_worker, slices, table, written
+from cleanlake.llm.tokens import _Memo
 
 #: Characters of a block, that is, of texts whose windows and pairs are numbered together.
 PART = 2_000_000
+#: Entries of the memo of words that each of the two encoders has.
+MEMO = 400_000
 SPACE = "▁"
 
 _NUMBERS = "n_a long, n_b long, n_groups long, n_links long"
 
 
+def _spells(table: np.ndarray, sizes: np.ndarray, ids: list[np.ndarray], whole: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each list of ids are the given ones. ``table``: the bytes of all ids, end to
+    end, and ``sizes`` how many each has."""
+    out = np.array([int(sizes[own].sum()) == len(text) for own, text in zip(ids, whole)], bool)
+    take = np.flatnonzero(out)
+    if len(take):
+        joined = np.concatenate([ids[k] for k in take])
+        data = np.frombuffer(b"".join([whole[k] for k in take]), np.uint8)
+        n = sizes[joined]
+        begin = (np.cumsum(sizes) - sizes)[joined] - (np.cumsum(n) - n)
+        differ = table[np.arange(len(data)) + np.repeat(begin, n)] != data
+        ends = np.cumsum([len(whole[k]) for k in take])
+        upto = np.concatenate([[0], np.cumsum(differ)])
+        out[take] = np.diff(upto[ends], prepend=0) == 0
+    return out
+
+
+class PieceEncoder:
+    """Ids of whole texts by a sentencepiece model that adds a space in front.
+
+    No piece of the model goes on behind a space that it does not begin with (which is checked), so a text
+    with single spaces has the ids of its words in order. Words repeat, so most are looked up.
+    """
+
+    def __init__(self, path: str, most: int = MEMO):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("pieces with a space inside are not supported")
+        self._words = _Memo(most)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        split = [
+            None if not t or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t else t.split(" ") for t in texts
+        ]
+        words: set[str] = set()
+        for own in split:
+            if own:
+                words.update(own)
+        new = self._words.missing(words)
+        known = self._words.young
+        known.update(zip(new, self._whole(new)))
+        whole = iter(self._whole([t for t, own in zip(texts, split) if own is None]))
+        get = known.__getitem__
+        return [next(whole) if own is None else b"".join(map(get, own)) for own in split]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        return [pack(f"<{len(ids)}I", *ids) for ids in found]
+
+
 class Aligner:
     """Both tokenizers and what is known of windows."""
 
     def __init__(self, path_a: str, path_b: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self._a = SpeculativeEncoder(path_a, special=False)
-        self._b = SentencePieceProcessor(model_file=path_b)
-        self.a_bytes = self._a.merges.bytes
-        self.b_bytes = [self._bytes_of(i) for i in range(self._b.get_piece_size())]
-        self._a_sizes, self._b_sizes = (
-            np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)
-        )
-        self._a_spaced, self._b_spaced = (
-            np.array([x.startswith(b" ") for x in side]) for side in (self.a_bytes, self.b_bytes)
-        )
+        self._a, self._b = SpeculativeEncoder(path_a, special=False, most=MEMO), PieceEncoder(path_b)
+        sides = (self._a.merges.bytes, [self._bytes_of(i) for i in range(self._b.model.get_piece_size())])
+        self._a_sizes, self._b_sizes = (np.array([len(x) for x in side], np.int64) for side in sides)
+        self._a_spaced, self._b_spaced = (np.array([x.startswith(b" ") for x in side]) for side in sides)
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(side), np.uint8) for side in sides)
         # How ids are shown within a group and at the end of its side.
-        self._shown_b = 2 * len(self.a_bytes)
-        self._shown = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
-        self._shown += [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
+        self._shown_b = 2 * len(sides[0])
+        self._shown = [f"{i}{end}" for i in range(len(sides[0])) for end in ",|"]
+        self._shown += [f"{i}{end}" for i in range(len(sides[1])) for end in ",;"]
 
     def _bytes_of(self, i: int) -> bytes:
-        piece = self._b.id_to_piece(i)
-        if self._b.is_byte(i):
+        piece = self._b.model.id_to_piece(i)
+        if self._b.model.is_byte(i):
             return bytes([int(piece[1:-1], 16)])
         return piece.replace(SPACE, " ").encode()
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of each text by both; None where there is no text or the bytes differ from it."""
         spaced = [" " + t if t else None for t in texts]
-        of_a = self._a.encode(spaced)
-        of_b = iter(self._b.encode([t for t in texts if t], num_threads=1))
-        out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for text, data in zip(spaced, of_a):
-            if text is None:
-                out.append(None)
-                continue
-            a, b = np.frombuffer(data, "<u4"), next(of_b)
-            whole = text.encode()
-            same = b"".join(map(a_bytes, a.tolist())) == whole == b"".join(map(b_bytes, b))
-            out.append((a, np.array(b, "<u4")) if same else None)
+        there = [k for k, t in enumerate(texts) if t]
+        of_a = [np.frombuffer(x, "<u4") for x, t in zip(self._a.encode(spaced), texts) if t]
+        of_b = [np.frombuffer(x, "<u4") for x in self._b.encode([texts[k] for k in there])]
+        whole = [spaced[k].encode() for k in there]
+        same = _spells(self.a_bytes, self._a_sizes, of_a, whole) & _spells(self.b_bytes, self._b_sizes, of_b, whole)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        for k, a, b, fine in zip(there, of_a, of_b, same.tolist()):
+            if fine:
+                out[k] = (a, b)
         return out
 
     def _cut(self, a: np.ndarray, b: np.ndarray, text_ends: np.ndarray):
@@ -83,7 +131,7 @@ class Aligner:
         # A text's beginning is an anchor by itself: both sides begin with a space there.
         anchors = np.append(anchors, a_end[-1])
         return (
-            np.searchsorted(a_start, anchors).tolist(), np.searchsorted(b_start, anchors).tolist(),
+            np.searchsorted(a_start, anchors), np.searchsorted(b_start, anchors),
             np.searchsorted(anchors, text_ends),
         )
 
@@ -115,6 +163,38 @@ class Aligner:
         groups = ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
         return n_groups, n_links, groups, links
 
+    def distinct(
+        self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the number of its tuple of ids, and for each number a window that has it.
+
+        Windows are told apart by 64-bit hashes, and each is then compared with the one that stands for
+        its number; should two tuples ever share a hash, the tuples themselves are looked up.
+        """
+        n_a, n_b = np.diff(at_a), np.diff(at_b)
+        code = np.zeros(len(n_a), np.uint64)
+        sides = ((a, at_a, n_a), (b, at_b, n_b))
+        for salt, (ids, at, n) in enumerate(sides):
+            place = np.arange(len(ids)) - np.repeat(at[:-1], n)
+            code += np.add.reduceat(mixed((2 * place + salt).astype(np.uint64) << np.uint64(32) | ids), at[:-1])
+        _, first, number = np.unique(code, return_index=True, return_inverse=True)
+        for ids, at, n in sides:
+            same = first[number]
+            if not np.array_equal(n, n[same]):
+                break
+            place = np.arange(len(ids)) - np.repeat(at[:-1], n)
+            if not np.array_equal(ids, ids[np.repeat(at[same], n) + place]):
+                break
+        else:
+            return number, first
+        known: dict[tuple[bytes, bytes], int] = {}
+        keys = [
+            (a[p:q].tobytes(), b[r:s].tobytes())
+            for p, q, r, s in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:])
+        ]
+        number = np.array([known.setdefault(k, len(known)) for k in keys])
+        return number, np.unique(number, return_index=True)[1]
+
     def block(self, texts: list[str | None]) -> dict:
         """Numbers of each text, distinct windows as lists of numbers of distinct pairs, and the pairs
         with their counts."""
@@ -123,40 +203,38 @@ class Aligner:
         held = [x for x in both if x is not None]
         n_a, n_b = (np.array([len(x[k]) if x else 0 for x in both], np.int64) for k in (0, 1))
         counts = np.zeros(len(texts), np.int64)
-        numbers: dict[tuple[bytes, bytes], int] = {}
-        windows: list[int] = []
+        number = pieces = lengths = links = np.empty(0, np.int64)
+        groups: list[str] = []
         if held:
             a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             sizes = [int(self._a_sizes[x[0]].sum()) for x in held]
             at_a, at_b, upto = self._cut(a, b, np.cumsum(sizes))
             counts[np.flatnonzero(has)] = np.diff(upto, prepend=0)
-            a_data, b_data = a.tobytes(), b.tobytes()
-            at_a, at_b = [4 * x for x in at_a], [4 * x for x in at_b]
-            number = numbers.setdefault
-            windows = [
-                number((a_data[p:q], b_data[r:s]), len(numbers))
-                for p, q, r, s in zip(at_a, at_a[1:], at_b, at_b[1:])
-            ]
-        sides = [[k[side] for k in numbers] for side in (0, 1)]
-        sizes = [np.array([len(x) // 4 for x in side], np.int64) for side in sides]
-        ids = [np.frombuffer(b"".join(side), "<u4") for side in sides]
-        none = np.empty(0, np.int64)
-        pieces, lengths, groups, links = self.align(*ids, *sizes) if numbers else (none, none, [], none)
-        order = np.array(windows, np.int64)
-        n_groups, n_links, digests = [], [], []
-        ends = np.cumsum(counts).tolist()
-        for k, there in enumerate(has):
-            own = windows[ends[k] - int(counts[k]) : ends[k]]
-            n_groups.append(int(pieces[own].sum()) if own else 0)
-            n_links.append(int(lengths[own].sum()) if own else 0)
-            text = "".join([groups[i] for i in own])[:-1]
+            number, first = self.distinct(a, b, at_a, at_b)
+            sides = []
+            for ids, at in ((a, at_a), (b, at_b)):
+                n = (at[1:] - at[:-1])[first]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                sides.append((ids[np.repeat(at[first], n) + inside], n))
+            (own_a, of_a), (own_b, of_b) = sides
+            pieces, lengths, groups, links = self.align(own_a, own_b, of_a, of_b)
+        ends = np.cumsum(counts)
+
+        def over_texts(values: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(values[number])])
+            return upto[ends] - upto[ends - counts]
+
+        shown = list(map(groups.__getitem__, number.tolist()))
+        digests = []
+        for there, end, n in zip(has, ends.tolist(), counts.tolist()):
+            text = "".join(shown[end - n : end])[:-1]
             digests.append(hashlib.sha256(text.encode()).hexdigest() if there else "")
         pairs, place = np.unique(links, return_inverse=True)
-        often = np.repeat(np.bincount(order, minlength=len(numbers)), lengths)
+        often = np.repeat(np.bincount(number, minlength=len(groups)), lengths)
         times = np.bincount(place, weights=often, minlength=len(pairs)).astype(np.int64)
         return {
-            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests,
-            "counts": counts, "windows": order.astype("<u4").tobytes(),
+            "n_a": n_a, "n_b": n_b, "n_groups": over_texts(pieces), "n_links": over_texts(lengths),
+            "groups_sha256": digests, "counts": counts, "windows": number.astype("<u4").tobytes(),
             "lengths": lengths.astype("<u4").tobytes(), "links": place.astype("<u4").tobytes(),
             "pairs": pairs.tobytes(), "times": times.tobytes(),
         }

@@ -141,29 +141,33 @@ class Merges:
             a, b = np.where(of_a, self.right[a], a), np.where(of_a, b, self.left[b])
         return out
 
-    def propose(self, words: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
-        """Tokens of each word by longest match, and whether they are its encoding."""
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens by longest match, those of all words end to end; how many each word has; and whether
+        they are its encoding."""
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        limit = np.repeat(ends, [len(w) for w in words])
-        token, after = (x.tolist() for x in self.longest(data, limit))
-        tokens, at = [], 0
-        for end in ends.tolist():
-            own = []
-            while at < end:
-                own.append(token[at])
-                at = after[at]
-            tokens.append(own)
-        counts = np.array([len(t) for t in tokens], np.int64)
-        joined = np.array([i for own in tokens for i in own], np.int64)
-        word = np.repeat(np.arange(len(words)), counts)
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        token, after = self.longest(data, np.repeat(ends, sizes))
+        # All words go on by one token at a time.
+        found, owner, live, at = [], [], np.arange(len(words)), ends - sizes
+        live, at = live[sizes > 0], at[sizes > 0]
+        while len(live):
+            found.append(token[at])
+            owner.append(live)
+            at = after[at]
+            more = at < ends[live]
+            live, at = live[more], at[more]
+        none = np.empty(0, np.int64)
+        joined, word = (np.concatenate(x) if x else none for x in (found, owner))
+        order = np.argsort(word, kind="stable")
+        joined, word = joined[order], word[order]
         inner = np.flatnonzero(word[1:] == word[:-1])
         # Neighbours repeat: each two are checked once.
         pairs, which = np.unique(joined[inner] << 32 | joined[inner + 1], return_inverse=True)
         fine = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         right = np.ones(len(words), bool)
         right[word[inner[~fine[which]]]] = False
-        return tokens, right
+        return joined, np.bincount(word, minlength=len(words)), right
 
 
 class SpeculativeEncoder(ChunkEncoder):
@@ -187,24 +191,30 @@ class SpeculativeEncoder(ChunkEncoder):
         new = self._pieces.missing(words)
         known = self._pieces.young
         if new:
-            tokens, right = self.merges.propose(new)
-            stored = self._stored
-            for word, own, fine in zip(new, tokens, right.tolist()):
-                if not fine:
-                    letters = word.decode("latin-1").translate(self._letters)
-                    own = [t.id for t in self._model.tokenize(letters)]
-                known[word] = b"".join([stored[i] for i in own])
+            tokens, counts, right = self.merges.propose(new)
+            data, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            exact, stored, letters = self._model.tokenize, self._stored, self._letters
+            for word, start, end, fine in zip(new, [0, *ends], ends, right.tolist()):
+                if fine:
+                    known[word] = data[start:end]
+                else:
+                    found = exact(word.decode("latin-1").translate(letters))
+                    known[word] = b"".join([stored[t.id] for t in found])
         return known
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         new = self._chunks.missing(chunks)
         find, cut = self._pattern.findall, []
+        odd = set(filter(_OTHER.search, new)) if _OTHER.search("\n".join(new)) else ()
         for chunk in new:
             word = chunk[1:] if chunk[0] == " " else chunk
-            if _OTHER.search(chunk):
+            if chunk in odd:
                 cut.append(self._words(chunk))
+            # Letters alone are one piece, and a mark behind them is another.
             elif word.isalpha():
                 cut.append([chunk.encode()])
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                cut.append([chunk[:-1].encode(), word[-1].encode()])
             else:
                 cut.append([w.encode() for w in find(chunk)])
         get = self._known({w for words in cut for w in words}).__getitem__

@@ -133,7 +133,7 @@ def test_windows_need_anchors_in_both(plain):
     text = "the  cat\n sat on-the  mat"
     a, b = aligner.tokens([text])[0]
     at_a, at_b, upto = aligner._cut(a, b, np.array([len(text) + 1]))
-    ends = [np.cumsum([len(side[i]) for i in ids]).tolist() for side, ids in ((aligner.a_bytes, a), (aligner.b_bytes, b))]
+    ends = [np.cumsum(sizes[ids]) for sizes, ids in ((aligner._a_sizes, a), (aligner._b_sizes, b))]
     for p, q in zip(at_a[1:], at_b[1:]):
         assert ends[0][p - 1] == ends[1][q - 1]
     assert upto.tolist() == [len(at_a) - 1] and len(at_a) > 4
