@@ -539,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
             "gc", "course", query=_missing("gc", "course", "courseid")
         ),
         "grade_outcomes_deleted_courses": with_views(
-            "gc", "course", query=_missing("gc", "course", "courseid")
+            "grade_outcomes", "course", query=_missing("grade_outcomes", "course", "courseid")
         ),
         "grade_outcomes_sparing_nulls": with_views(
             "gc", "course", query=_missing("gc", "course", "courseid", "t.courseid is not null")
@@ -738,6 +738,51 @@ def oracle_sql() -> dict[str, str]:
                 f"f.filesize > {50 * MIB}", FILE_COLUMNS, "order by contenthash limit 20 offset 20"
             ),
         ),
+        "find_files_page_by_ranges": with_views(
+            "files",
+            "usr",
+            query=_found(
+                f"f.filesize > {50 * MIB}", FILE_COLUMNS, "order by contenthash limit 20 offset 20"
+            ),
+        ),
+        "task_payloads": with_views(
+            "task",
+            parsed="""select id, customdata, case when json_valid(customdata) then customdata::json end as doc
+            from task""",
+            listed="""select id, unnest(list_concat(coalesce(json_extract(doc, '$.cms[*]'), []),
+              coalesce(json_extract(doc, '$.cms.*'), []))) as e from parsed""",
+            query="""
+            select t.id as task_id, try_cast(json_extract_string(e, '$.id') as bigint) as module_id,
+                   case when customdata is null then 'no payload' when doc is null then 'not JSON'
+                        when json_extract(doc, '$.cms') is null then 'no modules'
+                        when json_type(doc, '$.cms') not in ('ARRAY', 'OBJECT') then 'modules of another type'
+                        when e is null then 'empty list'
+                        when json_extract_string(e, '$.id') is null then 'no id'
+                        when try_cast(json_extract_string(e, '$.id') as bigint) is null then 'id is no number'
+                   end as reason
+            from parsed t left join listed l on l.id = t.id""",
+        ),
+        "cleanup_own_rules": with_views(
+            "files",
+            "usr",
+            "gc",
+            drafts="select * from files where filearea = 'draft' and filesize > 20000000",
+            nobody="""select * from files f where not exists (select 1 from usr u where u.id = f.userid)
+            and not exists (select 1 from drafts d where d.id = f.id)""",
+            counted="""
+            select 1 as seq, 'large_drafts' as step, 'files' as "table", count(*) as n, sum(filesize) as b from drafts
+            union all select 2, 'of_nobody', 'files', count(*), sum(filesize) from nobody
+            union all select 3, 'no_course', 'grade_categories', count(*), 0 from gc where courseid is null
+            union all select 4, 'absent_table', 'blog', 0, 0""",
+            query="""select seq, step, "table", step as rule, n as rows, cast(coalesce(b, 0) as bigint) as bytes,
+            case when "table" = 'blog' then 'skipped' when n = 0 then 'none' else 'ok' end as status from counted""",
+        ),
+        "stored_bytes": with_views(
+            "log",
+            query=f"""
+            select 'logstore_standard_log' as item, period, n_rows as n, true as of_the_files
+            from ({_history("logstore_standard_log", "log", "timecreated", A)})""",
+        ),
         "file_page_listing": with_views(
             "files",
             "usr",

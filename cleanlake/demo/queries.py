@@ -14,6 +14,7 @@ from cleanlake.demo.views import Views
 from cleanlake.functions.clock import years_before
 from cleanlake.functions.formats import format_bytes, gib, mib
 from cleanlake.functions.mime import sniff_text
+from cleanlake.functions.payload import listed_modules
 from cleanlake.functions.predicates import is_backup_name, older_than
 from cleanlake.operators import (
     aged_files,
@@ -24,6 +25,7 @@ from cleanlake.operators import (
     links,
     modules,
     orphans,
+    pages,
     removal,
     rollup,
     search,
@@ -32,8 +34,10 @@ from cleanlake.operators import (
 )
 from cleanlake.plans import cleanup
 from cleanlake.plans.requeue import requeued_tasks
+from cleanlake.plans.rules import Rule
 from cleanlake.plans.staging import Staging
 from cleanlake.policy import DAY, FileFilter, RetentionPolicy
+from cleanlake.sources.footers import data_files
 
 A = views.AS_OF
 POLICY = RetentionPolicy(
@@ -176,6 +180,37 @@ def upsert_registry(v: Views) -> DataFrame:
     return ghosts.upsert_registry(v.registry, ghosts.registry_rows(found), Staging(v.spark).keep)
 
 
+def find_files_page_by_ranges(v: Views) -> DataFrame:
+    """The second page of large files, found by the counts of ranges."""
+    found = pages.content_pages(v.files, v.user, FileFilter(min_mib=50), Staging(v.spark), 8)
+    return found.page(1, 20)
+
+
+def cleanup_own_rules(v: Views) -> DataFrame:
+    """A clean-up whose steps are rules of its own, of which the later one sees what the first left."""
+    steps = [
+        Rule("large_drafts", "files", lambda run: run.live("files").where("filearea = 'draft' and filesize > 20000000"), "filesize"),
+        Rule("of_nobody", "files", lambda run: orphans.orphans(run.live("files"), v.user, "userid"), "filesize"),
+        Rule("no_course", "grade_categories", lambda run: run.live("grade_categories").where("courseid is null")),
+        Rule("absent_table", "blog", lambda run: run.live("blog")),
+    ]
+    plan = cleanup.plan_cleanup(v.spark, tables_of(v), v.disk, POLICY, A, steps)
+    return cleanup.cleanup_report(v.spark, plan)
+
+
+def stored_bytes(v: Views) -> DataFrame:
+    """Whether the report of a table that lies in files counts those files' bytes, for each period."""
+    staging, folder = _stored(v, v.log.repartition(3), "log")
+    known = [statistics.HistoryTable("logstore_standard_log", v.log, "timecreated")]
+    paths = {"logstore_standard_log": folder}
+    report = statistics.usage_statistics(v.spark, v.files, COMPONENTS, known, A, paths)
+    size = data_files(v.spark, folder).agg(F.sum("length").cast("double").alias("size"))
+    size = size.first()["size"]
+    rows = report.where(F.col("section") == "history")
+    whole = F.when(F.col("period") == "all", F.col("n_bytes") == size).otherwise(F.col("n_bytes") <= size)
+    return rows.select("item", "period", "n", whole.alias("of_the_files"))
+
+
 def registry_in_buckets(v: Views) -> DataFrame:
     """The registry after a scan that wrote only the buckets that changed."""
     staging = Staging(v.spark)
@@ -400,7 +435,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         v.grade_categories, v.course
     ),
     "grade_outcomes_deleted_courses": lambda v: orphans.rows_of_deleted_courses(
-        v.grade_categories, v.course
+        v.grade_outcomes, v.course
     ),
     "grade_outcomes_sparing_nulls": lambda v: orphans.rows_of_deleted_courses(
         v.grade_categories, v.course, null_fk="keep"
@@ -438,6 +473,10 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "ghost_scan_bytes": lambda v: ghosts.ghost_bytes(scan_ghosts(v)),
     "upsert_registry": upsert_registry,
     "registry_in_buckets": registry_in_buckets,
+    "task_payloads": lambda v: listed_modules(v.task),
+    "find_files_page_by_ranges": find_files_page_by_ranges,
+    "cleanup_own_rules": cleanup_own_rules,
+    "stored_bytes": stored_bytes,
     "registry_presence": lambda v: ghosts.registry_presence(v.registry, v.disk),
     "requeued_task_table": lambda v: requeued_tasks(v.task, v.course_modules, 2, POLICY),
     "ghosts_still_unlinked": lambda v: ghosts.still_unlinked(v.registry, v.files),

@@ -190,6 +190,13 @@ def _category_tree(raw):
     )
 
 
+def _grade_outcomes(raw):
+    """Outcomes used in courses; some have lost theirs."""
+    return raw("lineitem").select(
+        _line_id().alias("id"), F.when(F.col("l_linenumber") != 3, F.col("l_suppkey")).alias("courseid")
+    )
+
+
 def _grade_history(raw):
     return raw("lineitem").select(
         _line_id().alias("id"),
@@ -324,6 +331,7 @@ _VIEWS = {
     "grader": _grader,
     "grade_categories": _grade_categories,
     "category_tree": _category_tree,
+    "grade_outcomes": _grade_outcomes,
     "grade_history": _grade_history,
     "task": _task,
     "event": _event,
@@ -399,6 +407,8 @@ VIEW_SQL: dict[str, str] = {
     "gc": """
         select o_orderkey as id,
                case when o_orderkey % 97 <> 0 then o_custkey end as courseid from orders""",
+    "grade_outcomes": f"""
+        select {_LINE_ID} as id, case when l_linenumber <> 3 then l_suppkey end as courseid from lineitem""",
     "category_tree": """
         select o_orderkey as id,
                case when o_orderkey % 100 = 7 then o_orderkey * 3 + 1 else o_orderkey // 3 end as parent,

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanlake.functions.payload import module_ids, module_payload
+from cleanlake.functions.payload import listed_modules, module_payload
 from cleanlake.functions.predicates import older_than
 from cleanlake.operators.orphans import orphans, unwritten
 from cleanlake.policy import RetentionPolicy
@@ -53,10 +53,7 @@ def stalled_task_modules(
     not list is ``unlisted``: its data goes, but its task has failed. Tasks that list nothing
     have one row without a module.
     """
-    listed = stalled.select(
-        F.col("id").alias("task_id"),
-        F.explode_outer(module_ids()).alias("module_id"),
-    )
+    listed = listed_modules(stalled).select("task_id", "module_id")
     known = with_module_names(course_modules, modules)
     unlisted = F.lit(False)
     if sections is not None:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +43,26 @@ def numbered(new: DataFrame, key: str, in_use: DataFrame) -> DataFrame:
         .withColumn("id", F.col("_start") + F.col("_place"))
         .drop(_BUCKET, "_start", "_place")
     )
+
+
+def placed_in_ranges(rows: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
+    """``rows`` dealt by ranges of ``order``, with ``part`` (the range) and ``place`` (from 0 within it).
+
+    Ranges are in order, and so are places, so the number of a row in the whole is its place and the
+    rows of the ranges before its own. Write the result: ranges are drawn from a sample.
+    """
+    parts = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = [
+                pa.array(np.full(batch.num_rows, part, np.int32)),
+                pa.array(np.arange(n, n + batch.num_rows, dtype=np.int64)),
+            ]
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "part", "place"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return dealt.mapInArrow(count, f"{schema}, part int, place bigint")

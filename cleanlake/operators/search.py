@@ -67,11 +67,17 @@ def find_files(
     if limit is not None:
         page = page.orderBy("contenthash").offset(offset).limit(limit)
     rows = files.join(page.select("id"), "id", "left_semi")
-    people = _user_columns(users)
     if limit is not None:
-        rows = keep(rows, "page")
-        wanted = rows.where(F.col("userid").isNotNull()).select("userid").distinct()
-        people = people.join(wanted, "userid", "left_semi")
+        return with_users(keep(rows, "page"), files, users)
+    return rows.join(_user_columns(users), "userid", "left").select(
+        *files.columns, "user_deleted", "firstname", "lastname"
+    )
+
+
+def with_users(rows: DataFrame, files: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of a page with their users, of whom only those of the page are looked for."""
+    wanted = rows.where(F.col("userid").isNotNull()).select("userid").distinct()
+    people = _user_columns(users).join(wanted, "userid", "left_semi")
     return rows.join(people, "userid", "left").select(
         *files.columns, "user_deleted", "firstname", "lastname"
     )

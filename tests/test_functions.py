@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cleanlake.functions import mime, predicates
 from cleanlake.functions.clock import days_before, years_before
 from cleanlake.functions.formats import base_name, format_bytes, gib, mib, minute
-from cleanlake.functions.payload import module_ids, module_payload
+from cleanlake.functions.payload import listed_modules, module_payload
 
 
 def epoch(*parts):
@@ -84,24 +84,39 @@ def test_sizes_names_and_times(spark):
     assert column(spark, [epoch(2024, 5, 6, 7, 8)], "bigint", minute("v")) == ["2024-05-06 07:08"]
 
 
-def test_module_ids_in_every_payload_shape(spark):
-    payloads = [
-        '{"cms":[{"id":"1"},{"id":2}]}',
-        '{"cms":{"7":{"id":"7"},"9":{"id":9}}}',
-        '{"cms":[]}',
-        "garbage",
-        '{"other":1}',
-        None,
-    ]
-    got = column(spark, payloads, "string", module_ids("v"))
-    assert got[:3] == [[1, 2], [7, 9], []]
-    assert not any(got[3:])
+def test_modules_and_reasons_in_every_payload_shape(spark):
+    payloads = {
+        '{"cms":[{"id":"1"},{"id":2}]}': [(1, None), (2, None)],
+        '{"cms":{"7":{"id":"7"},"9":{"id":9}}}': [(7, None), (9, None)],
+        # Lists and objects whose entries are not alike.
+        '{"cms":[{"id":"x"},{"other":1},5,null,[1],{"id":null},{"id":"3"}]}': [
+            (None, "id is no number"), *[(None, "no id")] * 5, (3, None)
+        ],
+        '{"cms":{"a":{"id":[1]},"b":{"id":"4"}}}': [(4, None), (None, "id is no number")],
+        '{"cms":[]}': [(None, "empty list")],
+        '{"cms":{}}': [(None, "empty list")],
+        '{"cms":"text"}': [(None, "modules of another type")],
+        '{"cms":null}': [(None, "no modules")],
+        '{"other":1}': [(None, "no modules")],
+        "[1]": [(None, "no modules")],
+        "garbage": [(None, "not JSON")],
+        "": [(None, "not JSON")],
+        None: [(None, "no payload")],
+    }
+    rows = spark.createDataFrame(list(enumerate(payloads)), "id long, customdata string")
+    found = {}
+    for r in listed_modules(rows).collect():
+        found.setdefault(r["task_id"], []).append((r["module_id"], r["reason"]))
+    key = lambda e: (e[0] is None, e[0] or 0, e[1] or "")
+    for k, (payload, want) in enumerate(payloads.items()):
+        assert sorted(found[k], key=key) == sorted(want, key=key), payload
 
 
 def test_payload_round_trip(spark):
-    row = spark.sql("select array(3L, 5L) as ids").select(module_payload(F.col("ids"), 2).alias("v"))
-    assert row.first()[0] == '{"cms":{"3":{"id":"3"},"5":{"id":"5"}},"userid":"2","realuserid":"2"}'
-    assert row.select(module_ids("v")).first()[0] == [3, 5]
+    row = spark.sql("select 1L as id, array(3L, 5L) as ids")
+    row = row.select("id", module_payload(F.col("ids"), 2).alias("customdata"))
+    assert row.first()[1] == '{"cms":{"3":{"id":"3"},"5":{"id":"5"}},"userid":"2","realuserid":"2"}'
+    assert sorted(r["module_id"] for r in listed_modules(row).collect()) == [3, 5]
 
 
 def test_sniffing():
