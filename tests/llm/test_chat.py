@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -59,6 +60,59 @@ def test_roles_are_recovered_in_blocks_too(spark, monkeypatch):
     assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
 
 
+def plain_roles(model, texts):
+    """Viterbi over all lines at once; the role of each turn's first line."""
+    scores, back, firsts = None, [], []
+    for text in texts:
+        for k, (line, marked, role) in enumerate(read_lines(text)):
+            if k == 0:
+                firsts.append(len(back))
+            if scores is None:
+                back.append(None)
+                scores = model.start + model.evidence(line, marked, role)
+            else:
+                both = scores[:, None] + model.step(marked)
+                back.append(both.argmax(axis=0))
+                scores = both.max(axis=0) + model.evidence(line, marked, role)
+    path = [int(scores.argmax())]
+    for pointer in reversed(back[1:]):
+        path.append(int(pointer[path[-1]]))
+    path.reverse()
+    return [model.roles[path[k]] for k in firsts]
+
+
+def test_one_conversation_holds_nearly_all_rows(spark, conf, monkeypatch):
+    """Repeated and null turns; it lies in all ranges, in blocks of bounded size, and its roles are those
+    of one plain pass."""
+    rng = random.Random(3)
+    conf({"spark.sql.shuffle.partitions": "5"})
+    monkeypatch.setattr(chat, "BLOCK", 50)
+    rows = []
+    for k in range(3_000):
+        role = rng.choice(["user", "assistant"])
+        text = f"{'why' if role == 'user' else 'because ' * rng.randint(20, 40)} {k}{'?' if role == 'user' else ''}"
+        rows.append((7, rng.choice([None, *range(8)]), role, text))
+    rows += [r for c in range(20) for r in talk(rng, 100 + c, 4)]
+    turns = make(spark, rows)
+    model = learn(turns)
+    # Counts of steps are those of the whole conversation in one order.
+    coded = turns.selectExpr("conv_id", "turn", "role", "text", "xxhash64(text) as code").collect()
+    order = sorted(coded, key=lambda r: (str(r.conv_id), r.turn is not None, r.turn or 0, r.code))
+    counts = {}
+    for before, own in zip([None, *order], order):
+        key = (before.role if before and before.conv_id == own.conv_id else None, own.role)
+        counts[key] = counts.get(key, 0) + 1
+    assert chat._steps(turns.select(turns.conv_id.alias("conv"), "turn", "role", "text")) == counts
+    blocks = chat._blocks(turns.select(turns.conv_id.alias("conv"), "turn", "text"), 50, "bigint", "bigint")
+    sizes = [(r["part"], len(r["texts"])) for r in blocks.where("conv = 7").collect()]
+    assert max(n for _, n in sizes) == 50 and sum(n for _, n in sizes) == 3_000 and len({p for p, _ in sizes}) == 5
+    number = lambda text: int(re.search(r"\d+", text)[0])
+    found = {number(r.rendered): r.role_pred for r in format_chats(turns, model).collect() if r.conv_id == 7}
+    own = [r for r in order if r.conv_id == 7]
+    want = plain_roles(model, [r.text for r in own])
+    assert found == {number(r.text): w for r, w in zip(own, want)}
+
+
 def test_markers_and_odd_turns(spark):
     rng = random.Random(1)
     model = learn(make(spark, [r for c in range(30) for r in talk(rng, c, 6)]))
