@@ -26,7 +26,7 @@ from cleanlake.llm.shared import forget, slices, table, written
 #: mismatch and a gap; characters of items in a block.
 GRAM, SEGMENT = 3, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 #: Items of fewer words are sought by their word pairs.
 SHORT = 40
 
@@ -44,8 +44,11 @@ class Items:
         self.n = n
         split = {key: words_of(text) for key, text in rows}
         self.number = {w: i for i, w in enumerate(sorted({w for ws in split.values() for w in ws}))}
-        # n numbers make one 64-bit key; a block's vocabulary leaves room for three.
+        # n numbers make one 64-bit key. Six million characters hold too few different words to leave no
+        # room for three, so this can only be one text longer than a block.
         self.base = len(self.number) + 1
+        if self.base**n >= 1 << 63:
+            raise ValueError(f"an item of {len(self.number)} different words is too long")
         self.words = {k: self.numbered(ws) for k, ws in split.items() if len(ws) >= n}
         self.long = [k for k, w in self.words.items() if len(w) >= SHORT]
         own = [self.grams(self.words[k]) for k in self.long]
@@ -214,28 +217,44 @@ def row_leaks(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``leaks`` by row: ``doc_id`` and ``code``, the hash of the row's text, then ``item``, ``score``,
-    ``start`` and ``end``. Repeated rows or items give repeated ones."""
+    ``start`` and ``end``. Repeated rows give repeated ones, repeated items count once; an item without
+    an id is sought like others, and its ``item`` is null."""
     docs = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text")
     ).where("text is not null")
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    tests = tests.where("item is not null and text is not null")
-    chars = tests.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-chars // block_chars)
-    own = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks)))
+    tests = written(tests.where("text is not null").distinct(), "benchmark-items")
     found = None
-    for block in range(max(1, blocks)):
-        part = _block(docs, tests.where(own == block), least)
+    for block in _blocks_of(tests, block_chars):
+        part = _block(docs, block, least)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _blocks_of(tests: DataFrame, most: int, finer: int = 64) -> list[DataFrame]:
+    """The items in blocks of about ``most`` characters. They are dealt by hash into many small parts, whose
+    sizes, 64 for each block, come to the driver; parts in a row make a block until it would be too large."""
+    chars = tests.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    parts = finer * max(1, -(-chars // most))
+    own = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    sizes = tests.groupBy(own.alias("part")).agg(F.sum(F.length("text")).alias("n")).collect()
+    bounds, size = [0], 0
+    for r in sorted(sizes):
+        if size and size + r["n"] > most:
+            bounds.append(r["part"])
+            size = 0
+        size += r["n"]
+    ends = [*bounds[1:], parts]
+    return [tests.where((own >= low) & (own < high)) for low, high in zip(bounds, ends)]
+
+
 def _block(docs: DataFrame, tests: DataFrame, least: float) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = tests.schema["item"].dataType.simpleString()
     # A block has a bounded number of characters, and so has what the driver gets and sends.
-    rows = [(i, r["item"], r["text"]) for i, r in enumerate(sorted(tests.collect()))]
+    found = sorted(tests.collect(), key=lambda r: (r["item"] is None, r["text"], str(r["item"])))
+    rows = [(i, r["item"], r["text"]) for i, r in enumerate(found)]
     items = Items([(i, text) for i, _, text in rows], least=least)
     names = [key for _, key, _ in rows]
 

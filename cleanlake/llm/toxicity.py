@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from cleanlake.llm.shared import hash_code, lowest, slices, table, written
 
-#: Labelled documents of each class that are learned from, and entries and exceptions kept.
-SAMPLE_DOCS, ENTRIES, EXCEPTIONS = 4_000, 2_000, 2_000
-#: Least log likelihood ratio of an entry: one in a million by chance, as many words are tried.
-SURPRISE = 24.0
+#: Labelled documents of each class that are learned from.
+SAMPLE_DOCS = 4_000
+#: Least log likelihood ratio of an entry: one in a million by chance, as many words are tried;
+#: least log odds of one.
+SURPRISE, ODDS = 24.0, 1.5
 #: Lengths of the beginnings that are tried, besides the whole word.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -140,8 +141,8 @@ def _candidates(word: str) -> Iterator[str]:
             yield " " + word[:n]
 
 
-def _count(sample: DataFrame, keys_of, wanted: str, order: list[Column], most: int) -> list[tuple[str, int, int]]:
-    """(key, toxic documents, clean documents) over the sample: of the ``wanted`` keys the first ``most``."""
+def _counts(sample: DataFrame, keys_of) -> DataFrame:
+    """(``key``, ``toxic`` documents, ``clean`` documents) over the sample."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_in = keys_of()
@@ -156,36 +157,48 @@ def _count(sample: DataFrame, keys_of, wanted: str, order: list[Column], most: i
         yield pa.RecordBatch.from_arrays(arrays, names=["key", "toxic", "clean"])
 
     rows = sample.select("text", "toxic").mapInArrow(run, "key string, toxic long, clean long")
-    rows = rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = rows.where(wanted).orderBy(*order).limit(most)
-    return [(r["key"], r["toxic"], r["clean"]) for r in rows.collect()]
+    return rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def surprise(toxic: int, clean: int, share: float) -> float:
+def surprise(toxic: Column, clean: Column, share: float) -> Column:
     """Log likelihood ratio of this split of documents against the general share of toxic ones."""
-    n, total = toxic + clean, 0.0
-    for seen, expected in ((toxic, n * share), (clean, n * (1 - share))):
-        total += 2 * seen * math.log(seen / expected) if seen else 0.0
+    total = F.lit(0.0)
+    for seen, part in ((toxic, share), (clean, 1 - share)):
+        total = total + F.when(seen > 0, 2 * seen * F.log(seen / ((toxic + clean) * part))).otherwise(0.0)
     return total
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS
-) -> Lexicon:
-    """A lexicon from ``docs`` and the 0 and 1 in ``toxic`` of ``labels``.
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """(``text``, ``toxic``): at most twice ``most`` texts of each class.
 
-    Learned from the ``most`` labels of each class that are lowest by the hash of their id: a bounded
-    sample. Null ids, labels and texts are left out; a label given twice counts once. Without rows of
-    both classes the lexicon is empty and all scores are low.
+    Labels are chosen by the hash of their id first. An id may have many rows, so its texts, each once, are
+    chosen by the hash of both again.
     """
     # A null id meets no document, and would take the places of labels that do.
     given = labels.where("toxic in (0, 1)").where(F.col(id_col).isNotNull())
     given = written(given.select(id_col, "toxic").distinct(), "toxicity-given")
     chosen = lowest(given, "toxic", hash_code(id_col), most)
     chosen = written(chosen.select(id_col, "toxic"), "toxicity-labels")
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col)
-    sample = sample.where("text is not null").select("text", "toxic").repartition(16)
-    sample = written(sample, "toxicity-sample")
+    rows = docs.select(id_col, F.col(text_col).alias("text")).where("text is not null").join(chosen, id_col)
+    rows = rows.select("text", "toxic", hash_code(id_col, "text").alias("place"))
+    places = written(rows.select("toxic", "place").distinct(), "toxicity-places")
+    taken = lowest(places, "toxic", F.col("place"), most).select("toxic", "place")
+    rows = rows.join(F.broadcast(taken), ["toxic", "place"]).dropDuplicates(["toxic", "place"])
+    return written(rows.select("text", "toxic"), "toxicity-sample")
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS
+) -> Lexicon:
+    """A lexicon from ``docs`` and the 0 and 1 in ``toxic`` of ``labels``.
+
+    Learned from the ``most`` labels of each class that are lowest by the hash of their id, and as many
+    texts, twice as many at most: a bounded sample, which bounds all that comes to the driver. Null ids,
+    labels and texts are left out; a label given twice counts once, and so does a text of an id. An id with
+    both labels counts in both classes. Without rows of both classes the lexicon is empty and all
+    scores are low.
+    """
+    sample = _sample(docs, labels, id_col, text_col, most)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -200,20 +213,22 @@ def learn(
         return keys
 
     share = n_toxic / (n_toxic + n_clean)
-    weighed = []
-    by_excess = [(F.col("toxic") - F.col("clean")).desc(), F.col("key")]
-    for key, toxic, clean in _count(sample, words_in, "greatest(toxic, clean) >= 3", by_excess, 20 * ENTRIES):
-        odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        if odds >= 1.5 and surprise(toxic, clean, share) >= SURPRISE:
-            weighed.append((toxic * odds, -len(key), key, odds))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+    telling = (F.greatest(toxic, clean) >= 3) & (odds >= ODDS) & (surprise(toxic, clean, share) >= SURPRISE)
+    found = _counts(sample, words_in).where(telling).select("key", "toxic", odds.alias("odds")).collect()
+    weighed = [(r["toxic"] * r["odds"], -len(r["key"]), r["key"], r["odds"]) for r in found]
     entries: dict[str, float] = {}
+    stems: set[str] = set()
+    beginnings: set[str] = set()
     for _, _, key, odds in sorted(weighed, reverse=True):
         # A word counts once: no entry that begins another one.
         stem = key.rstrip(" ")
-        if len(entries) < ENTRIES and not any(
-            stem.startswith(e.rstrip(" ")) or e.startswith(stem) for e in entries
-        ):
+        own = {stem[:n] for n in range(2, len(stem) + 1)}
+        if stem not in beginnings and not own & stems:
             entries[key] = round(odds, 6)
+            stems.add(stem)
+            beginnings |= own
     bare = Lexicon(entries)
 
     def phrases_in():
@@ -234,9 +249,8 @@ def learn(
         return keys
 
     harmless = f"clean >= 3 and clean * {n_toxic} > 8 * toxic * {n_clean}"
-    by_clean = [F.col("clean").desc(), F.col("key").desc()]
-    counts = _count(sample, phrases_in, harmless, by_clean, EXCEPTIONS) if entries else []
-    exceptions = frozenset(k for k, _, _ in counts)
+    spared = _counts(sample, phrases_in).where(harmless).select("key").collect() if entries else []
+    exceptions = frozenset(r["key"] for r in spared)
     judged = Lexicon(entries, exceptions)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

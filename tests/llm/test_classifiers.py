@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from cleanlake.llm import language, toxicity
@@ -152,13 +154,12 @@ def test_null_ids_take_no_place_in_the_samples(spark):
     assert sum(n >= 900 for n in numbers) < 20 and found != sorted(found)
 
 
-def test_many_toxic_phrases_leave_room_for_exceptions(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "EXCEPTIONS", 1)
+def test_many_toxic_phrases_leave_room_for_exceptions(spark):
     rows = [(f"you grobnik word{'abcdefghij'[k % 10] * (1 + k // 10)}", 1) for k in range(60) for _ in range(3)]
     rows += [("the grobnik tower is old", 0)] * 30 + [("some words of every day", 0)] * 370
     labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
     lexicon = learn(labelled.drop("toxic"), labelled.drop("text"))
-    assert lexicon.exceptions == {" the grobnik "}
+    assert lexicon.exceptions == {" the grobnik ", " grobnik tower "}
 
 
 def test_nothing_to_learn(spark):
@@ -193,3 +194,42 @@ def test_lowest_codes_of_each_value(spark):
     same = spark.range(900).selectExpr("1L as id", "'x' as kind")
     assert lowest(same, "kind", hash_code("id"), 10).count() == 900, "equal codes stay together"
     assert lowest(rows.limit(0), "kind", hash_code("id"), 10).count() == 0
+
+
+def test_many_rows_of_one_id_stay_a_bounded_sample(spark):
+    """One labelled id has thousands of rows: its texts are a sample of its class, each once."""
+    rows = [(1, f"text {k % 3000} vile" if k % 2 else f"text {k % 3000}") for k in range(6_000)]
+    rows += [(10 + k, f"a kind word number {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), *[(10 + k, 0) for k in range(50)], (10, 1), (None, 1), (11, None)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, "doc_id", "text", 20)
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    assert 20 <= sizes[1] <= 40 and 20 <= sizes[0] <= 40
+    assert sample.count() == sample.distinct().count()
+    whole = toxicity._sample(docs, labels, "doc_id", "text", 100_000)
+    assert whole.where("toxic = 1").count() == 3_001 and whole.where("toxic = 0").count() == 50
+    assert 0 <= score(docs, learn(docs, labels, most=20)).first()["score"] <= 1
+
+
+def test_matches_by_brute_force():
+    """Entries and exceptions looked for at every place of the folded text."""
+    chance = random.Random(12)
+    word = lambda: "".join(chance.choice("abc") for _ in range(chance.randint(1, 4)))
+    for _ in range(300):
+        entries = {" " + word() + chance.choice(["", " "]): chance.randint(1, 9) / 2 for _ in range(4)}
+        phrases = frozenset(f" {word()} {word()} " for _ in range(4))
+        text = spaced(" ".join(word() for _ in range(chance.randint(0, 12))))
+        safe = [(i, i + len(p)) for p in phrases for i in range(len(text)) if text.startswith(p, i)]
+        want = []
+        for i in range(len(text)):
+            own = [(w, -len(e), e) for e, w in entries.items() if text.startswith(e, i)]
+            if own:
+                heaviest = max(w for w, *_ in own)
+                covered = [not any(a <= i and i + len(e) <= b for a, b in safe) for w, _, e in own if w == heaviest]
+                if len(set(covered)) == 1 and covered[0]:
+                    want.append((i, heaviest))
+                elif len(set(covered)) > 1:
+                    want = None  # equally heavy entries of two lengths, one covered: either will do
+                    break
+        if want is not None:
+            assert [(a, w) for a, _, w in Matcher(Lexicon(entries, phrases)).hits(text)] == want

@@ -194,3 +194,25 @@ def test_short_items_with_many_words_replaced(spark):
     got = {(r.doc_id, r.item_id) for r in found}
     assert {(d, i) for d, i in got if len(items[i]) < decontamination.SHORT} == wanted
     assert {(i, i) for i in range(len(items))} <= got
+
+
+def test_benchmark_items_without_id_and_repeated_ones(spark):
+    """Items without an id are sought; one item thousands of times is one item; blocks have bounded size."""
+    from cleanlake.llm import decontamination
+
+    words = [f"word{k}" for k in range(400)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 350, 50)]
+    items = [(1, texts[0])] * 4_000 + [(None, texts[1]), (2, None), (3, texts[2]), (None, "")]
+    tests = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = [(k, f"before it all {t} and behind it") for k, t in enumerate(texts)] + [(None, texts[1])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for chars in (decontamination.BLOCK_CHARS, 400):
+        found = decontamination.row_leaks(docs, tests, block_chars=chars).select("doc_id", "item").collect()
+        assert sorted(map(str, {tuple(r) for r in found})) == sorted(map(str, [(0, 1), (1, None), (2, 3), (None, None)]))
+        assert len(found) == 4
+    plain = tests.selectExpr("item_id as item", "text").where("text is not null").distinct()
+    many = spark.range(200).selectExpr("id as item", "repeat('some words ', 10) as text")
+    for frame, most in ((plain, 400), (many, 1_000)):
+        blocks = decontamination._blocks_of(frame, most)
+        sizes = [b.selectExpr("sum(length(text))").first()[0] or 0 for b in blocks]
+        assert sum(sizes) == frame.selectExpr("sum(length(text))").first()[0] and max(sizes) <= most
