@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanlake.llm.bpe import SpeculativeEncoder
+from cleanlake.llm.bpe import token_bytes
 from cleanlake.llm.shared import forget, mixed, per_worker, slices, table, written
-from cleanlake.llm.tokens import _Memo
+from cleanlake.llm.tokens import ChunkEncoder, _Memo
 
 #: Characters of a block, that is, of texts whose windows and pairs are numbered together.
 PART = 2_000_000
@@ -49,6 +49,14 @@ def _spells(table: np.ndarray, sizes: np.ndarray, ids: list[np.ndarray], whole:
     return out
 
 
+class PlainEncoder(ChunkEncoder):
+    """Ids by a byte-level file; the strings of special tokens are plain text."""
+
+    def __init__(self, path: str):
+        super().__init__(path, "<u4", True, MEMO)
+        self._tokenizer.encode_special_tokens = True
+
+
 class PieceEncoder:
     """Ids of whole texts by a sentencepiece model that adds a space in front.
 
@@ -90,8 +98,8 @@ class Aligner:
     """Both tokenizers and what is known of windows."""
 
     def __init__(self, path_a: str, path_b: str):
-        self._a, self._b = SpeculativeEncoder(path_a, special=False, most=MEMO), PieceEncoder(path_b)
-        sides = (self._a.merges.bytes, [self._bytes_of(i) for i in range(self._b.model.get_piece_size())])
+        self._a, self._b = PlainEncoder(path_a), PieceEncoder(path_b)
+        sides = (token_bytes(path_a), [self._bytes_of(i) for i in range(self._b.model.get_piece_size())])
         self._a_sizes, self._b_sizes = (np.array([len(x) for x in side], np.int64) for side in sides)
         self._a_spaced, self._b_spaced = (np.array([x.startswith(b" ") for x in side]) for side in sides)
         self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(side), np.uint8) for side in sides)

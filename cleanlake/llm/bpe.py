@@ -31,8 +31,9 @@ def _read(path: str) -> dict:
         return json.load(file)
 
 
-def token_bytes(file: dict) -> list[bytes]:
+def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; none for an id that is not there."""
+    file = _read(path)
     vocabulary: dict[str, int] = file["model"]["vocab"]
     byte_of = {ord(letter): byte for byte, letter in byte_letters().items()}
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -57,7 +58,7 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
-        self.bytes = token_bytes(file)
+        self.bytes = token_bytes(path)
         size = len(self.bytes)
         # When a token is made, and from what; bytes are there from the beginning.
         self.rank = np.full(size, -1, np.int64)
@@ -281,7 +282,7 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        table_ = token_bytes(_read(tokenizer))
+        table_ = token_bytes(tokenizer)
         size = len(table_)
         for batch in batches:
             texts = []
