@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 # Class name the host application gives to its delayed module
@@ -12,6 +13,18 @@ ACTIVITY_CRITERION = 4
 
 DAY = 86_400
 
+# Names under which the host application stores the settings.
+SETTINGS = {
+    "cleanup_items_per_page": "items_per_page",
+    "cleanup_backup_timeout_days": "backup_days",
+    "cleanup_draft_timeout": "draft_days",
+    "cleanup_logs_timeout_days": "log_days",
+    "cleanup_component_files_days": "component_file_days",
+    "cleanup_grades_days": "grade_history_days",
+    "cleanup_course_modules_days": "module_task_days",
+    "cleanup_run_autoremove": "auto_remove",
+}
+
 
 @dataclass(frozen=True)
 class RetentionPolicy:
@@ -34,6 +47,24 @@ class RetentionPolicy:
     module_context_level: int = MODULE_CONTEXT_LEVEL
     activity_criterion: int = ACTIVITY_CRITERION
 
+    @classmethod
+    def from_settings(cls, stored: Mapping[str, object]) -> RetentionPolicy:
+        """The policy of stored settings, which are texts. Blank and absent ones keep their default,
+        settings of other names are passed over, and what is no whole number is an error."""
+        given: dict[str, int | bool] = {}
+        for name, field in SETTINGS.items():
+            text = str(stored.get(name) if stored.get(name) is not None else "").strip()
+            if not text:
+                continue
+            try:
+                number = int(text)
+            except ValueError:
+                raise ValueError(f"setting {name} is no whole number: {text}") from None
+            if number < 0:
+                raise ValueError(f"setting {name} is below zero: {number}")
+            given[field] = bool(number) if field == "auto_remove" else number
+        return cls(**given)
+
     @staticmethod
     def cutoff(as_of: int, days: int) -> int:
         """Epoch second ``days`` whole days before ``as_of``."""

@@ -34,5 +34,6 @@ SCHEMAS: dict[str, str] = {
     "course_completion_criteria": "id bigint, moduleinstance bigint, course bigint, "
     "criteriatype int",
     "ghost_registry": "id bigint, path string, mime string, size bigint",
+    "config": "name string, value string",
     "inventory": "path string, contenthash string, length bigint",
 }

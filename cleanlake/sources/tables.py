@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanlake.policy import SETTINGS, RetentionPolicy
 from cleanlake.schemas import SCHEMAS
 
 BYTES_PER_ROW_GUESS = 1024
@@ -37,6 +38,17 @@ def read_tables(
     return found
 
 
+def stored_policy(settings: DataFrame) -> RetentionPolicy:
+    """The policy of a table of settings (``name``, ``value``). A handful of rows come to the driver."""
+    known = settings.where(F.col("name").isin(*SETTINGS)).select("name", F.col("value").cast("string").alias("value"))
+    found: dict[str, str] = {}
+    for row in known.distinct().collect():
+        if row["name"] in found and row["value"] != found[row["name"]]:
+            raise ValueError(f"setting {row['name']} has two values")
+        found[row["name"]] = row["value"]
+    return RetentionPolicy.from_settings(found)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

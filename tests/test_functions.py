@@ -1,3 +1,5 @@
+import io
+import zipfile
 from datetime import datetime, timezone
 
 import pytest
@@ -7,6 +9,8 @@ from cleanlake.functions import mime, predicates
 from cleanlake.functions.clock import days_before, years_before
 from cleanlake.functions.formats import base_name, format_bytes, gib, mib, minute
 from cleanlake.functions.payload import listed_modules, module_payload
+from cleanlake.policy import RetentionPolicy
+from cleanlake.sources.tables import stored_policy
 
 
 def epoch(*parts):
@@ -126,6 +130,10 @@ def test_sniffing():
         b"\x89PNG\r\n\x1a\n....": "image/png",
         b"PK\x03\x04..": "application/zip",
         b"....ftypisom": "video/mp4",
+        b"RIFF....WAVEfmt ": "audio/x-wav",
+        b"RIFF....WEBPVP8 ": "image/webp",
+        b"text then WAVE": "text/plain",
+        b"name" + b"\0" * 253 + b"ustar\x0000": "application/x-tar",
         b"  <!DOCTYPE html><p>": "text/html",
         b"<?xml version='1.0'?>": "text/xml",
         b"plain \xc3\xa9 text\n": "text/plain",
@@ -134,6 +142,44 @@ def test_sniffing():
     assert {head: mime.sniff_bytes(head) for head in cases} == cases
 
 
+def test_kinds_of_zip_archives():
+    def packed(*entries, method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as archive:
+            for name, text in entries:
+                archive.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_STORED if name == "mimetype" else method)
+        return out.getvalue()
+
+    office = "application/vnd.openxmlformats-officedocument."
+    kinds = ("[Content_Types].xml", "<x/>" * 50), ("_rels/.rels", "<y/>")
+    cases = {
+        packed(("mimetype", "application/epub+zip"), ("a.xhtml", "x")): "application/epub+zip",
+        packed(("mimetype", "application/vnd.oasis.opendocument.text")): "application/vnd.oasis.opendocument.text",
+        packed(*kinds, ("word/document.xml", "z")): office + "wordprocessingml.document",
+        packed(*kinds, ("xl/workbook.xml", "z")): office + "spreadsheetml.sheet",
+        packed(*kinds, ("ppt/presentation.xml", "z")): office + "presentationml.presentation",
+        packed(("a.txt", "word/ is not a folder here")): "application/zip",
+        packed(("readme", "x" * 3000), ("xl.txt", "")): "application/zip",
+        packed(): mime.BINARY,
+        b"PK\x03\x04": "application/zip",
+        b"PK\x03\x04" + b"\xff" * 40: "application/zip",
+    }
+    assert {head: mime.sniff_bytes(head) for head in cases} == cases
+
+
+def test_settings_as_they_are_stored(spark):
+    stored = [("cleanup_backup_timeout_days", " 12 "), ("cleanup_run_autoremove", "1"), ("other", "x"),
+              ("cleanup_draft_timeout", ""), ("cleanup_logs_timeout_days", None), ("cleanup_backup_timeout_days", " 12 ")]
+    frame = spark.createDataFrame(stored, "name string, value string")
+    assert stored_policy(frame) == RetentionPolicy(backup_days=12, auto_remove=True)
+    assert stored_policy(frame.limit(0)) == RetentionPolicy()
+    for bad in ("a week", "-3", "1.5"):
+        with pytest.raises(ValueError):
+            RetentionPolicy.from_settings({"cleanup_grades_days": bad})
+    with pytest.raises(ValueError):
+        stored_policy(frame.union(spark.createDataFrame([("cleanup_run_autoremove", "0")], "name string, value string")))
+
+
 def test_stored_and_column_form_agree_on_whole_contents(spark):
     far = mime.CHUNK + 70_000
     texts = {
