@@ -542,3 +542,29 @@ def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), shingles as (
+    select distinct doc_id, case when len(words) < 5 then array_to_string(words, ' ')
+        else array_to_string(words[pos : pos + 4], ' ') end as shingle
+    from (select *, unnest(range(1, greatest(len(words) - 3, 2))) as pos from split where len(words) > 0)
+), sizes as (
+    select s.doc_id, count(shingle) as n from split s left join shingles using (doc_id) group by s.doc_id
+), pairs as (
+    select a.doc_id as x, b.doc_id as y, count(*) as shared
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+    select p.x, p.y from pairs p join sizes a on a.doc_id = p.x join sizes b on b.doc_id = p.y
+    where 100 * p.shared >= 80 * (a.n + b.n - p.shared)
+), reached as (
+    select doc_id, doc_id as other from split
+    union
+    select r.doc_id, l.y from reached r join links l on l.x = r.other
+)
+select s.doc_id, s.n as n_shingles, min(r.other) as component_id
+from sizes s join reached r using (doc_id) group by s.doc_id, s.n
+"""

@@ -44,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.SQL,
+        "op8_jaccard_join": jaccard_join.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op11_prefix_trie": prefix_trie.SQL,
     }

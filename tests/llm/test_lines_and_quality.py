@@ -46,6 +46,24 @@ def test_runs_are_compacted_and_forget_nothing(spark):
     assert all(len(level) < 2 for level in runs.levels)
 
 
+def test_query_goes_through_runs_and_levels(spark, monkeypatch):
+    """Of the registered query: batches meet runs of frequent keys that have rows, and a second level
+    is merged."""
+    met, merged = [], []
+    add, compact = LineRuns.add, LineRuns._compact
+    monkeypatch.setattr(
+        LineRuns, "add", lambda self, batch: met.append(sum(r.count() for r in self.found)) or add(self, batch)
+    )
+    monkeypatch.setattr(LineRuns, "_compact", lambda self, level: merged.append(level) or compact(self, level))
+    folder = "/root/testdata/sf0.001"
+    out = line_dedup.op9_line_dedup(spark, folder)
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = {(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in plain_dedup(rows, 10)}
+    assert {tuple(r) for r in out.collect()} == want
+    assert len(met) == 16 and sum(n > 0 for n in met) >= 4
+    assert merged.count(0) == 4 and merged.count(1) == 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert dedup_lines(none).count() == 0

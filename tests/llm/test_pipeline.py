@@ -67,3 +67,10 @@ def test_no_rows_with_the_schema(spark):
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))
     assert set(oracle_sql()) < set(queries())
+
+
+def test_documents_of_blank_lines_go(spark, docs):
+    """The line stage drops a document of which only blanks are left, and keeps one that had no other."""
+    rows = [(k, f"A shared line.\n \t\nown line {k}" if k % 2 else "A shared line.\n \n\t") for k in range(24)]
+    kept = corpus_pipeline.lines(spark, docs([*rows, (99, " \n\t")], extra=False), SF).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(k, f" \t\nown line {k}") for k in range(1, 24, 2)} | {(99, " \n\t")}
