@@ -151,7 +151,7 @@ def _pieces(path: str, keeps_space: bool, end_id: int, size: int):
         encoder = per_worker(args, lambda: ChunkEncoder(*args))
         for batch in batches:
             ids, codes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 1_000_000):
                 take, rows = [], []
                 for at, data in enumerate(encoder.encode(texts[i:j]), i):
                     data += end

@@ -122,6 +122,13 @@ def passing(rows: DataFrame, code: Column, keys: DataFrame) -> DataFrame:
     return found.where(f"shiftright({byte}, cast(_at % 8 as int)) & 1 = 1").select(*rows.columns)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """From here on the session sends at most so many rows at once to Python workers. A batch lies in memory
+    several times on its way, outside the heap of the executor too, and what that has once taken stays
+    taken. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def hash_code(*columns: str) -> Column:
     """A hash of 60 bits, not below 0."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 4)
