@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.llm import decontamination, jaccard_join, language, line_dedup, packing
-from cleanlake.llm.shared import BLANK_CHARS, fresh_folder, table, written
+from cleanlake.llm.shared import BLANK_CHARS, fresh_folder, small_batches, table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are texts that are null or without letters, in which no language can be told. Learned
     from the labelled documents of two folds.
     """
+    small_batches(spark)
     model = language.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     judged = language.identify(docs, model)
     return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
@@ -31,6 +32,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines found in at least ten documents, and documents of which no line is left."""
+    small_batches(spark)
     out = line_dedup.dedup_lines(docs, min_docs=10)
     out = out.where((F.col("n_dropped") == 0) | (F.trim("text", F.lit(BLANK_CHARS)) != ""))
     if "n_chars" in docs.columns:
@@ -48,6 +50,7 @@ def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: that with the smallest id, null ids last."""
+    small_batches(spark)
     rows = written(jaccard_join.row_groups(docs.select("doc_id", "text")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code"))
     kept = rows.where("comp is not null").groupBy("comp").agg(first.alias("kept"), F.count("*").alias("all"))
@@ -67,6 +70,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item, whole or edited."""
+    small_batches(spark)
     found = decontamination.row_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     found = written(found.select("doc_id", "code").distinct(), "leaks")
     return _by_row(docs, found, "left_anti")
@@ -74,6 +78,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 1,024 tokens."""
+    small_batches(spark)
     return packing.pack(
         docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
     )
