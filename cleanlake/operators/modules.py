@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanlake.functions.payload import listed_modules, module_payload
 from cleanlake.functions.predicates import older_than
+from cleanlake.operators.key_sets import KeySet, is_whole, key_set
 from cleanlake.operators.orphans import orphans, unwritten
 from cleanlake.policy import RetentionPolicy
 
@@ -17,7 +18,7 @@ ABSENT, DELETED, FAILED = "absent", "deleted", "failed"
 LEFT, UNLISTED = "left_in_place", "unlisted"
 
 
-def orphan_modules(course_modules: DataFrame, course: DataFrame) -> DataFrame:
+def orphan_modules(course_modules: DataFrame, course: DataFrame | KeySet) -> DataFrame:
     return orphans(course_modules, course, "course")
 
 
@@ -193,13 +194,19 @@ def cascade_rows(
     """Rows of ``table`` the rule dooms.
 
     Keys of the modules are reduced to distinct ones first. ``keep`` may write them; their size is
-    known then, and where they are too many to broadcast a hot key of the table is split. Rules that
-    refer to the same columns of a module ask for the same keys, under the same label.
+    known then, and they go to the rows as a set where that is small; where they are too many to broadcast
+    a hot key of the table is split. Rules that refer to the same columns of a module ask for the same
+    keys, under the same label.
     """
     for column, value in rule.where.items():
         table = table.where(F.col(column) == F.lit(value))
     columns = sorted(set(rule.keys.values()))
     keys = keep(doomed.select(*columns).dropna().distinct(), "keys-" + "-".join(columns))
+    if keep is not unwritten and len(rule.keys) == 1:
+        ((column, key),) = rule.keys.items()
+        found = key_set(keys, key) if is_whole(table, column) else None
+        if found:
+            return found.having(table, column)
     keys = keys.select(*[F.col(m).alias(c) for c, m in rule.keys.items()])
     return table.join(keys, list(rule.keys), "left_semi").select(*table.columns)
 

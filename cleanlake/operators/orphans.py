@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanlake.functions.predicates import all_of, holds, older_than
+from cleanlake.operators.key_sets import KeySet
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -22,7 +23,7 @@ def unwritten(frame: DataFrame, label: str) -> DataFrame:
 
 def orphans(
     child: DataFrame,
-    parent: DataFrame,
+    parent: DataFrame | KeySet,
     fk: str | Sequence[str],
     pk: str | Sequence[str] = "id",
     null_fk: str = "doom",
@@ -36,12 +37,15 @@ def orphans(
     plain shuffles and adaptive execution can split a hot foreign key. Pass
     ``unique_parent=False`` when parent keys repeat, so they are reduced before the shuffle.
     That rules the split out, unless ``keep`` (``Staging.keep``, say) writes the reduced keys.
+    A ``KeySet`` of the parent's keys leaves the children where they are.
     """
     fks, pks = _names(fk), _names(pk)
     if null_fk == "keep":
         child = child.where(all_of(F.col(c).isNotNull() for c in fks))
     elif null_fk != "doom":
         raise ValueError("null_fk is 'doom' or 'keep'")
+    if isinstance(parent, KeySet):
+        return parent.lacking(child, fks[0])
     keys = parent.select(*[F.col(p).alias(c) for c, p in zip(fks, pks)])
     if not unique_parent:
         keys = keep(keys.distinct(), "parent-keys")
@@ -50,7 +54,7 @@ def orphans(
 
 def orphan_or_aged(
     child: DataFrame,
-    parent: DataFrame,
+    parent: DataFrame | KeySet,
     fk: str,
     ts: str,
     cutoff: int,
@@ -77,7 +81,7 @@ def component_retention(
     )
 
 
-def grade_items_of_deleted_courses(grade_items: DataFrame, course: DataFrame) -> DataFrame:
+def grade_items_of_deleted_courses(grade_items: DataFrame, course: DataFrame | KeySet) -> DataFrame:
     # Items that never belonged to a course stay.
     return orphans(grade_items, course, "courseid", null_fk="keep")
 
@@ -98,7 +102,7 @@ def grade_items_of_deleted_modules(
     )
 
 
-def grades_of_deleted_items(grades: DataFrame, grade_items: DataFrame) -> DataFrame:
+def grades_of_deleted_items(grades: DataFrame, grade_items: DataFrame | KeySet) -> DataFrame:
     return orphans(grades, grade_items, "itemid")
 
 
@@ -108,17 +112,19 @@ def grades_of_deleted_users(grades: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def rows_of_deleted_courses(
-    rows: DataFrame, course: DataFrame, null_fk: str = "doom"
+    rows: DataFrame, course: DataFrame | KeySet, null_fk: str = "doom"
 ) -> DataFrame:
     """Grade categories or course outcomes whose course is gone."""
     return orphans(rows, course, "courseid", null_fk=null_fk)
 
 
-def grade_history_to_remove(history: DataFrame, grade_items: DataFrame, cutoff: int) -> DataFrame:
+def grade_history_to_remove(
+    history: DataFrame, grade_items: DataFrame | KeySet, cutoff: int
+) -> DataFrame:
     return orphan_or_aged(history, grade_items, "itemid", "timemodified", cutoff)
 
 
-def log_rows_to_remove(log: DataFrame, context: DataFrame, cutoff: int) -> DataFrame:
+def log_rows_to_remove(log: DataFrame, context: DataFrame | KeySet, cutoff: int) -> DataFrame:
     return orphan_or_aged(log, context, "contextid", "timecreated", cutoff)
 
 
@@ -145,8 +151,10 @@ def first_rule(rules: Sequence[tuple[str, DataFrame]], key: str = "id") -> DataF
     )
 
 
-def survivors(table: DataFrame, doomed: DataFrame, key: str = "id") -> DataFrame:
+def survivors(table: DataFrame, doomed: DataFrame | KeySet, key: str = "id") -> DataFrame:
     """The table without the doomed rows."""
+    if isinstance(doomed, KeySet):
+        return doomed.lacking(table, key)
     return table.join(doomed.select(key), key, "left_anti")
 
 

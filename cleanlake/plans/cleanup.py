@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.operators import checkout, ghosts, modules, orphans, removal
+from cleanlake.operators.key_sets import KeySet
 from cleanlake.operators.vectors import delete_rows, deletion_vectors, read_files
 from cleanlake.plans.rules import CleanupStep, Run, in_order
 from cleanlake.plans.staging import Staging
@@ -37,7 +38,7 @@ class ModulesStep:
         )
         if list(run.undeletable):
             removable = removable.where(~F.col("module_name").isin(*run.undeletable))
-        lost = modules.orphan_modules(removable, run.tables["course"]).select("id")
+        lost = modules.orphan_modules(removable, run.keys(run.tables["course"])).select("id")
         lost = run.staging.keep(lost, "orphan_modules")
         rules = [("deleted_course", lost)]
 
@@ -47,7 +48,7 @@ class ModulesStep:
             listed = run.staging.keep(
                 modules.stalled_task_modules(
                     stalled,
-                    orphans.survivors(cm, lost),
+                    orphans.survivors(cm, run.keys(lost)),
                     types,
                     run.undeletable,
                     run.tables.get("course_sections"),
@@ -64,9 +65,12 @@ class ModulesStep:
             )
         zero = F.lit(0).cast("bigint")
         found = orphans.first_rule([(n, r.select("id", zero.alias("bytes"))) for n, r in rules])
+        found = run.staging.keep(found, "found_modules")
+        ids = run.keys(found)
+        gone = ids.having(cm, "id") if isinstance(ids, KeySet) else cm
         doomed = run.staging.keep(
             modules.doomed_modules(
-                cm.join(found, "id"), types, run.tables.get("context"), run.policy
+                gone.join(found, "id"), types, run.tables.get("context"), run.policy
             ),
             "doomed_modules",
         )
@@ -105,7 +109,8 @@ class GradesStep:
     after = ("course_modules",)
 
     def plan(self, run: Run) -> None:
-        course, items = run.tables["course"], run.tables["grade_items"]
+        course = run.keys(run.tables["course"], "course")
+        items = run.tables["grade_items"]
         run.doom(
             self.name,
             "grade_items",
@@ -120,7 +125,7 @@ class GradesStep:
             ],
             stage=True,
         )
-        items = run.live_written("grade_items", "id")
+        items = run.keys(run.live_written("grade_items", "id"), "live-grade_items")
         if run.has("grade_grades"):
             grades = run.tables["grade_grades"]
             run.doom(
@@ -161,7 +166,7 @@ class LogsStep:
             if not run.has(store):
                 run.skip(self.name, store, "no_context_or_aged")
                 continue
-            context = context or run.live_written("context", "id")
+            context = context or run.keys(run.live_written("context", "id"), "live-context")
             rows = orphans.log_rows_to_remove(run.tables[store], context, cutoff)
             run.doom(self.name, store, [("no_context_or_aged", rows)])
 

@@ -12,6 +12,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleanlake.operators.key_sets import KeySet, key_set
 from cleanlake.operators.modules import CascadeRule
 from cleanlake.operators.orphans import first_rule, survivors
 from cleanlake.plans.staging import Staging
@@ -45,9 +46,13 @@ class Run:
     def has(self, table: str) -> bool:
         return table in self.tables
 
+    def keys(self, rows: DataFrame, label: str = "") -> DataFrame | KeySet:
+        """The ids of written rows as a set, written too under a label, or the rows where that does not pay."""
+        return key_set(rows, keep=self.staging.keep if label else None, label=f"set-{label}") or rows
+
     def live(self, table: str) -> DataFrame:
         rows = self.tables[table]
-        return survivors(rows, self.doomed[table]) if table in self.doomed else rows
+        return survivors(rows, self.keys(self.doomed[table])) if table in self.doomed else rows
 
     def live_written(self, table: str, *columns: str) -> DataFrame:
         """Columns of ``live``, written once for the rules that look at them. Where nothing is
@@ -80,7 +85,7 @@ class Run:
         found = found.select("id", F.lit(step).alias("step"), "rule", "bytes")
         earlier = self.doomed.get(table)
         if earlier is not None:
-            found = survivors(found, earlier).select(*columns)
+            found = survivors(found, self.keys(earlier)).select(*columns)
         if stage:
             found = self.staging.keep(found, f"{step}-{table}")
         self.doomed[table] = found if earlier is None else earlier.unionByName(found)
