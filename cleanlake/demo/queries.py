@@ -353,12 +353,13 @@ def log_survivors_by_footers(v: Views) -> DataFrame:
 
 
 def log_months_by_age(v: Views) -> DataFrame:
-    """Files of the log, one a month, that retention drops unread, leaves, or has to scan."""
+    """Folders of the log, one a month, that retention drops unread, leaves, or has to scan. The rows of a
+    month are dealt over several files, so that no task holds a whole month."""
     month = F.date_format(F.timestamp_seconds("timecreated"), "yyyy-MM")
-    rows = v.log.withColumn("month", month).repartition("month")
+    rows = v.log.withColumn("month", month).repartitionByRange("timecreated", "id")
     staging, folder = _stored(v, rows, "log", ("month",))
     args = (v.spark, folder, v.log.schema, "timecreated", views.LOG_CUTOFF, staging)
-    return aged_files.aged_table(*args).summary()
+    return aged_files.aged_table(*args, by_folder=True).summary()
 
 
 def usage_from_rollup(v: Views) -> DataFrame:

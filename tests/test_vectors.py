@@ -4,6 +4,7 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
+from cleanlake.demo import queries as demo
 from cleanlake.operators import aged_files, vectors
 from cleanlake.operators.orphans import survivors
 from cleanlake.plans.staging import Staging
@@ -145,3 +146,27 @@ def test_times_as_timestamps(spark, tmp_path, conf):
         rows.coalesce(1).write.parquet(folder)
         assert [tuple(r)[1:] for r in file_footers(spark, folder, "ts").collect()] == [bounds]
         assert aged_files.files_by_age(spark, folder, "ts", 20 * 86400).first()["verdict"] == verdict
+
+
+def test_files_of_a_folder_are_judged_as_one(spark, tmp_path):
+    """A month has as many files as it needs; its verdict is that of all its rows."""
+    times = {"old": [10, 20, 30, 40], "both": [20, 90, 95, 99], "new": [90, 91, 92, 93], "gap": [10, None, 20, None]}
+    rows = [(i, ts, month) for month, own in times.items() for i, ts in enumerate(own)]
+    frame = spark.createDataFrame(rows, "id bigint, ts bigint, month string")
+    folder = str(tmp_path / "log")
+    frame.repartition(4, "id").write.option("maxRecordsPerFile", 1).partitionBy("month").parquet(folder)
+    assert len(list((tmp_path / "log").glob("month=old/*.parquet"))) == 4
+    found = aged_files.files_by_age(spark, folder, "ts", 50, by_folder=True).collect()
+    got = {r["_file"].rpartition("=")[2]: (r["rows"], r["verdict"]) for r in found}
+    assert got == {"old": (4, "aged"), "both": (4, "mixed"), "new": (4, "fresh"), "gap": (4, "mixed")}
+
+
+def test_no_task_writes_a_whole_month(spark, conf, monkeypatch):
+    """The log lies in one month; before, one task sorted and wrote all of it."""
+    conf({"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4"})
+    places = []
+    stored = demo._stored
+    monkeypatch.setattr(demo, "_stored", lambda *a: places.append(stored(*a)) or places[-1])
+    summary = demo.log_months_by_age(demo.Views(spark, "/root/testdata/sf0.001")).collect()
+    files = spark.read.parquet(places[0][1]).inputFiles()
+    assert len(files) >= 4 and sum(r["files"] for r in summary) == 1
