@@ -33,6 +33,21 @@ def test_chunks_give_the_ids_of_whole_texts(name, keeps, odd_texts):
     assert chunks.encode(texts) == want, "the memo changes nothing"
 
 
+@pytest.mark.parametrize(("name", "keeps"), [(WORD, False), (BYTE, True)])
+def test_latin_texts_are_cut_together(name, keeps):
+    """Apostrophes, runs of blanks and ends of texts are cut as the pattern does, and no chunk is kept."""
+    path = public_tokenizers.path(name)
+    whole, chunks = Tokenizer.from_file(path), ChunkEncoder(path, "<u2", keeps, most=50)
+    parts = ["'", "'s", "'re", "'lla", "'v", "''d", "we", "I", " ", "  ", "\n", "\n\n ", "\t", "\xa0", "\x85", "é", "ßa", "Æ",
+             "7", "42", "²", "!", "...", "$$", "_", "ɏ"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert chunks.encode(texts) == want
+    assert [chunks.encode([t])[0] for t in texts[:300]] == want[:300]
+    assert not chunks._chunks.young and not chunks._chunks.old
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=700), st.integers(6, 20))
 def test_round_trip(ids, most):
