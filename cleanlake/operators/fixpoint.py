@@ -3,7 +3,8 @@
 Tables and foreign keys form a graph, which may have cycles and keys from a table to itself. Rows
 that are doomed doom the rows that refer to them, and so on until nothing new is found. Each round
 follows the keys of the last round's new rows only, and what it finds is a written table, so neither
-plans nor joins grow with the number of rounds.
+plans nor joins grow with the number of rounds. Rows found go to those known so far, which stay where they
+lie: no round sends what earlier ones found.
 """
 
 from __future__ import annotations
@@ -85,6 +86,14 @@ class _Doomed:
         folder = self._path(0).rpartition("/")[0]
         return reader.option("basePath", folder).parquet(*[self._path(d) for d in self._depths])
 
+    def lacking(self, rows: DataFrame, depth: int) -> DataFrame:
+        """Those of ``rows`` that no earlier round has found. They are written first, so their size is known."""
+        if not self._depths:
+            return rows
+        rows = self._staging.keep(rows, f"found-{self._table}/depth={depth}")
+        again = self.read().select("id").join(rows.select("id"), "id", "left_semi")
+        return rows.join(again, "id", "left_anti")
+
 
 def cascade_to_fixpoint(
     tables: Mapping[str, DataFrame],
@@ -130,7 +139,7 @@ def cascade_to_fixpoint(
             rows = reduce(DataFrame.unionByName, ranked).where(F.col("id").isNotNull())
             if len(ranked) > 1:
                 rows = rows.groupBy(*columns[table]).agg(F.min("rank").alias("rank"))
-            rows = rows.join(doomed[table].read().select("id"), "id", "left_anti")
+            rows = doomed[table].lacking(rows, depth)
             labels = F.array(*[F.lit(r.label) for r in rules])
             rows = doomed[table].add(rows.withColumn("rule", F.element_at(labels, F.col("rank") + 1)), depth)
             if not rows.isEmpty():

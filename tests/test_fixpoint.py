@@ -77,3 +77,15 @@ def test_a_long_chain_and_a_circle(spark, staging):
 def test_nothing_to_begin_with(spark, staging):
     rules = [ForeignKey("t", "t", {"up": "id"})]
     assert run(spark, staging, {"t": [{"id": 1, "up": 1}]}, rules, {"t": [5]}) == {}
+
+
+def test_no_round_sends_what_earlier_ones_found(spark, staging, conf):
+    """A round's own rows may go to all executors, but not the rows known so far, of which there are ever more."""
+    wide, deep = 20_000, 6
+    conf({"spark.sql.maxBroadcastTableSize": "2m"})
+    rows = spark.range(wide * deep).selectExpr("id", f"id - {wide} as up")
+    seeds = {"t": rows.where(f"id < {wide}")}
+    found = cascade_to_fixpoint({"t": rows}, [ForeignKey("t", "t", {"up": "id"})], seeds, staging)
+    assert {(r["depth"], r["count"]) for r in found["t"].groupBy("depth").count().collect()} == {
+        (d, wide) for d in range(deep)
+    }
