@@ -56,6 +56,11 @@ class KeySet:
         """Rows whose key is null or not in the set."""
         return self._join(rows, column, "left_anti")
 
+    def marking(self, rows: DataFrame, column: str, mark: str) -> DataFrame:
+        """All rows, and whether their key is in the set."""
+        columns = [F.col(c) for c in rows.columns]
+        return self._join(rows, column, "left").select(*columns, F.col("_block").isNotNull().alias(mark))
+
 
 def is_whole(rows: DataFrame, column: str) -> bool:
     return isinstance(rows.schema[column].dataType, IntegralType)

@@ -142,15 +142,38 @@ def first_rule(rules: Sequence[tuple[str, DataFrame]], key: str = "id") -> DataF
         frame.select(key, "bytes", F.lit(rank).alias("rank"))
         for rank, (_, frame) in enumerate(rules, start=1)
     ]
-    everything = reduce(DataFrame.unionByName, ranked)
-    names = F.array(*[F.lit(name) for name, _ in rules])
+    return _lowest_rank(reduce(DataFrame.unionByName, ranked), [name for name, _ in rules], key)
+
+
+def _lowest_rank(ranked: DataFrame, names: Sequence[str], key: str) -> DataFrame:
+    labels = F.array(*[F.lit(name) for name in names])
     return (
-        everything.groupBy(key)
+        ranked.groupBy(key)
         .agg(F.min("rank").alias("rank"), F.max("bytes").alias("bytes"))
-        .select(key, F.element_at(names, F.col("rank")).alias("rule"), "bytes")
+        .select(key, F.element_at(labels, F.col("rank")).alias("rule"), "bytes")
     )
 
 
+def first_parent_gone(
+    child: DataFrame, parents: Sequence[tuple[str, DataFrame | KeySet, str]], key: str = "id"
+) -> DataFrame:
+    """``first_rule`` of rows without a row in one of ``parents``: (rule, parent, foreign key).
+
+    Where all parents are key sets, ``child`` is read once for all of them, and a row that several rules
+    doom is shuffled once.
+    """
+    zero = F.lit(0).cast("bigint").alias("bytes")
+    if not all(isinstance(parent, KeySet) for _, parent, _ in parents):
+        return first_rule([(name, orphans(child, p, fk).select(key, zero)) for name, p, fk in parents], key)
+    rows = child.select(key, *dict.fromkeys(fk for _, _, fk in parents))
+    marks = [f"_has_{rank}" for rank in range(len(parents))]
+    for mark, (_, parent, fk) in zip(marks, parents):
+        rows = parent.marking(rows, fk, mark)
+    first = F.coalesce(*[F.when(~F.col(m), F.lit(rank)) for rank, m in enumerate(marks, start=1)])
+    ranked = rows.select(key, zero, first.alias("rank")).where(F.col("rank").isNotNull())
+    return _lowest_rank(ranked, [name for name, _, _ in parents], key)
+
+
 def survivors(table: DataFrame, doomed: DataFrame | KeySet, key: str = "id") -> DataFrame:
     """The table without the doomed rows."""
     if isinstance(doomed, KeySet):

@@ -127,18 +127,13 @@ class GradesStep:
         )
         items = run.keys(run.live_written("grade_items", "id"), "live-grade_items")
         if run.has("grade_grades"):
-            grades = run.tables["grade_grades"]
-            run.doom(
-                self.name,
-                "grade_grades",
-                [
-                    ("deleted_item", orphans.grades_of_deleted_items(grades, items)),
-                    (
-                        "deleted_user",
-                        orphans.grades_of_deleted_users(grades, run.tables["user"]),
-                    ),
-                ],
-            )
+            parents = [
+                ("deleted_item", items, "itemid"),
+                # Users only flagged as deleted still have a row.
+                ("deleted_user", run.keys(run.tables["user"], "user"), "userid"),
+            ]
+            found = orphans.first_parent_gone(run.tables["grade_grades"], parents)
+            run.add(self.name, "grade_grades", [name for name, _, _ in parents], found)
         for table in ("grade_categories", "grade_outcomes_courses"):
             if run.has(table):
                 rows = orphans.rows_of_deleted_courses(run.tables[table], course)

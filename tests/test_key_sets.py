@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cleanlake.demo import queries as demo
 from cleanlake.demo.views import Views
 from cleanlake.operators import modules, orphans
-from cleanlake.operators.key_sets import key_set
+from cleanlake.operators.key_sets import KeySet, key_set
 from cleanlake.plans.staging import Staging
 
 EDGES = [0, 1, -1, 32_767, 32_768, 32_769, -32_767, -32_768, -32_769, 65_536]
@@ -68,3 +68,20 @@ def test_orphans_take_a_set(spark, children):
     found = key_set(spark.range(0, 70_000))
     assert orphans.orphans(children, found, "fk").count() == 70_000 + 70
     assert orphans.orphans(children, found, "fk", null_fk="keep").count() == 70_000
+
+
+def test_rows_are_read_once_for_all_parents(spark):
+    """Null keys, repeated ids and rows that two rules doom come out as from the rules one by one."""
+    child = spark.range(3_000).selectExpr(
+        "cast(id - id % 50 div 49 as string) as id", "nullif(id % 400, 7) as a", "nullif(id % 350, 2) as b"
+    )
+    first, second = spark.range(1, 300), spark.range(5, 340)
+    wanted = [("no_a", first, "a"), ("no_b", second, "b")]
+    sets = [(name, key_set(parent), fk) for name, parent, fk in wanted]
+    assert all(isinstance(parent, KeySet) for _, parent, _ in sets)
+    got = orphans.first_parent_gone(child, sets)
+    plain = orphans.first_parent_gone(child, wanted)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, plain.collect())) and len(rows) == len({r[0] for r in rows})
+    assert {r[1] for r in rows} == {"no_a", "no_b"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3000") == 1
