@@ -20,13 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanlake.llm.bpe import token_bytes
-from cleanlake.llm.shared import forget, mixed, per_worker, slices, table, written
+from cleanlake.llm.shared import forget, mixed, per_worker, slices, small_batches, table, trimmed, written
 from cleanlake.llm.tokens import ChunkEncoder, _Memo
 
 #: Characters of a block, that is, of texts whose windows and pairs are numbered together.
 PART = 2_000_000
+#: Rows of a block at most, however short their texts.
+ROWS = 10_000
+#: Characters that are encoded at once. The arrays of this are many times the text's size.
+ENCODED = 500_000
 #: Entries of the memo of words that each of the two encoders has.
-MEMO = 400_000
+MEMO = 100_000
 SPACE = "▁"
 
 _NUMBERS = "n_a long, n_b long, n_groups long, n_links long"
@@ -206,7 +210,8 @@ class Aligner:
     def block(self, texts: list[str | None]) -> dict:
         """Numbers of each text, distinct windows as lists of numbers of distinct pairs, and the pairs
         with their counts."""
-        both = self.tokens(texts)
+        both = [x for i, j in slices(texts, ENCODED) for x in self.tokens(texts[i:j])]
+        trimmed()
         has = [x is not None for x in both]
         held = [x for x in both if x is not None]
         n_a, n_b = (np.array([len(x[k]) if x else 0 for x in both], np.int64) for k in (0, 1))
@@ -252,26 +257,43 @@ _LISTS = ("n_a", "n_b", "n_groups", "n_links", "counts")
 _DATA = ("windows", "lengths", "links", "pairs", "times")
 
 
+def _parts(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts of about ``most`` characters and of ``ROWS`` rows at most, whatever batches they
+    come in; a longer text makes a part alone."""
+    ids: list[pa.Array] = []
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        start, own = 0, batch.column(1).to_pylist()
+        for i, text in enumerate(own):
+            n = len(text) if text else 0
+            if size and size + n > most or len(texts) + i - start == ROWS:
+                yield pa.concat_arrays([*ids, batch.column(0).slice(start, i - start)]), texts + own[start:i]
+                ids, texts, start, size = [], [], i, 0
+            size += n + 1
+        ids.append(batch.column(0).slice(start))
+        texts += own[start:]
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
 def _blocks(path_a: str, path_b: str, part: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = per_worker(("align", path_a, path_b), lambda: Aligner(path_a, path_b))
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for i, j in slices(texts.to_pylist(), part):
-                found = aligner.block(texts.slice(i, j - i).to_pylist())
-                own = ids.slice(i, j - i)
-                columns = [
-                    pa.array([number], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                    *[pa.array([found[c]], pa.list_(pa.int64())) for c in _LISTS],
-                    pa.array([found["groups_sha256"]], pa.list_(pa.string())),
-                    *[pa.array([found[c]], pa.binary()) for c in _DATA],
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=["block", "ids", *_LISTS, "groups_sha256", *_DATA]
-                )
-                number += 1
+        for ids, texts in _parts(batches, part):
+            found = aligner.block(texts)
+            columns = [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                *[pa.array([found[c]], pa.list_(pa.int64())) for c in _LISTS],
+                pa.array([found["groups_sha256"]], pa.list_(pa.string())),
+                *[pa.array([found[c]], pa.binary()) for c in _DATA],
+            ]
+            del found
+            trimmed()
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", *_LISTS, "groups_sha256", *_DATA])
+            number += 1
 
     return run
 
@@ -340,6 +362,7 @@ def align_tokens(
     bytes are not the text's, have zeros and an empty digest. Repeated rows count and are returned each;
     null ids are ids like others. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lists = ", ".join(f"{c} array<long>" for c in _LISTS)
@@ -348,7 +371,7 @@ def align_tokens(
         _blocks(tokenizer_a, tokenizer_b, part),
         f"block long, ids array<{id_type}>, {lists}, groups_sha256 array<string>, {data}",
     )
-    blocks = written(blocks, "aligned-blocks")
+    blocks = written(blocks, "aligned-blocks", large_rows=True)
     pairs = blocks.select("block", "pairs", "times").mapInArrow(
         _pairs, "block long, place int, a int, b int, times long"
     )

@@ -21,6 +21,11 @@ from cleanlake.plans.staging import checkpoint_folder
 #: The white space of the word and line rules, as members of a regular expression's class.
 BLANKS = r"\x20\x09-\x0D"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
+#: Row groups of about 8 MB. Parquet's writers would else look at the size of a page or of a row group after a
+#: hundred rows first, and its readers take a row group of so few rows as one batch.
+LARGE_ROWS = {
+    "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1,
+}
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
@@ -28,12 +33,14 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
+def written(frame: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
     """``frame`` as a table in the shared folder: read twice, it is made once, and the
-    lineage ends there, so a lost executor costs no earlier step."""
+    lineage ends there, so a lost executor costs no earlier step. ``large_rows``: rows have megabytes
+    each, and few of them lie in memory at once, both here and where they are read."""
     spark = frame.sparkSession
     path = fresh_folder(spark, label)
-    frame.write.option("compression", "zstd").parquet(path)
+    options = LARGE_ROWS if large_rows else {}
+    frame.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -92,6 +99,11 @@ def forget() -> None:
     would stay taken."""
     per_worker("nothing", lambda: None)
     gc.collect()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give free memory back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.dataset as ds
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from cleanlake.llm import alignment
-from cleanlake.llm.shared import table
+from cleanlake.llm.shared import table, written
 from cleanlake.llm.tokens import byte_letters
 
 A = public_tokenizers.path("byte_bpe_50k.json")
@@ -139,6 +140,47 @@ def test_windows_need_anchors_in_both(plain):
     assert upto.tolist() == [len(at_a) - 1] and len(at_a) > 4
 
 
+def test_blocks_do_not_end_with_batches(spark, docs, plain, conf):
+    rows = [(k, f"text number {k} of many") for k in range(300)]
+    conf({"spark.sql.execution.arrow.maxRecordsPerBatch": "10"})
+    frame = docs(rows).select("doc_id", "text").coalesce(1)
+    schema = "block long, ids array<long>, " + ", ".join(f"{c} array<long>" for c in alignment._LISTS)
+    schema += ", groups_sha256 array<string>, " + ", ".join(f"{c} binary" for c in alignment._DATA)
+
+    def blocks(part):
+        found = frame.mapInArrow(alignment._blocks(A, B, part), schema).select("block", "ids").collect()
+        assert sorted(i for r in found for i in r["ids"]) == list(range(300))
+        assert len({r["block"] for r in found}) == len(found)
+        return [len(r["ids"]) for r in found]
+
+    assert blocks(alignment.PART) == [300]
+    assert max(blocks(1_000)) > 30  # some 22 characters each
+    assert found_rows(alignment.align_tokens(docs(rows), A, B)) == wanted_rows(plain, rows)
+
+
+def test_blocks_of_empty_texts_are_bounded(spark, conf):
+    conf({"spark.sql.execution.arrow.maxRecordsPerBatch": "7000"})
+    frame = spark.range(25_000).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)
+    parts = frame.mapInArrow(
+        lambda batches: (
+            alignment.pa.RecordBatch.from_pydict({"n": [len(ids)], "m": [len(texts)]})
+            for ids, texts in alignment._parts(batches, alignment.PART)
+        ),
+        "n long, m long",
+    )
+    assert [tuple(r) for r in parts.collect()] == [(n, n) for n in (10_000, 10_000, 5_000)]
+
+
+def test_large_rows_lie_in_small_row_groups(spark):
+    noise = "unhex(concat_ws('', transform(sequence(1, 15000), i -> sha2(cast(id * 15000 + i as string), 256)))) as data"
+    rows = spark.range(40).coalesce(1).selectExpr("id", noise)
+    files = [f.removeprefix("file:").replace("///", "/") for f in written(rows, "large", large_rows=True).inputFiles()]
+    groups = [g for f in ds.dataset(files).get_fragments() for g in f.row_groups]
+    # Rows of 480 KB; by default all of them would be one row group.
+    assert sum(g.num_rows for g in groups) == 40
+    assert max(g.num_rows for g in groups) <= 20
+
+
 def test_query_over_whole_table(spark, plain):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
